@@ -1,28 +1,28 @@
 """Fixed values. Everything here must equal the published rules for results to be right."""
 
-# --- Form catalogue: (key, label, section). Keys are exact; double spaces count. -------------
+# --- Form catalogue: (key, label, section, rule family). Keys are exact; double spaces count. --
 FIELD_CATALOG = [
-    ("Nombre  Razón Social", "Razón social", "Empresa / Identificación"),
-    ("Nombre Comercial", "Nombre comercial", "Empresa / Identificación"),
-    ("NIE", "CIF/NIF/NIE de la empresa", "Empresa / Identificación"),
-    ("Nombre representante", "Nombre del representante", "Empresa / Identificación"),
-    ("NIF representante", "NIF del representante", "Empresa / Identificación"),
-    ("Dirección", "Dirección (fiscal)", "Dirección fiscal"),
-    ("CP", "Código postal", "Dirección fiscal"),
-    ("Población", "Población", "Dirección fiscal"),
-    ("Provincia", "Provincia", "Dirección fiscal"),
-    ("Dirección_2", "Dirección comercio/PdV", "Dirección comercio / PdV"),
-    ("CP_2", "CP comercio", "Dirección comercio / PdV"),
-    ("Población_2", "Población comercio", "Dirección comercio / PdV"),
-    ("Provincia_2", "Provincia comercio", "Dirección comercio / PdV"),
-    ("Teléfono", "Teléfono", "Contacto"),
-    ("Email Comercial", "Email comercial", "Contacto"),
-    ("Email  Facturación", "Email facturación", "Contacto"),
-    ("Datos bancarios del DISTRIBUIDOR", "IBAN", "Datos bancarios"),
-    ("Actividad principal del negocio", "Actividad principal (IAE)", "Empresa / Identificación"),
-    ("Fecha", "Fecha · día", "Fecha"),
-    ("de", "Fecha · mes", "Fecha"),
-    ("año", "Fecha · año", "Fecha"),
+    ("Nombre  Razón Social", "Razón social", "Empresa / Identificación", "text"),
+    ("Nombre Comercial", "Nombre comercial", "Empresa / Identificación", "text"),
+    ("NIE", "CIF/NIF/NIE de la empresa", "Empresa / Identificación", "holder_id"),
+    ("Nombre representante", "Nombre del representante", "Empresa / Identificación", "person"),
+    ("NIF representante", "NIF del representante", "Empresa / Identificación", "rep_id"),
+    ("Dirección", "Dirección (fiscal)", "Dirección fiscal", "text"),
+    ("CP", "Código postal", "Dirección fiscal", "postcode"),
+    ("Población", "Población", "Dirección fiscal", "text"),
+    ("Provincia", "Provincia", "Dirección fiscal", "text"),
+    ("Dirección_2", "Dirección comercio/PdV", "Dirección comercio / PdV", "text"),
+    ("CP_2", "CP comercio", "Dirección comercio / PdV", "postcode"),
+    ("Población_2", "Población comercio", "Dirección comercio / PdV", "text"),
+    ("Provincia_2", "Provincia comercio", "Dirección comercio / PdV", "text"),
+    ("Teléfono", "Teléfono", "Contacto", "phone"),
+    ("Email Comercial", "Email comercial", "Contacto", "email"),
+    ("Email  Facturación", "Email facturación", "Contacto", "email"),
+    ("Datos bancarios del DISTRIBUIDOR", "IBAN", "Datos bancarios", "iban"),
+    ("Actividad principal del negocio", "Actividad principal (IAE)", "Empresa / Identificación", "text"),
+    ("Fecha", "Fecha · día", "Fecha", "day"),
+    ("de", "Fecha · mes", "Fecha", "text"),
+    ("año", "Fecha · año", "Fecha", "text"),
 ]
 DATE_FIELDS = ["Fecha", "de", "año"]
 ADDRESS_FIELDS = ["Dirección", "CP", "Población", "Provincia"]

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casefuse import fixed_values as fv
-from casefuse.functions.text import clean_id, field_kind, fold, is_blank, nonblank, strip
+from casefuse.functions.text import clean_id, field_kind, fold, is_blank, let, strip
 
 
 def _true(c: Column) -> Column:
@@ -20,30 +20,39 @@ def _control_letter_ok(digits: Column, letter: Column) -> Column:
 
 
 def valid_dni(c: Column) -> Column:
-    v = clean_id(c)
-    return _true(v.rlike(fv.DNI_SHAPE) & _control_letter_ok(v.substr(1, 8), v.substr(9, 1)))
+    return let(clean_id(c), lambda v: _true(
+        v.rlike(fv.DNI_SHAPE) & _control_letter_ok(v.substr(1, 8), v.substr(9, 1))))
 
 
 def valid_nie(c: Column) -> Column:
-    v = clean_id(c)
-    digits = F.concat(F.translate(v.substr(1, 1), "XYZ", "012"), v.substr(2, 7))
-    return _true(v.rlike(fv.NIE_SHAPE) & _control_letter_ok(digits, v.substr(9, 1)))
+    def check(v):
+        digits = F.concat(F.translate(v.substr(1, 1), "XYZ", "012"), v.substr(2, 7))
+        return _true(v.rlike(fv.NIE_SHAPE) & _control_letter_ok(digits, v.substr(9, 1)))
 
+    return let(clean_id(c), check)
 
-def valid_cif(c: Column) -> Column:
-    v = clean_id(c)
+
+def _cif_control(v: Column) -> Column:
+    """Control number: doubled odd digits (digit sums) plus even digits, to the next ten."""
     odd = F.translate(F.concat(*[v.substr(p, 1) for p in (2, 4, 6, 8)]), "0123456789", "0246813579")
-    even = F.concat(*[v.substr(p, 1) for p in (3, 5, 7)])
-    total = sum((_number(odd.substr(p, 1)) for p in (1, 2, 3, 4)), F.lit(0)) + sum(
-        (_number(even.substr(p, 1)) for p in (1, 2, 3)), F.lit(0))
-    check = (10 - total % 10) % 10
-    kind, control = v.substr(1, 1), v.substr(9, 1)
-    by_letter = control == F.substr(F.lit(fv.CIF_CONTROL_LETTERS), check + 1, F.lit(1))
-    by_digit = control == check.cast("string")
-    return _true(v.rlike(fv.CIF_SHAPE) & (
-        F.when(kind.isin(*fv.CIF_LETTER_TYPES), by_letter)
-        .when(kind.isin(*fv.CIF_DIGIT_TYPES), by_digit)
-        .otherwise(by_digit | by_letter)))
+    digits = F.split(F.concat(odd, *[v.substr(p, 1) for p in (3, 5, 7)]), "")
+    total = F.aggregate(digits, F.lit(0), lambda acc, d: acc + F.coalesce(_number(d), F.lit(0)))
+    return (10 - total % 10) % 10
+
+
+def valid_cif(c: Column) -> Column:
+    def check(v):
+        kind, last = v.substr(1, 1), v.substr(9, 1)
+
+        def fits(n):
+            by_letter = last == F.substr(F.lit(fv.CIF_CONTROL_LETTERS), n + 1, F.lit(1))
+            by_digit = last == n.cast("string")
+            return (F.when(kind.isin(*fv.CIF_LETTER_TYPES), by_letter)
+                    .when(kind.isin(*fv.CIF_DIGIT_TYPES), by_digit).otherwise(by_digit | by_letter))
+
+        return _true(F.when(v.rlike(fv.CIF_SHAPE), let(_cif_control(v), fits)))
+
+    return let(clean_id(c), check)
 
 
 def valid_any_id(c: Column) -> Column:
@@ -63,9 +72,11 @@ def iban_remainder(v: Column) -> Column:
 
 
 def valid_iban(c: Column) -> Column:
-    v = clean_id(c)
-    shape = v.rlike(fv.IBAN_SHAPE) & (~v.startswith("ES") | (F.length(v) == 24))
-    return _true(F.when(shape, iban_remainder(v) == 1))
+    def check(v):
+        shape = v.rlike(fv.IBAN_SHAPE) & (~v.startswith("ES") | (F.length(v) == 24))
+        return _true(F.when(shape, iban_remainder(v) == 1))
+
+    return let(clean_id(c), check)
 
 
 def valid_phone(c: Column) -> Column:
@@ -83,41 +94,48 @@ def valid_day(c: Column) -> Column:
 
 def postcode_message(postcode: Column, province: Column) -> Column:
     """Why a postcode is wrong or does not fit its province; null when it is fine."""
-    v = clean_id(postcode)
-    prefix = v.substr(1, 2)
-    table = F.create_map(*[F.lit(x) for pair in fv.PROVINCES.items() for x in pair])
-    names = F.split(F.try_element_at(table, prefix), " ")
-    p = fold(province)
-    fits = F.exists(names, lambda n: p.contains(n) | n.contains(p))
     m = fv.MESSAGES
-    return (
-        F.when(~v.rlike(r"^\d{5}$"), m["postcode_shape"])
-        .when(names.isNull(), F.format_string(m["postcode_prefix"], prefix))
-        .when(~is_blank(province) & (p != "") & ~fits,
-              F.format_string(m["postcode_province"], v, F.try_element_at(names, F.lit(1)), province))
-    )
+    table = F.create_map(*[F.lit(x) for pair in fv.PROVINCES.items() for x in pair])
+
+    def check(s):
+        v, names, p = s["v"], s["names"], s["p"]
+        fits = F.exists(names, lambda n: p.contains(n) | n.contains(p))
+        return (
+            F.when(~v.rlike(r"^\d{5}$"), m["postcode_shape"])
+            .when(names.isNull(), F.format_string(m["postcode_prefix"], v.substr(1, 2)))
+            .when(~is_blank(province) & (p != "") & ~fits, F.format_string(
+                m["postcode_province"], v, F.try_element_at(names, F.lit(1)), province)))
+
+    def parts(v):
+        names = F.split(F.try_element_at(table, v.substr(1, 2)), " ")
+        return let(F.struct(v.alias("v"), names.alias("names"), fold(province).alias("p")), check)
+
+    return let(clean_id(postcode), parts)
 
 
 def check_value(field: Column, value: Column, id_type: Column, province: Column) -> Column:
     """STRUCT<ok, message> for one value; null when no rule applies or the value is blank."""
-    v = nonblank(strip(value))
-    kind = field_kind(field)
-    tipo = F.coalesce(F.replace(F.upper(id_type), F.lit("."), F.lit("")), F.lit(""))
     m = fv.MESSAGES
+    tipo = F.coalesce(F.replace(F.upper(id_type), F.lit("."), F.lit("")), F.lit(""))
 
     def rule(ok: Column, message: str) -> Column:
-        return F.struct(ok.alias("ok"), F.when(~ok, F.lit(message)).alias("message"))
-
-    why = postcode_message(v, province)
-    return F.when(v.isNotNull(), (
-        F.when((kind == "holder_id") & (tipo == "CIF"), rule(valid_cif(v), m["cif"]))
-        .when((kind == "holder_id") & (tipo == "NIF"), rule(valid_dni(v), m["nif"]))
-        .when((kind == "holder_id") & (tipo == "NIE"), rule(valid_nie(v), m["nie"]))
-        .when(kind == "holder_id", rule(valid_any_id(v), m["any_id"]))
-        .when(kind == "rep_id", rule(valid_dni(v) | valid_nie(v), m["rep_id"]))
-        .when(kind == "iban", rule(valid_iban(v), m["iban"]))
-        .when(kind == "postcode", F.struct(why.isNull().alias("ok"), why.alias("message")))
-        .when(kind == "phone", rule(valid_phone(v), m["phone"]))
-        .when(kind == "email", rule(valid_email(v), m["email"]))
-        .when(kind == "day", rule(valid_day(v), m["day"]))
-    ))
+        return let(ok, lambda x: F.struct(x.alias("ok"), F.when(~x, F.lit(message)).alias("message")))
+
+    def by_kind(s: Column) -> Column:
+        kind, v = s["kind"], s["v"]
+        holder = (F.when(tipo == "CIF", rule(valid_cif(v), m["cif"]))
+                  .when(tipo == "NIF", rule(valid_dni(v), m["nif"]))
+                  .when(tipo == "NIE", rule(valid_nie(v), m["nie"]))
+                  .otherwise(rule(valid_any_id(v), m["any_id"])))
+        postcode = let(postcode_message(v, province), lambda why: F.struct(
+            why.isNull().alias("ok"), why.alias("message")))
+        return F.when(v != "", (
+            F.when(kind == "holder_id", holder)
+            .when(kind == "rep_id", rule(valid_dni(v) | valid_nie(v), m["rep_id"]))
+            .when(kind == "iban", rule(valid_iban(v), m["iban"]))
+            .when(kind == "postcode", postcode)
+            .when(kind == "phone", rule(valid_phone(v), m["phone"]))
+            .when(kind == "email", rule(valid_email(v), m["email"]))
+            .when(kind == "day", rule(valid_day(v), m["day"]))))
+
+    return let(F.struct(field_kind(field).alias("kind"), strip(value).alias("v")), by_kind)

@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casefuse import fixed_values as fv
-from casefuse.functions.text import clean_id, fold
+from casefuse.functions.text import clean_id, fold, let
 
 
 def first_match(text: Column, rules, default: str) -> Column:
     """Name of the first (name, pattern) rule found in the text."""
-    chain = reduce(lambda acc, r: acc.when(text.rlike(r[1]), r[0]), rules, F)
-    return chain.otherwise(default)
+    return let(text, lambda t: reduce(
+        lambda acc, r: acc.when(t.rlike(r[1]), r[0]), rules, F).otherwise(default))
 
 
 def document_type(text: Column, rules=fv.DOC_TYPE_RULES) -> Column:
@@ -48,9 +48,9 @@ def failure_hint(cause: Column) -> Column:
 
 def id_kind(value: Column) -> Column:
     """Identifier family from its shape alone; null when it has none."""
-    v = clean_id(value)
-    return (F.when(v.rlike(fv.CIF_SHAPE), "CIF").when(v.rlike(fv.NIE_SHAPE), "NIE")
-            .when(v.rlike(fv.DNI_SHAPE), "NIF"))
+    return let(clean_id(value), lambda v: (
+        F.when(v.rlike(fv.CIF_SHAPE), "CIF").when(v.rlike(fv.NIE_SHAPE), "NIE")
+        .when(v.rlike(fv.DNI_SHAPE), "NIF")))
 
 
 def is_strong_identity(doc_type: Column) -> Column:

@@ -65,46 +65,63 @@ def value_key(c: Column) -> Column:
     return F.lower(strip(c))
 
 
-def field_kind(field: Column) -> Column:
-    """Rule family of a field, from its folded base name with spaces ignored."""
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once per row, however often `use` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _catalog(column: int) -> Column:
+    return F.create_map(*[F.lit(x) for row in fv.FIELD_CATALOG for x in (row[0], row[column])])
+
+
+def _kind_by_name(field: Column) -> Column:
     key = F.replace(fold(base_field(field)), F.lit(" "), F.lit(""))
-    return (
-        F.when(key.contains("datosbancarios") | key.contains("iban"), "iban")
-        .when(key == "nie", "holder_id")
-        .when(key == "nifrepresentante", "rep_id")
-        .when(key == "cp", "postcode")
-        .when(key == "nombrerepresentante", "person")
-        .when(key == "telefono", "phone")
-        .when(key.startswith("email"), "email")
-        .when(key == "fecha", "day")
-        .otherwise("text")
-    )
+    return let(key, lambda k: (
+        F.when(k.contains("datosbancarios") | k.contains("iban"), "iban")
+        .when(k == "nie", "holder_id")
+        .when(k == "nifrepresentante", "rep_id")
+        .when(k == "cp", "postcode")
+        .when(k == "nombrerepresentante", "person")
+        .when(k == "telefono", "phone")
+        .when(k.startswith("email"), "email")
+        .when(k == "fecha", "day")
+        .otherwise("text")))
+
+
+def field_kind(field: Column) -> Column:
+    """Rule family of a field: from the catalogue, else from its folded base name without spaces."""
+    return F.coalesce(F.try_element_at(_catalog(3), field), _kind_by_name(field))
 
 
 def normalise_value(field: Column, raw: Column) -> Column:
     """Canonical form of a value for its field; null when blank."""
-    v = nonblank(strip(raw))
-    kind = field_kind(field)
-    digits = F.regexp_replace(v, r"\D", "")
-    parts = F.transform(F.split(v, ","), strip)
-    surname, given = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
-    two_parts = (F.size(parts) == 2) & (surname != "") & (given != "")
-    return nonblank(
-        F.when(kind == "iban", F.regexp_replace(F.upper(v), r"[\s.\-–—]", ""))
-        .when(kind.isin("holder_id", "rep_id"), clean_id(v))
-        .when((kind == "postcode") & F.length(digits).between(1, 4), F.lpad(digits, 5, "0"))
-        .when((kind == "person") & two_parts, F.concat_ws(" ", given, surname))
-        .otherwise(v)
-    )
+    def person(v):
+        parts = F.transform(F.split(v, ","), strip)
+        surname, given = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
+        return F.when((F.size(parts) == 2) & (surname != "") & (given != ""),
+                      F.concat_ws(" ", given, surname)).otherwise(v)
+
+    def postcode(v):
+        digits = F.regexp_replace(v, r"\D", "")
+        return F.when(F.length(digits).between(1, 4), F.lpad(digits, 5, "0")).otherwise(v)
+
+    def by_kind(s):
+        kind, v = s["kind"], s["v"]
+        return F.nullif(
+            F.when(kind == "iban", F.regexp_replace(F.upper(v), r"[\s.\-–—]", ""))
+            .when(kind.isin("holder_id", "rep_id"), clean_id(v))
+            .when(kind == "postcode", postcode(v))
+            .when(kind == "person", person(v))
+            .otherwise(v), F.lit(""))
+
+    return let(F.struct(field_kind(field).alias("kind"), strip(raw).alias("v")), by_kind)
 
 
 def label_for(field: Column) -> Column:
     """Readable label of a field, the key itself when it is not in the catalogue."""
-    labels = F.create_map(*[F.lit(x) for key, label, _ in fv.FIELD_CATALOG for x in (key, label)])
-    return F.coalesce(F.try_element_at(labels, field), field)
+    return F.coalesce(F.try_element_at(_catalog(1), field), field)
 
 
 def section_of(field: Column) -> Column:
     """Form section of a field, null outside the catalogue."""
-    sections = F.create_map(*[F.lit(x) for key, _, sec in fv.FIELD_CATALOG for x in (key, sec)])
-    return F.try_element_at(sections, field)
+    return F.try_element_at(_catalog(2), field)

@@ -51,7 +51,7 @@ def field_ok(audited: DataFrame) -> DataFrame:
 def section_progress(audited: DataFrame) -> DataFrame:
     """Done fields of every section per case; complete when all fields of the section are done."""
     sizes = {}
-    for _, _, section in fv.FIELD_CATALOG:
+    for _, _, section, _ in fv.FIELD_CATALOG:
         sizes[section] = sizes.get(section, 0) + 1
     done = field_ok(audited).withColumn("section", section_of(F.col("field")))
     counts = done.groupBy("case_id").agg(*[

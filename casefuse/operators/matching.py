@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from casefuse import fixed_values as fv
 from casefuse.functions.text import fold
 
-CANONICAL_NAMES = [key for key, _, _ in fv.FIELD_CATALOG]
+CANONICAL_NAMES = [key for key, *_ in fv.FIELD_CATALOG]
 MIN_SCORE = 0.5
 
 

@@ -88,12 +88,8 @@ def _package_key(tipo: Column, key: Column) -> Column:
     return F.when(second, F.concat(key, F.lit(fv.SECOND_BLOCK_SUFFIX))).otherwise(key)
 
 
-def proposals(parsed: DataFrame) -> DataFrame:
-    """Every value each reply proposes, in one pass: suggestions, alternatives, packages.
-
-    `pos` is the order inside the reply. Values are not yet normalised.
-    """
-    r = F.col("reply")
+def _items(r: Column) -> Column:
+    """ARRAY<STRUCT<source, field, value>> of all a reply proposes."""
     none = F.array().cast("array<struct<source:string,field:string,value:string>>")
     alternatives = F.flatten(F.transform(F.map_entries(r["alternativas"]), lambda e: F.transform(
         e["value"], lambda a: F.struct(F.lit("alternative").alias("source"),
@@ -102,16 +98,32 @@ def proposals(parsed: DataFrame) -> DataFrame:
         F.map_entries(p["datos"]), lambda e: F.struct(
             F.lit("package").alias("source"),
             _package_key(p["tipo"], e["key"]).alias("field"), e["value"].alias("value")))))
-    every = F.concat(*[F.coalesce(x, none) for x in (
+    return F.concat(*[F.coalesce(x, none) for x in (
         _pairs(r["sugerencias"], "suggestion"), alternatives, packages)])
-    return parsed.select("case_id", "doc_id", "engine", "seq", F.posexplode(every)).select(
+
+
+def proposals(parsed: DataFrame) -> DataFrame:
+    """Every value each reply proposes, in one pass: suggestions, alternatives, packages.
+
+    `pos` is the order inside the reply. Values are not yet normalised.
+    """
+    return parsed.select("case_id", "doc_id", "engine", "seq",
+                         F.posexplode(_items(F.col("reply")))).select(
         "case_id", "doc_id", "engine", "seq", "pos", "col.*")
 
 
 def votes(parsed: DataFrame) -> DataFrame:
-    """Proposals in normal form, blanks dropped."""
-    value = normalise_value(F.col("field"), F.col("value"))
-    return proposals(parsed).withColumn("value", value).where(F.col("value").isNotNull())
+    """Proposals in normal form, blanks dropped.
+
+    Blanks go before the explode: a filter after it would be pushed down and would normalise
+    every value a second time.
+    """
+    normal = F.transform(_items(F.col("reply")), lambda x, i: F.struct(
+        i.alias("pos"), x["field"].alias("field"),
+        normalise_value(x["field"], x["value"]).alias("value")))
+    kept = F.filter(normal, lambda x: x["value"].isNotNull())
+    return parsed.select("case_id", "doc_id", "engine", "seq", F.explode(kept).alias("v")).select(
+        "case_id", "doc_id", "engine", "seq", "v.*")
 
 
 def packages(parsed: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def stop_when_covered(calls: DataFrame, cut: DataFrame) -> DataFrame:
 
 def coverage_fields():
     """Catalogue fields that count for coverage: all but the dates."""
-    return [key for key, _, _ in fv.FIELD_CATALOG if key not in fv.DATE_FIELDS]
+    return [key for key, *_ in fv.FIELD_CATALOG if key not in fv.DATE_FIELDS]
 
 
 def last_status(calls: DataFrame) -> DataFrame:
