@@ -23,12 +23,20 @@ class Consolidation:
     values: DataFrame
 
 
+def reported_types(parsed: DataFrame) -> DataFrame:
+    """First document type the replies report for each document."""
+    told = F.trim("reply.tipo_documento")
+    return parsed.where(told != "").groupBy("case_id", "doc_id").agg(
+        F.min_by(told, "seq").alias("doc_type"))
+
+
 def consolidate(calls: DataFrame, documents: DataFrame = None, protected: DataFrame = None,
                 coverage=None, staged: bool = False) -> Consolidation:
     """Parse, cut, vote, trace, decide and fill many cases at once.
 
     `calls(case_id, doc_id, engine, seq, http_code, ok, error, text)`,
-    `documents(case_id, doc_id, doc_type)`, `protected(case_id, field)`. With `coverage`, a case
+    `documents(case_id, doc_id, doc_type)` (by default the type the replies report first),
+    `protected(case_id, field)`. With `coverage`, a case
     stops at the first call after which all those fields have a value. With `staged`, decoded
     replies are written once to the shared folder and every later branch reads them from there;
     without it each branch decodes again, which is cheaper on small input only.
@@ -43,6 +51,8 @@ def consolidate(calls: DataFrame, documents: DataFrame = None, protected: DataFr
     types = voting.majority_type(parsed.withColumn(
         "tipo_identificacion", F.col("reply.tipo_identificacion")))
     issues = voting.last_status(parsed).withColumn("cause", failure_cause(F.col("status")))
+    if documents is None:
+        documents = reported_types(parsed)
     pkgs = replies.packages(parsed)
     holders = resolve.document_holders(pkgs)
     rows = resolve.package_candidates(pkgs).unionByName(

@@ -73,7 +73,8 @@ def main():
     names = sys.argv[2:] or list(bindings.QUERIES)
     names = [n for n in bindings.QUERIES if any(n == x or (x.endswith("*") and n.startswith(x[:-1])) for x in names)]
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate())
+             .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf), 0
     for name in names:
