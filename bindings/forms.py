@@ -106,10 +106,10 @@ _CHANGES = "SELECT DISTINCT p_brand || '-' || p_size AS template_id, CASE WHEN p
 
 
 @query("mapping_overrides", f"""WITH {_SAVED}, changes AS ({_CHANGES}),
-both AS (SELECT coalesce(c.template_id, m.template_id) AS template_id, coalesce(c.canonical, m.canonical) AS canonical,
+changed AS (SELECT coalesce(c.template_id, m.template_id) AS template_id, coalesce(c.canonical, m.canonical) AS canonical,
          CASE WHEN c.template_id IS NOT NULL THEN c.real ELSE m.real END AS real
          FROM mapping m FULL JOIN changes c ON m.template_id = c.template_id AND m.canonical = c.canonical)
-SELECT * FROM both WHERE real IS NOT NULL""")
+SELECT * FROM changed WHERE real IS NOT NULL""")
 def mapping_overrides(spark, sf):
     changes = table(spark, sf, "part").selectExpr(
         "p_brand || '-' || p_size as template_id", "case when p_size % 2 = 0 then 'widget' else 'cold' end as canonical",
@@ -187,7 +187,7 @@ def signature_placements(spark, sf):
 
 _STAMPS = ["l_orderkey as doc_id", f"l_suppkey % 40 as page_no", f"cast({_N} as bigint) as n_pages",
            "l_discount * 5 as x", "l_tax * 10 as y", "0.256e0 as w", "0.114e0 as h",
-           "600.0e0 as page_width", "l_extendedprice / 100 + 100 as page_height", "l_quantity / 25 as aspect"]
+           "600.0e0 as page_width", "l_extendedprice / 128 + 100 as page_height", "l_quantity / 25 as aspect"]
 _STAMPS_SQL = ", ".join(_STAMPS).replace("0.256e0", "CAST(0.256 AS DOUBLE)").replace(
     "0.114e0", "CAST(0.114 AS DOUBLE)").replace("600.0e0", "CAST(600 AS DOUBLE)")
 
@@ -196,11 +196,11 @@ _STAMPS_SQL = ", ".join(_STAMPS).replace("0.256e0", "CAST(0.256 AS DOUBLE)").rep
 WITH s AS (SELECT {_STAMPS_SQL} FROM lineitem),
 b AS (SELECT *, w * page_width AS bw, h * page_height AS bh FROM s WHERE page_no < n_pages),
 d AS (SELECT *, CASE WHEN aspect > bh / bw THEN bh / aspect ELSE bw END AS dw, CASE WHEN aspect > bh / bw THEN bh ELSE bw * aspect END AS dh FROM b)
-SELECT doc_id, page_no, CAST(round(dw, 3) * 1000 AS BIGINT) AS w, CAST(round(dh, 3) * 1000 AS BIGINT) AS h,
-       CAST(round(x * page_width - dw / 2, 3) * 1000 AS BIGINT) AS x, CAST(round((1 - y) * page_height - dh / 2, 3) * 1000 AS BIGINT) AS y FROM d""")
+SELECT doc_id, page_no, CAST(floor(dw * 1000) AS BIGINT) AS w, CAST(floor(dh * 1000) AS BIGINT) AS h,
+       CAST(floor((x * page_width - dw / 2) * 1000) AS BIGINT) AS x, CAST(floor(((1 - y) * page_height - dh / 2) * 1000) AS BIGINT) AS y FROM d""")
 def fitted_stamps(spark, sf):
     fitted = lay.fit_in_box(table(spark, sf, "lineitem").selectExpr(*_STAMPS))
-    milli = lambda c: F.round(F.round(c, 3) * 1000).cast("long")
+    milli = lambda c: F.floor(F.col(c) * 1000)
     return fitted.select("doc_id", "page_no", milli("draw_w").alias("w"), milli("draw_h").alias("h"),
                          milli("draw_x").alias("x"), milli("draw_y").alias("y"))
 
@@ -222,7 +222,7 @@ def adjusted_pages(spark, sf):
 
 
 _MOVES = ["o_custkey % 100 as doc_id", "o_orderkey % 40 as page_no", "o_orderkey as seq",
-          "o_totalprice / 400000 - 0.1e0 as x", "o_totalprice / 300000 as y"]
+          "o_totalprice / 524288 - 0.1e0 as x", "o_totalprice / 262144 as y"]
 
 
 @query("moved_stamps", f"""WITH {_LAYOUT},

@@ -29,6 +29,13 @@ def _state(batch, path, epoch, schema):
     return spark.read.schema(schema).parquet(f"{path}/epoch={epoch - 1}")
 
 
+def latest_state(spark, path: str, schema: str) -> DataFrame:
+    """State after the last epoch written."""
+    states = spark.read.schema(f"{schema}, epoch INT").parquet(path)
+    newest = states.agg(F.max("epoch")).first()[0]
+    return states.where(F.col("epoch") == newest).drop("epoch")
+
+
 def _save(df, path, epoch):
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 

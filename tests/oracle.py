@@ -60,8 +60,8 @@ def difference(spark, con, sf, name):
     if odd:
         return f"types {odd}"
     if got[1] != want[1]:
-        only_s = [r for r in got[1] if r not in set(want[1])][:3]
-        only_d = [r for r in want[1] if r not in set(got[1])][:3]
+        mine, theirs = set(got[1]), set(want[1])
+        only_s, only_d = list(mine - theirs)[:3], list(theirs - mine)[:3]
         return f"rows {len(got[1])}/{len(want[1])}\n   spark {only_s}\n   sql   {only_d}"
     return None if got[1] else "no rows"
 
