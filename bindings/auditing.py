@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings.common import query, table
+from bindings.common import query, spread, table
 from casefuse import fixed_values as fv
 from casefuse.functions import checks
 from casefuse.operators import audit
@@ -56,7 +56,8 @@ def _register(name, plant, sql, check):
 
     @query(name, f"SELECT o_orderkey, v AS value, coalesce({sql}, false) AS ok FROM {source}")
     def run(spark, sf):
-        rows = table(spark, sf, "orders").selectExpr("o_orderkey", f"{_PLANT[plant]} as value")
+        rows = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey")).selectExpr(
+            "o_orderkey", f"{_PLANT[plant]} as value")
         return rows.withColumn("ok", check(F.col("value")))
 
 
@@ -150,7 +151,7 @@ audited AS (SELECT case_id, field, value, res = 'ok' AS ok, nullif(res, 'ok') AS
 
 
 def _audited(spark, sf):
-    src = table(spark, sf, "customer")
+    src = spread(table(spark, sf, "customer"))
     rows = F.array(*[F.struct(F.lit(k).alias("field"), F.expr(e).alias("value")) for k, e in _FIELDS.items()])
     values = src.select(F.col("c_custkey").alias("case_id"), F.explode(rows).alias("r")).select("case_id", "r.*")
     types = src.selectExpr("c_custkey as case_id", f"{_TYPE} as tipo")

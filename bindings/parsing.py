@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings.common import calls, cte, query, table
+from bindings.common import calls, cte, query, spread, table
 from casefuse import fixed_values as fv
 from casefuse.functions import rules, text
 from casefuse.operators import replies
@@ -157,7 +157,7 @@ def normalised_votes(spark, sf):
 @query("fold_text", """
 SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS folded FROM documents""")
 def fold_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.fold(F.col("text")).alias("folded"))
 
 
 @query("clean_identifiers", "SELECT page_id, regexp_replace(upper(url), '[\\s.\\-]', '', 'g') AS cleaned FROM pages")
@@ -215,7 +215,7 @@ _TYPED_SQL = f"t AS (SELECT {', '.join(_TYPED)} FROM documents)"
 
 @query("document_types", f"WITH {_TYPED_SQL} SELECT {_DOC_TYPE} AS doc_type, count(*) AS n FROM t GROUP BY ALL")
 def document_types(spark, sf):
-    rows = table(spark, sf, "documents").selectExpr(*_TYPED)
+    rows = spread(table(spark, sf, "documents")).selectExpr(*_TYPED)
     return rows.groupBy(rules.document_type(F.col("text")).alias("doc_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -224,7 +224,7 @@ _LOCAL = f"CASE WHEN mime LIKE '%pdf%' OR lower(name) LIKE '%.pdf' THEN {_DOC_TY
 
 @query("local_document_types", f"WITH {_TYPED_SQL} SELECT doc_id, {_LOCAL} AS doc_type FROM t")
 def local_document_types(spark, sf):
-    rows = table(spark, sf, "documents").selectExpr(*_TYPED)
+    rows = spread(table(spark, sf, "documents")).selectExpr(*_TYPED)
     return rows.select("doc_id", rules.local_document_type(
         F.col("mime"), F.col("name"), F.col("text")).alias("doc_type"))
 
@@ -268,6 +268,6 @@ def identifier_kinds(spark, sf):
 @query("strong_identity", f"""WITH {_TYPED_SQL}, k AS (SELECT {_LOCAL} AS doc_type FROM t)
 SELECT doc_type IN ('{"','".join(fv.STRONG_IDENTITY_TYPES)}') AS strong, count(*) AS n FROM k GROUP BY ALL""")
 def strong_identity(spark, sf):
-    rows = table(spark, sf, "documents").selectExpr(*_TYPED)
+    rows = spread(table(spark, sf, "documents")).selectExpr(*_TYPED)
     kind = rules.local_document_type(F.col("mime"), F.col("name"), F.col("text"))
     return rows.groupBy(rules.is_strong_identity(kind).alias("strong")).agg(F.count(F.lit(1)).alias("n"))

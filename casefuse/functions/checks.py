@@ -60,15 +60,22 @@ def valid_any_id(c: Column) -> Column:
 
 
 def iban_remainder(v: Column) -> Column:
-    """Remainder modulo 97 with the first four characters moved to the end."""
-    moved = F.concat(F.substr(v, F.lit(5)), v.substr(1, 4))
-
-    def step(acc: Column, ch: Column) -> Column:
-        digit = _number(ch)
-        return F.when(digit.isNotNull(), (acc * 10 + digit) % 97).otherwise(
-            (acc * 100 + F.ascii(ch) - 55) % 97)
-
-    return F.aggregate(F.split(moved, ""), F.lit(0), step)
+    """Remainder modulo 97 with the first four characters moved to the end.
+
+    Letters become two digits, then fifteen digits at a time join the running remainder: at most
+    five steps for the longest shape, and never a number beyond a long.
+    """
+    digits = F.concat(F.substr(v, F.lit(5)), v.substr(1, 4))
+    for i, letter in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        digits = F.replace(digits, F.lit(letter), F.lit(str(10 + i)))
+
+    def remainder(d):
+        rem = F.lit(0).cast("long")
+        for start in range(1, 69, 15):
+            rem = F.concat(rem.cast("string"), d.substr(start, 15)).try_cast("long") % 97
+        return rem
+
+    return let(digits, remainder)
 
 
 def valid_iban(c: Column) -> Column:

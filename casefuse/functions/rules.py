@@ -1,5 +1,6 @@
 """Ordered first-match rule tables as CASE expressions."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,10 +10,19 @@ from casefuse import fixed_values as fv
 from casefuse.functions.text import clean_id, fold, let
 
 
+def _found(text: Column, pattern: str) -> Column:
+    """Is the pattern in the text? Its plain-word alternatives use a substring search."""
+    alternatives = re.split(r"\|(?![^(]*\))", pattern)
+    plain = [a for a in alternatives if re.fullmatch(r"[\w ]+", a)]
+    rest = [a for a in alternatives if a not in plain]
+    tests = [text.contains(a) for a in plain] + ([text.rlike("|".join(rest))] if rest else [])
+    return reduce(lambda a, b: a | b, tests)
+
+
 def first_match(text: Column, rules, default: str) -> Column:
     """Name of the first (name, pattern) rule found in the text."""
     return let(text, lambda t: reduce(
-        lambda acc, r: acc.when(t.rlike(r[1]), r[0]), rules, F).otherwise(default))
+        lambda acc, r: acc.when(_found(t, r[1]), r[0]), rules, F).otherwise(default))
 
 
 def document_type(text: Column, rules=fv.DOC_TYPE_RULES) -> Column:

@@ -13,17 +13,23 @@ WHITESPACE = "".join(map(chr, [
 
 
 def _accent_table():
-    """Each basic-plane letter that is one base character plus combining marks, and its base."""
-    accented, plain = [], []
-    for code in range(0xC0, 0x10000):
-        if 0xAC00 <= code <= 0xD7FF or 0xD800 <= code <= 0xDFFF:
+    """Letters made of one base character and marks, their bases, and the marks themselves.
+
+    `translate` drops every character that has no counterpart, so the marks come last.
+    """
+    accented, plain, marks = [], [], []
+    for code in [*range(0xC0, 0x20000), *range(0xE0100, 0xE01F0)]:
+        if 0xAC00 <= code <= 0xDFFF:
             continue
         ch = chr(code)
+        if unicodedata.category(ch) == "Mn":
+            marks.append(ch)
+            continue
         base = [c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn"]
         if len(base) == 1 and base[0] != ch:
             accented.append(ch)
             plain.append(base[0])
-    return "".join(accented), "".join(plain)
+    return "".join(accented + marks), "".join(plain)
 
 
 _ACCENTED, _PLAIN = _accent_table()
@@ -46,8 +52,7 @@ def nonblank(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case, no accents, single spaces, trimmed."""
-    bare = F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"\p{Mn}+", "")
-    return F.trim(F.regexp_replace(F.lower(bare), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.translate(c, _ACCENTED, _PLAIN)), r"\s+", " "))
 
 
 def clean_id(c: Column) -> Column:

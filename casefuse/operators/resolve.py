@@ -93,16 +93,24 @@ def expected_holder(holders: DataFrame) -> DataFrame:
         "case_id", F.col("hi.holder").alias("expected"), F.col("hi.n").alias("n_documents"))
 
 
+def intruder_documents(holders: DataFrame, expected: DataFrame) -> DataFrame:
+    """Documents whose holder is not the one their case expects."""
+    return holders.join(expected.select("case_id", "expected"), "case_id").where(
+        F.col("holder") != F.col("expected")).select("case_id", "doc_id", "holder")
+
+
 def flag_intruders(candidates: DataFrame, holders: DataFrame, expected: DataFrame) -> DataFrame:
-    """Mark candidates from a document that belongs to another holder than the case's."""
-    rows = candidates.join(holders, ["case_id", "doc_id"], "left").join(expected.select(
-        "case_id", "expected"), "case_id", "left")
-    intruder = F.coalesce(F.col("holder") != F.col("expected"), F.lit(False))
+    """Mark candidates from a document that belongs to another holder than the case's.
+
+    Documents are judged first, so the candidates join once, with the few foreign documents.
+    """
+    rows = candidates.join(intruder_documents(holders, expected), ["case_id", "doc_id"], "left")
+    intruder = F.col("holder").isNotNull()
     note = F.concat_ws(fv.NOTE_SEPARATOR, nonblank(F.col("note")),
                        F.format_string(fv.INTRUDER_NOTE, "holder"))
     return rows.withColumns({
         "intruder": intruder, "note": F.when(intruder, note).otherwise(F.col("note")),
-    }).drop("holder", "expected")
+    }).drop("holder")
 
 
 def flag_risky(candidates: DataFrame, doc_type: Column = None) -> DataFrame:
@@ -126,17 +134,18 @@ def decide(merged: DataFrame, protected: DataFrame = None) -> DataFrame:
     """State of every field that has candidates, with its first candidate.
 
     `protected(case_id, field)` are fields filled by the user or by a default: they become USER.
+    They enter the same aggregate as marker rows, so no join is needed.
     """
-    first = F.min_by(F.struct("value", "doc_id", "document", "note", "risky", "engines",
-                              "linked"), "ord").alias("first")
-    per_field = merged.groupBy("case_id", "field").agg(
-        F.count(F.lit(1)).alias("n_values"), first)
-    kept = F.lit(False)
+    rows = merged.select("case_id", "field", "ord", F.struct(
+        "value", "doc_id", "document", "note", "risky", "engines", "linked").alias("c"),
+        F.lit(False).alias("kept"))
     if protected is not None:
-        mark = protected.select("case_id", "field", F.lit(True).alias("kept")).distinct()
-        per_field = per_field.join(mark, ["case_id", "field"], "left")
-        kept = F.coalesce("kept", F.lit(False))
-    state = (F.when(kept, USER).when(F.col("n_values") > 1, CONFLICT)
+        rows = rows.unionByName(protected.select("case_id", "field", F.lit(True).alias("kept")),
+                                allowMissingColumns=True)
+    per_field = rows.groupBy("case_id", "field").agg(
+        F.count("ord").alias("n_values"), F.min_by("c", "ord").alias("first"),
+        F.bool_or("kept").alias("kept")).where(F.col("n_values") > 0)
+    state = (F.when(F.col("kept"), USER).when(F.col("n_values") > 1, CONFLICT)
              .when(F.col("first.risky"), WARN).otherwise(AI))
     return per_field.select("case_id", "field", state.alias("state"), "n_values", "first.*")
 

@@ -38,16 +38,22 @@ def consolidate(calls: DataFrame, documents: DataFrame = None, protected: DataFr
     `documents(case_id, doc_id, doc_type)` (by default the type the replies report first),
     `protected(case_id, field)`. With `coverage`, a case
     stops at the first call after which all those fields have a value. With `staged`, decoded
-    replies are written once to the shared folder and every later branch reads them from there;
-    without it each branch decodes again, which is cheaper on small input only.
+    replies and votes are written once to the shared folder and later branches read them from
+    there; without it each branch decodes again, which is cheaper on small input only.
     """
     parsed = replies.call_status(replies.parse_replies(voting.drop_dead_engines(calls))).drop("text")
     if staged:
         parsed = written(parsed, "parsed-replies")
+    votes = replies.votes(parsed)
     if coverage:
-        cut = voting.coverage_point(replies.votes(parsed), coverage)
+        if staged:
+            votes = written(votes, "votes")
+        cut = voting.coverage_point(votes, coverage)
+        if staged:
+            cut = written(cut, "coverage")
         parsed = voting.stop_when_covered(parsed, cut)
-    voted = voting.aggregate_votes(replies.votes(parsed))
+        votes = voting.stop_when_covered(votes, cut)
+    voted = voting.aggregate_votes(votes)
     types = voting.majority_type(parsed.withColumn(
         "tipo_identificacion", F.col("reply.tipo_identificacion")))
     issues = voting.last_status(parsed).withColumn("cause", failure_cause(F.col("status")))

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sets of engines and similar small buffers: keep hashing instead of sorting after 128 groups.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "32768",
     "spark.sql.session.timeZone": "UTC",
 }
 
