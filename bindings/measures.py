@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from bindings.common import query, table
 from casefuse.operators import distribution as dist
+from casefuse.operators import ordered
 
 _BINS = ["event_type as group_id", "cast(least(floor(value * 2), 255) as int) as bin"]
 
@@ -49,7 +50,8 @@ def _series(spark, sf):
 @query("threshold_islands", f"WITH {_RUNS.format(coverage=0.5)} SELECT series_id, start_pos, end_pos, peak FROM runs")
 def threshold_islands(spark, sf):
     series, dims = _series(spark, sf)
-    return dist.islands(series.join(dims, "series_id"), F.floor(F.col("span") * 0.5)).select(
+    rows = ordered.lookup(series, dims, ["series_id"], F.col("pos"))
+    return dist.islands(rows, F.floor(F.col("span") * 0.5)).select(
         "series_id", "start_pos", "end_pos", "peak")
 
 
@@ -66,5 +68,5 @@ box AS (SELECT series_id, min(pos) AS lo, max(pos) AS hi FROM series JOIN dims U
 SELECT series_id, greatest(0, lo - 6) AS start_pos, least(total - 1, hi + 6) AS end_pos FROM box JOIN dims USING (series_id)""")
 def series_extents(spark, sf):
     series, dims = _series(spark, sf)
-    ink = series.join(dims.select("series_id", "span"), "series_id").where(F.col("metric") > F.col("span") * 0.7)
+    ink = ordered.lookup(series, dims.select("series_id", "span"), ["series_id"], F.col("pos")).where(F.col("metric") > F.col("span") * 0.7)
     return dist.extents(ink, dims)

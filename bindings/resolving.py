@@ -99,11 +99,13 @@ class _Stages:
         self.parsed = replies.parse_replies(calls(spark, sf))
         self.packages = replies.packages(self.parsed)
         voted = voting.aggregate_votes(replies.votes(self.parsed))
+        made = self.parsed.select("case_id", "doc_id", "seq")
         self.rows = resolve.package_candidates(self.packages).unionByName(
-            resolve.proposal_candidates(voted, reported_types(self.parsed)))
+            resolve.proposal_candidates(voted, reported_types(self.parsed), made))
         self.holders = resolve.document_holders(self.packages)
         self.expected = resolve.expected_holder(self.holders)
-        self.flagged = resolve.flag_risky(resolve.flag_intruders(self.rows, self.holders, self.expected))
+        self.flagged = resolve.flag_risky(resolve.flag_intruders(
+            self.rows, self.holders, self.expected, made))
         self.merged = resolve.merge_candidates(self.flagged)
         self.protected = _protected(spark, sf)
         self.decisions = resolve.decide(self.merged, self.protected)

@@ -133,8 +133,7 @@ def call_progress(spark, sf):
     every = planted(spark, sf, "event_calls")
     size = every.groupBy("case_id").agg(F.count_distinct("batch").alias("n_batches"),
                                         F.count_distinct("engine").alias("n_engines"))
-    ran = voting.drop_dead_engines(every).join(size, "case_id")
-    return voting.progress(ran).select("case_id", "seq", "step", "total_steps")
+    return voting.progress(voting.drop_dead_engines(every), size).select("case_id", "seq", "step", "total_steps")
 
 
 @query("enabled_engines", """

@@ -57,7 +57,7 @@ def frame_lines(series: DataFrame, dims: DataFrame, coverage: float = 0.75, thic
     `series(series_id, pos, metric)`, `dims(series_id, span, total)`: `span` is the largest
     possible metric, `total` the number of positions.
     """
-    rows = series.join(dims, "series_id")
+    rows = ordered.lookup(series, dims, ["series_id"], F.col("pos"), width)
     limit = F.floor(F.col("span") * F.lit(coverage))
     runs = islands(rows, limit, width).join(dims, "series_id")
     thin = F.col("end_pos") - F.col("start_pos") + 1 <= thickness

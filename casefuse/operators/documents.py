@@ -55,14 +55,13 @@ def copy_manifest(docs: DataFrame, folder: str) -> DataFrame:
 
 def readable_documents(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Documents that yielded at least one page."""
-    return docs.join(pages.select("case_id", "doc_id").distinct(), ["case_id", "doc_id"],
-                     "left_semi")
+    return docs.join(pages.select("case_id", "doc_id"), ["case_id", "doc_id"], "left_semi")
 
 
 def unreadable_cases(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """One error row per case none of whose documents yielded a page."""
     return (docs.select("case_id").distinct()
-            .join(pages.select("case_id").distinct(), "case_id", "left_anti")
+            .join(pages.select("case_id"), "case_id", "left_anti")
             .withColumn("error", F.lit(fv.NO_DOCUMENTS_ERROR)))
 
 
@@ -119,7 +118,7 @@ def fill_in_types(docs: DataFrame, replies: DataFrame) -> DataFrame:
 
 def unreachable_documents(stored: DataFrame, listing: DataFrame) -> DataFrame:
     """Stored documents whose URI is no longer in the listing."""
-    return stored.join(listing.select("uri").distinct(), "uri", "left_anti")
+    return stored.join(listing.select("uri"), "uri", "left_anti")
 
 
 def restore_warnings(stored: DataFrame, listing: DataFrame, width: int = 120) -> DataFrame:

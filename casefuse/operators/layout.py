@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casefuse import fixed_values as fv
+from casefuse.operators import ordered
 
 
 def multipage_fields(widgets: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def signature_pages(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     """Candidates with a label; all candidates of a document where none has one."""
     rows = candidates.join(anchors, ["doc_id", "page_no"], "left")
     strong = rows.groupBy("doc_id").agg(F.count("anchor").alias("n_strong"))
-    return rows.join(strong, "doc_id").where(
+    return ordered.lookup(rows, strong, ["doc_id"], F.col("page_no")).where(
         (F.col("n_strong") == 0) | F.col("anchor").isNotNull()).select(
         "doc_id", "page_no", "anchor")
 

@@ -79,7 +79,7 @@ def apply_saved_mapping(suggested: DataFrame, fingerprints: DataFrame,
     """
     known = fingerprints.join(saved, "fingerprint").select("template_id", "canonical", "real")
     kept = suggested.where(F.col("canonical").isNotNull()).join(
-        known.select("template_id").distinct(), "template_id", "left_anti")
+        known.select("template_id"), "template_id", "left_anti")
     return known.withColumn("needs_review", F.lit(False)).unionByName(
         kept.select("template_id", "canonical", "real").withColumn("needs_review", F.lit(True)))
 

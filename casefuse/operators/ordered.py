@@ -53,6 +53,23 @@ def row_number(df: DataFrame, keys: list, order: list, buckets: list, out: str,
     return numbered.drop("_k", "_rn", "_before", "_total", *names)
 
 
+def lookup(df: DataFrame, table: DataFrame, keys: list, seq: Column, width: int = WIDTH,
+           source: DataFrame = None) -> DataFrame:
+    """Left join to a table with one row per key, a hot key's rows spread over its buckets.
+
+    A plain join on the key would send all its rows to one task, and the runtime's own skew split
+    does not apply where the table is an aggregate over that key. Here only the distinct
+    (key, bucket) pairs meet the table on the key; the rows meet the pairs on key and bucket.
+
+    The pairs come from `df` itself, which is then computed twice. Where `df` is costly, `source`
+    names cheaper rows (the keys and `seq`) that hold at least the same pairs.
+    """
+    df, names = _tagged(df, keys, [bucket_of(seq, width)])
+    pairs = df if source is None else _tagged(source, keys, [bucket_of(F.col("seq"), width)])[0]
+    pairs = pairs.select("_k", *keys).distinct().join(table, keys, "left").drop(*keys)
+    return df.join(pairs, "_k").drop("_k", *names)
+
+
 def neighbour(df: DataFrame, keys: list, seq: str, value: Column, out: str,
               following: bool = False, width: int = WIDTH) -> DataFrame:
     """STRUCT<v> with the value of the previous (or following) row of the key, null at the edge."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from casefuse import fixed_values as fv
 from casefuse.functions.rules import is_risky_source
 from casefuse.functions.text import is_blank, nonblank, value_key
+from casefuse.operators import ordered
 
 EMPTY, AI, CONFLICT, WARN, USER = "EMPTY", "AI", "CONFLICT", "WARN", "USER"
 _LINKED = "map<string,string>"
@@ -49,16 +50,18 @@ def apply_package(pkgs: DataFrame, to_second: Column) -> DataFrame:
         "case_id", "seq", "pkg_seq", _second(F.col("key"), to_second).alias("field"), "value")
 
 
-def proposal_candidates(voted: DataFrame, documents: DataFrame = None) -> DataFrame:
+def proposal_candidates(voted: DataFrame, documents: DataFrame = None,
+                        calls: DataFrame = None) -> DataFrame:
     """Candidates from voted values; dates never count.
 
-    `documents(case_id, doc_id, doc_type)` names the document of a value's first sighting.
+    `documents(case_id, doc_id, doc_type)` names the document of a value's first sighting;
+    `calls(case_id, doc_id, seq)` are the calls the votes came from.
     """
     rows = voted.where(~F.col("field").isin(*fv.DATE_FIELDS)).withColumnRenamed(
         "first_doc", "doc_id")
     if documents is not None:
-        rows = rows.join(documents.select("case_id", "doc_id", "doc_type"),
-                         ["case_id", "doc_id"], "left")
+        rows = ordered.lookup(rows, documents.select("case_id", "doc_id", "doc_type"),
+                              ["case_id", "doc_id"], F.col("first_seq"), source=calls)
     else:
         rows = rows.withColumn("doc_type", F.lit(None).cast("string"))
     return rows.select(
@@ -99,12 +102,15 @@ def intruder_documents(holders: DataFrame, expected: DataFrame) -> DataFrame:
         F.col("holder") != F.col("expected")).select("case_id", "doc_id", "holder")
 
 
-def flag_intruders(candidates: DataFrame, holders: DataFrame, expected: DataFrame) -> DataFrame:
+def flag_intruders(candidates: DataFrame, holders: DataFrame, expected: DataFrame,
+                   calls: DataFrame = None) -> DataFrame:
     """Mark candidates from a document that belongs to another holder than the case's.
 
     Documents are judged first, so the candidates join once, with the few foreign documents.
+    `calls(case_id, doc_id, seq)` are the calls the candidates came from.
     """
-    rows = candidates.join(intruder_documents(holders, expected), ["case_id", "doc_id"], "left")
+    rows = ordered.lookup(candidates, intruder_documents(holders, expected),
+                          ["case_id", "doc_id"], F.col("ord.seq"), source=calls)
     intruder = F.col("holder").isNotNull()
     note = F.concat_ws(fv.NOTE_SEPARATOR, nonblank(F.col("note")),
                        F.format_string(fv.INTRUDER_NOTE, "holder"))

@@ -61,12 +61,13 @@ def order_engines(enabled: DataFrame, order=fv.CALL_PRIORITY) -> DataFrame:
     return ranked.withColumn("call_order", F.row_number().over(w))
 
 
-def drop_dead_engines(calls: DataFrame, codes=fv.PERMANENT_FAILURE_CODES) -> DataFrame:
+def drop_dead_engines(calls: DataFrame, codes=fv.PERMANENT_FAILURE_CODES,
+                      width: int = ordered.WIDTH) -> DataFrame:
     """Calls up to each engine's first permanent failure, that failure included."""
     died = calls.where(F.col("http_code").isin(*codes)).groupBy("case_id", "engine").agg(
         F.min("seq").alias("died_at"))
-    return calls.join(died, ["case_id", "engine"], "left").where(
-        F.col("died_at").isNull() | (F.col("seq") <= F.col("died_at"))).drop("died_at")
+    marked = ordered.lookup(calls, died, ["case_id", "engine"], F.col("seq"), width)
+    return marked.where(F.col("died_at").isNull() | (F.col("seq") <= F.col("died_at"))).drop("died_at")
 
 
 def coverage_point(votes: DataFrame, fields) -> DataFrame:
@@ -78,10 +79,11 @@ def coverage_point(votes: DataFrame, fields) -> DataFrame:
     return covered.where(F.col("n_fields") == len(set(fields))).select("case_id", "cut_seq")
 
 
-def stop_when_covered(calls: DataFrame, cut: DataFrame) -> DataFrame:
+def stop_when_covered(rows: DataFrame, cut: DataFrame, width: int = ordered.WIDTH,
+                      calls: DataFrame = None) -> DataFrame:
     """Rows up to the coverage point of their case, all rows where there is none."""
-    return calls.join(cut, "case_id", "left").where(
-        F.col("cut_seq").isNull() | (F.col("seq") <= F.col("cut_seq"))).drop("cut_seq")
+    marked = ordered.lookup(rows, cut, ["case_id"], F.col("seq"), width, calls)
+    return marked.where(F.col("cut_seq").isNull() | (F.col("seq") <= F.col("cut_seq"))).drop("cut_seq")
 
 
 def coverage_fields():
@@ -101,14 +103,15 @@ def engines_answered(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("reply").isNotNull()).select("case_id", "engine").distinct()
 
 
-def progress(calls: DataFrame, width: int = ordered.WIDTH) -> DataFrame:
-    """Step number of each processed call and the case's ceiling of batches x engines.
+def progress(calls: DataFrame, ceilings: DataFrame, width: int = ordered.WIDTH) -> DataFrame:
+    """Step number of each processed call and its case's ceiling of batches x engines.
 
-    `calls` holds the calls that ran; `n_batches` and `n_engines` come with each row.
+    `calls` holds the calls that ran, `ceilings(case_id, n_batches, n_engines)` the plan.
     """
     steps = ordered.row_number(calls, ["case_id"], ["seq"],
                                [ordered.bucket_of(F.col("seq"), width)], "step")
-    return steps.withColumn("total_steps", F.col("n_batches") * F.col("n_engines"))
+    total = ceilings.select("case_id", (F.col("n_batches") * F.col("n_engines")).alias("total_steps"))
+    return ordered.lookup(steps, total, ["case_id"], F.col("seq"), width)
 
 
 def enabled_engines(available: DataFrame, selected: DataFrame) -> DataFrame:

@@ -51,8 +51,8 @@ def consolidate(calls: DataFrame, documents: DataFrame = None, protected: DataFr
         cut = voting.coverage_point(votes, coverage)
         if staged:
             cut = written(cut, "coverage")
-        parsed = voting.stop_when_covered(parsed, cut)
-        votes = voting.stop_when_covered(votes, cut)
+        votes = voting.stop_when_covered(votes, cut, calls=parsed)
+        parsed = voting.stop_when_covered(parsed, cut, calls=parsed)
     voted = voting.aggregate_votes(votes)
     types = voting.majority_type(parsed.withColumn(
         "tipo_identificacion", F.col("reply.tipo_identificacion")))
@@ -61,9 +61,10 @@ def consolidate(calls: DataFrame, documents: DataFrame = None, protected: DataFr
         documents = reported_types(parsed)
     pkgs = replies.packages(parsed)
     holders = resolve.document_holders(pkgs)
+    made = parsed.select("case_id", "doc_id", "seq")
     rows = resolve.package_candidates(pkgs).unionByName(
-        resolve.proposal_candidates(voted, documents))
-    flagged = resolve.flag_intruders(rows, holders, resolve.expected_holder(holders))
+        resolve.proposal_candidates(voted, documents, made))
+    flagged = resolve.flag_intruders(rows, holders, resolve.expected_holder(holders), made)
     merged = resolve.merge_candidates(resolve.flag_risky(flagged))
     decisions = resolve.decide(merged, protected)
     return Consolidation(parsed, voted, types, issues, merged, decisions,

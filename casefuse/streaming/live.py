@@ -40,8 +40,8 @@ def _save(df, path, epoch):
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def _unseen(batch, last_seen):
-    return batch.join(last_seen, "case_id", "left").where(
+def _unseen(batch, last_seen, width):
+    return ordered.lookup(batch, last_seen, ["case_id"], F.col("seq"), width).where(
         F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))).drop("last_seq")
 
 
@@ -63,7 +63,7 @@ def start_change_feed(stream: DataFrame, out: str, state: str, checkpoint: str,
     def handle(batch: DataFrame, epoch: int) -> None:
         before = _state(batch, state, epoch, FEED_STATE)
         seen = before.select("case_id", F.col("seq").alias("last_seq"))
-        fresh = _unseen(batch.select("case_id", "seq", "snapshot"), seen).persist()
+        fresh = _unseen(batch.select("case_id", "seq", "snapshot"), seen, width).persist()
         both = before.withColumn("old", F.lit(True)).unionByName(fresh.withColumn("old", F.lit(False)))
         _save(changed_rows(both, width).where(~F.col("old")).drop("old"), out, epoch)
         newest = F.max_by(F.struct("seq", "snapshot"), "seq").alias("s")
@@ -84,7 +84,7 @@ def start_edit_replay(stream: DataFrame, state: str, checkpoint: str, trigger=No
         opened = _state(batch, f"{state}/open", epoch, OPEN_EDITS)
         base = _state(batch, f"{state}/base", epoch, BASE_FIELDS)
         seen = _state(batch, f"{state}/seen", epoch, LAST_SEEN)
-        fresh = _unseen(batch.select(*ed.EDIT_COLUMNS), seen)
+        fresh = _unseen(batch.select(*ed.EDIT_COLUMNS), seen, width)
         log = opened.unionByName(fresh).persist()
         settled = ed.settle_edits(log, depth, width).persist()
         _save(settled.where(F.col("fate") == "open").drop("fate"), f"{state}/open", epoch)

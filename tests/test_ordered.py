@@ -38,6 +38,15 @@ def test_neighbour_across_buckets(spark, width, following):
         assert mine == want
 
 
+def test_lookup_keeps_every_row(spark):
+    data = _rows(4, [1, 2, 3, None], 40)
+    df = spark.createDataFrame(data, "case_id long, seq long, v string")
+    table = spark.createDataFrame([(1, "x"), (2, None), (9, "z")], "case_id long, t string")
+    got = ordered.lookup(df, table, ["case_id"], F.col("seq"), 3).collect()
+    assert sorted((r.seq, r.t) for r in got) == sorted(
+        ((s, {1: "x"}.get(c)) for c, s, _ in data), key=lambda x: x[0])
+
+
 @pytest.mark.parametrize("width", [1, 4, 1000])
 def test_running_height_never_below_zero(spark, width):
     rnd = random.Random(3)
