@@ -112,16 +112,25 @@ def proposals(parsed: DataFrame) -> DataFrame:
         "case_id", "doc_id", "engine", "seq", "pos", "col.*")
 
 
-def votes(parsed: DataFrame) -> DataFrame:
-    """Proposals in normal form, blanks dropped.
+def votes(parsed: DataFrame, fields=None) -> DataFrame:
+    """Proposals in normal form, blanks dropped; only of some fields if given.
 
     Blanks go before the explode: a filter after it would be pushed down and would normalise
     every value a second time.
     """
-    normal = F.transform(_items(F.col("reply")), lambda x, i: F.struct(
-        i.alias("pos"), x["field"].alias("field"),
-        normalise_value(x["field"], x["value"]).alias("value")))
-    kept = F.filter(normal, lambda x: x["value"].isNotNull())
+    def normal(x, pos):
+        return F.struct(pos.alias("pos"), x["field"].alias("field"),
+                        normalise_value(x["field"], x["value"]).alias("value"))
+
+    items = _items(F.col("reply"))
+    if fields is None:
+        values = F.transform(items, normal)
+    else:
+        placed = F.transform(items, lambda x, i: F.struct(
+            i.alias("pos"), x["field"].alias("field"), x["value"].alias("value")))
+        wanted = F.filter(placed, lambda x: x["field"].isin(*fields))
+        values = F.transform(wanted, lambda x: normal(x, x["pos"]))
+    kept = F.filter(values, lambda x: x["value"].isNotNull())
     return parsed.select("case_id", "doc_id", "engine", "seq", F.explode(kept).alias("v")).select(
         "case_id", "doc_id", "engine", "seq", "v.*")
 

@@ -36,23 +36,21 @@ def consolidate(calls: DataFrame, documents: DataFrame = None, protected: DataFr
 
     `calls(case_id, doc_id, engine, seq, http_code, ok, error, text)`,
     `documents(case_id, doc_id, doc_type)` (by default the type the replies report first),
-    `protected(case_id, field)`. With `coverage`, a case
-    stops at the first call after which all those fields have a value. With `staged`, decoded
-    replies and votes are written once to the shared folder and later branches read them from
-    there; without it each branch decodes again, which is cheaper on small input only.
+    `protected(case_id, field)`. With `coverage`, a case stops at the first call after which all
+    those fields have a value: a first pass over the replies finds that call from those fields
+    alone, and later calls are dropped as raw text. With `staged`, the decoded replies that are
+    left are written once to the shared folder and every branch reads them from there; without
+    it each branch decodes again, which is cheaper on small input only.
     """
-    parsed = replies.call_status(replies.parse_replies(voting.drop_dead_engines(calls))).drop("text")
+    used = voting.drop_dead_engines(calls)
+    if coverage:
+        first = replies.votes(replies.parse_replies(used), coverage)
+        cut = voting.coverage_point(first, coverage)
+        used = voting.stop_when_covered(used, written(cut, "coverage") if staged else cut, calls=calls)
+    parsed = replies.call_status(replies.parse_replies(used)).drop("text")
     if staged:
         parsed = written(parsed, "parsed-replies")
     votes = replies.votes(parsed)
-    if coverage:
-        if staged:
-            votes = written(votes, "votes")
-        cut = voting.coverage_point(votes, coverage)
-        if staged:
-            cut = written(cut, "coverage")
-        votes = voting.stop_when_covered(votes, cut, calls=parsed)
-        parsed = voting.stop_when_covered(parsed, cut, calls=parsed)
     voted = voting.aggregate_votes(votes)
     types = voting.majority_type(parsed.withColumn(
         "tipo_identificacion", F.col("reply.tipo_identificacion")))
