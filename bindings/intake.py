@@ -57,13 +57,13 @@ def copy_manifest(spark, sf):
     return docs.copy_manifest(rows, "/app/docs").select("doc_id", "already_owned", "target_uri")
 
 
-_PAGES_SQL = """pages_of AS (SELECT conv_id % 40 AS case_id, conv_id AS doc_id FROM conversations WHERE role <> 'user' AND conv_id % 40 < 30),
+_PAGES_SQL = """pages_of AS (SELECT conv_id % 40 AS case_id, conv_id AS doc_id FROM conversations WHERE role <> 'user' AND conv_id % 4 <> 0),
 docs_of AS (SELECT DISTINCT conv_id % 40 AS case_id, conv_id AS doc_id FROM conversations)"""
 
 
 def _docs_pages(spark, sf):
     c = table(spark, sf, "conversations")
-    pages = c.where("role <> 'user' and conv_id % 40 < 30").selectExpr("conv_id % 40 as case_id", "conv_id as doc_id")
+    pages = c.where("role <> 'user' and conv_id % 4 <> 0").selectExpr("conv_id % 40 as case_id", "conv_id as doc_id")
     return c.selectExpr("conv_id % 40 as case_id", "conv_id as doc_id").distinct(), pages
 
 
