@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from bindings.common import query, table
-from casefuse import fixed_values as fv
 from casefuse.session import shared_dir
 from casefuse.sources import history as hi
 from casefuse.sources import tables as tb

@@ -166,7 +166,6 @@ MIME_BY_EXTENSION = {
 DEFAULT_MIME = "application/octet-stream"
 DEFAULT_NAME = "documento"
 BATCH_LABEL = "%s (parte %d/%d)"
-BATCH_MARK = " (parte "
 NO_DOCUMENTS_ERROR = "No se pudieron leer los documentos."
 EMPTY_REPLY = "(vacío)"
 UNPARSEABLE_STATUS = 'respuesta no parseable — "%s"'
