@@ -1,6 +1,8 @@
 """What several operators share: words, row packing, written intermediates and checks of columns."""
 
-from pyspark.sql import Column, DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casefuse.sources.tables import read_table, written  # noqa: F401  (used by the operators)
@@ -9,6 +11,17 @@ from casefuse.sources.tables import read_table, written  # noqa: F401  (used by
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it is not installed or shipped with the job."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, _ROOT]))
+    return spark
+
+
 def utf8(values) -> list:
     """An Arrow string column as bytes; `bytes.split()` cuts exactly at the white space of WORD."""
     return values.cast("large_binary").to_pylist()

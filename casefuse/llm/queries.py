@@ -2,22 +2,55 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casefuse.llm import simhash
-from casefuse.llm.common import read_table
+from casefuse.llm import embeddings, html_text, packing, quality, secrets, simhash
+from casefuse.llm.common import importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+TOKENIZER = "word_bpe_49k.json"
 
 
 def query(fn):
     """Register a query under its function's name."""
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(importable(spark), sf_dir)
     return fn
 
 
+@query
+def op1_html_text_blocks(spark, sf_dir):
+    """Main text of all pages."""
+    return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_secret_randomness(spark, sf_dir):
+    """Secrets of all documents."""
+    return secrets.find_secrets(read_table(spark, sf_dir, "documents")).drop("found")
+
+
 @query
 def op5_simhash_bit_sliced(spark, sf_dir):
     """SimHash components of all documents."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_embedding_cross_polytope(spark, sf_dir):
+    """Links, components and keepers of all vectors."""
+    return embeddings.link_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_packing_best_fit(spark, sf_dir):
+    """Windows of 4096 tokens out of all documents."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op10_quality_decision_list(spark, sf_dir):
+    """Statistics and verdict of all documents."""
+    return quality.judge(read_table(spark, sf_dir, "documents"),
+                         read_table(spark, sf_dir, "labels"))
