@@ -2,10 +2,11 @@
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from casefuse.sources.tables import read_table, written  # noqa: F401  (used by the operators)
+from casefuse.session import shared_dir
+from casefuse.sources.tables import read_table  # noqa: F401  (used by the operators)
 
 # The one definition of a word: a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +28,19 @@ def utf8(values) -> list:
     return values.cast("large_binary").to_pylist()
 
 
+def written(df: DataFrame, name: str, **watched: Column):
+    """The rows read back from a new table in the shared folder: lineage cut, work done once.
+
+    With `watched` aggregates, (rows, their values); they are taken while the rows are written.
+    """
+    path, seen = shared_dir(df.sparkSession, name), Observation()
+    if watched:
+        df = df.observe(seen, *[c.alias(k) for k, c in watched.items()])
+    df.write.parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (rows, seen.get) if watched else rows
+
+
 def packed(df: DataFrame, *columns) -> DataFrame:
     """Named working columns beside the whole input row in `row`: no input name can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)

@@ -24,11 +24,6 @@ def _toward_smallest(links: DataFrame, both: bool) -> DataFrame:
         low.select("u", F.col("m").alias("v")))
 
 
-def _state(links: DataFrame):
-    r = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(r)
-
-
 def components(links: DataFrame) -> DataFrame:
     """`node, component`: the smallest node reachable, for every node that has a link.
 
@@ -39,13 +34,12 @@ def components(links: DataFrame) -> DataFrame:
     a, b = links.columns
     links = links.where(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    links = written(links, "links")
-    before = _state(links)
-    while before[0]:
+    watched = {"n": F.count(F.lit(1)), "sum": F.bit_xor(F.xxhash64("u", "v"))}
+    links, before = written(links, "links", **watched)
+    while before["n"]:
         links = _toward_smallest(links, both=True).where("u > v").distinct()
         links = _toward_smallest(written(links, "stars"), both=False).where("u > v").distinct()
-        links = written(links, "links")
-        now = _state(links)
+        links, now = written(links, "links", **watched)
         if now == before:
             break
         before = now

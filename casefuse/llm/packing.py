@@ -155,9 +155,9 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Add `sequence_id, offset` to a written table of pieces with `at, start, length`."""
-    total, n = pieces.agg(F.sum("length"), F.count(F.lit(1))).first()
-    groups = max(1, -(-(total or 0) // GROUP_TOKENS), -(-n // GROUP_PIECES))
+    """Add `sequence_id, offset` to pieces with `at, start, length`."""
+    pieces, seen = written(pieces, "pieces", total=F.sum("length"), n=F.count(F.lit(1)))
+    groups = max(1, -(-(seen["total"] or 0) // GROUP_TOKENS), -(-seen["n"] // GROUP_PIECES))
     dealt = pieces.withColumn("group", F.pmod(mix64(F.col("at"), F.col("start"), seed=3),
                                               F.lit(groups)))
 
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows = rows.select("doc_id", "at", F.aggregate(
         "pieces", F.lit(0).cast("long"), lambda n, p: n + p["length"]).alias("doc_tokens"),
         F.explode("pieces").alias("p")).select("doc_id", "at", "p.*", "doc_tokens")
-    out = packed_pieces(written(rows, "pieces"), window)
+    out = packed_pieces(rows, window)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
                       "offset", *(["ids"] if keep_ids else []))
 

@@ -191,15 +191,20 @@ def learn_rules(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """Rules learned from counted rows (`id_col` and struct `stats`) and `labels(doc_id, quality)`.
 
     Quality 0 rejects, 1 keeps; other and null labels are passed over, and so are rows that the
-    fixed rules reject already. At most `max_labelled` rows, those of smallest hash, are used.
-    Without rows of both kinds the list is empty.
+    fixed rules reject already. Of more than `max_labelled` rows a part of about that size, chosen
+    by a hash of the id, is used. Without rows of both kinds the list is empty.
     """
     s = F.col("stats")
     judged = labels.where(F.col("quality").isin(0, 1)).select(
         F.col("doc_id").alias("id"), "quality").dropna()
     rows = counted.where(~base_failed(s)).select(
         F.col(id_col).alias("id"), *[c.alias(k) for k, c in features(s).items()]).join(judged, "id")
-    rows = rows.orderBy(mix64(F.col("id"), seed=11), *rows.columns).limit(max_labelled).collect()
+    rows, seen = written(rows, "labelled", n=F.count(F.lit(1)))
+    n = seen["n"]
+    if n > max_labelled:
+        rows = rows.where(F.pmod(mix64(F.col("id"), seed=11), F.lit(1 << 30))
+                          < int((1 << 30) * max_labelled / n))
+    rows = sorted(rows.collect())
     names = list(features(s))
     table = {k: np.array([r[k] for r in rows], float) for k in names}
     bad = np.array([r["quality"] == 0 for r in rows], bool)
