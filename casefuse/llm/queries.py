@@ -4,8 +4,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casefuse.llm import embeddings, html_text, packing, quality, secrets, simhash
+from casefuse.llm import (
+    embeddings, html_text, lines, mixing, packing, quality, secrets, shards, simhash, warc)
 from casefuse.llm.common import importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +27,18 @@ def op1_html_text_blocks(spark, sf_dir):
     return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+@query
+def op2_sharding_kd_tree(spark, sf_dir):
+    """All documents in 40 shards of near-equal bytes."""
+    return shards.kd_shards(read_table(spark, sf_dir, "documents"), 40)
+
+
+@query
+def op3_mixing_block_slots(spark, sf_dir):
+    """Words that the mix takes of every document."""
+    return mixing.mix_report(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_secret_randomness(spark, sf_dir):
     """Secrets of all documents."""
@@ -37,12 +51,29 @@ def op5_simhash_bit_sliced(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_warc_dictionary(spark, sf_dir):
+    """All pages written to archives and read back."""
+    return warc.archive_pages(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 @query
 def op7_embedding_cross_polytope(spark, sf_dir):
     """Links, components and keepers of all vectors."""
     return embeddings.link_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op8_line_site_frequency(spark, sf_dir):
+    """Lines of all documents, with the boilerplate of their source taken out."""
+    report = lines.line_report(read_table(spark, sf_dir, "documents"), F.col("source"))
+    return report.withColumn("text_md5", F.md5("text")).drop("text")
+
+
+SQL["op8_line_site_frequency"] = lines.report_sql()
+
+
 @query
 def op9_packing_best_fit(spark, sf_dir):
     """Windows of 4096 tokens out of all documents."""
