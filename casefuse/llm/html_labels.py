@@ -55,4 +55,20 @@ LABELLED = [
     f'<footer>Imprint</footer></body>',
     f'<body><header>Site</header><nav>{_MENU}</nav><main><p data-main>{_MEDIUM}</p></main>'
     f'<aside><h2>Popular</h2><p><a href="/p">{_MEDIUM}</a></p></aside><footer>{_SHORT}</footer></body>',
+    # Pages cut off inside the article, linked words and whole linked paragraphs of an article.
+    f'<body><nav>{_MENU}</nav><article><h1 data-main>Tide</h1><p data-main>{_LONG} <a href="/t">Tables'
+    f'</a></p><p data-main>See <a href="/u">the tables</a></p><p data-main>{_MEDIUM}</p>'
+    f'<p data-main>It <a href="/v">rose</a>',
+    f'<body><header>Site</header><div class="content"><h2 data-main><a href="/w">Wells</a></h2>'
+    f'<p data-main><a href="/x">One source</a></p><p data-main>{_MEDIUM}</p><ul><li data-main>'
+    f'<a href="/y">Survey of 1901</a></li><li data-main><a href="/z">Map</a></li></ul><p data-main>So',
+    f'<body><main><p data-main>A <a href="/1">short</a> note.</p><p data-main>{_MEDIUM}</p></main>',
+    f'<body><nav><p>{_LONG}</p></nav><article><p data-main>{_SHORT}</p></article>',
+    f'<body><aside>{_MEDIUM}</aside><article><p data-main><a href="/2">{_MEDIUM}</a></p></article>',
+    # No hints, article last; and no hints, nothing but links.
+    f'<body><p><a href="/">Home</a></p><p data-main>{_LONG}</p><p data-main>{_MEDIUM}</p>'
+    f'<p data-main>{_LONG} <a href="/3">Read it</a></p><p data-main>{_MEDIUM} {_MEDIUM}</p>'
+    f'<p data-main>{_MEDIUM} <a href="/7">See here</a> {_MEDIUM}</p><p data-main>{_MEDIUM}</p>',
+    f'<body><p><a href="/">Home</a></p><p><a href="/4">{_MEDIUM}</a></p><p><a href="/5">More</a> of it'
+    f'</p><p><a href="/6">Archive of old stories</a></p>',
 ]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from casefuse.llm.html_labels import LABELLED
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after",
-            "aside", "inside", "heading", "first", "last"]
+            "aside", "inside", "heading"]
 
 _TAG = re.compile(
     r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)"""
@@ -180,7 +180,7 @@ def described(found: list) -> list:
     for i, b in enumerate(found):
         rows.append((b[1], share[i], found[i - 1][1] if i else 0, share[i - 1] if i else 0.0,
                      found[i + 1][1] if i + 1 < n else 0, share[i + 1] if i + 1 < n else 0.0,
-                     b[3], b[4], b[5], float(i == 0), float(i == n - 1)))
+                     b[3], b[4], b[5]))
     return rows
 
 

@@ -101,7 +101,7 @@ class ArchiveWriter:
         self.where, self.n_records, self.n_bytes = where, 0, 0
         system, path = fs.FileSystem.from_uri(where)
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        self.out = system.open_output_stream(path)
+        self.out = system.open_output_stream(path, compression=None)
         self.compressor = zstandard.ZstdCompressor(
             level=level, dict_data=_loaded(dictionary), write_checksum=True)
         if dictionary:
@@ -123,7 +123,7 @@ class ArchiveWriter:
 def open_archive(where: str):
     """(dictionary, stream of the records one after the other) of an archive."""
     system, path = fs.FileSystem.from_uri(where)
-    source = system.open_input_stream(path)
+    source = system.open_input_stream(path, compression=None)
     head = source.read(8)
     dictionary = b""
     if len(head) == 8 and struct.unpack("<I", head[:4])[0] == SKIPPABLE:
