@@ -177,11 +177,21 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
-def _cut(text: Column, start: Column, n: Column) -> Column:
-    """`n` words of a text from word `start` on, with the white space between them."""
-    words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    return F.regexp_replace(F.array_join(F.slice(words, start + 1, n), ""),
-                            r"[\x20\x09-\x0D]+$", "")
+def _text_parts(text: Column, spans: Column) -> Column:
+    """The words of each (from_word, words) span, with the white space inside and between spans
+    that touch; other spans are joined by a new line. The text is cut into words once."""
+    cut = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+
+    def part(words, p, i):
+        piece = F.array_join(F.slice(words, (p["from_word"] + 1).cast("int"),
+                                     p["words"].cast("int")), "")
+        following = F.get(spans, i + 1)["from_word"]
+        ended = F.regexp_replace(piece, r"[\x20\x09-\x0D]+$", "")
+        return F.when(following.isNull(), ended).when(
+            following == p["from_word"] + p["words"], piece).otherwise(F.concat(ended, F.lit("\n")))
+
+    return F.transform(F.array(cut), lambda words: F.array_join(F.transform(
+        spans, lambda p, i: part(words, p, i)), ""))[0]
 
 
 def _with_text(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, seed: int):
@@ -198,9 +208,8 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """`shard, slot, doc_ids, text`: the blocks of the mix in their output places."""
     rows, taken = _with_text(docs, id_col, text_col, source_col, block, seed)
     part = taken.join(rows, "at").select("shard", "slot", F.struct(
-        "offset", "at", F.col(f"row.`{id_col}`").alias("doc_id"),
-        _cut(F.col("text"), F.col("from_word").cast("int"), F.col("words").cast("int")).alias(
-            "text")).alias("p"))
+        "offset", "at", F.col(f"row.`{id_col}`").alias("doc_id"), _text_parts(
+            F.col("text"), F.array(F.struct("from_word", "words"))).alias("text")).alias("p"))
     parts = F.array_sort(F.collect_list("p"))
     return part.groupBy("shard", "slot").agg(parts.alias("p")).select(
         "shard", "slot", F.col("p.doc_id").alias("doc_ids"),
@@ -218,18 +227,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = F.array_sort(F.collect_list(F.struct("from_word", "words")))
     times = taken.groupBy("at", "epoch").agg(spans.alias("spans"), F.sum("words").alias("n"))
     joined = rows.join(written(times, "times"), "at")
-    touching = F.aggregate("spans", F.array().cast("array<struct<s: long, n: long>>"), lambda out, p:
-                           F.when((F.size(out) > 0) & (F.element_at(out, -1)["s"] + F.element_at(
-                               out, -1)["n"] == p["from_word"]), F.concat(
-                               F.slice(out, 1, F.size(out) - 1), F.array(F.struct(
-                                   F.element_at(out, -1)["s"].alias("s"),
-                                   (F.element_at(out, -1)["n"] + p["words"]).alias("n")))))
-                           .otherwise(F.concat(out, F.array(F.struct(
-                               p["from_word"].alias("s"), p["words"].alias("n"))))))
-    part = F.array_join(F.transform(touching, lambda p: _cut(
-        F.col("text"), p["s"].cast("int"), p["n"].cast("int"))), "\n")
-    text = F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(part)
-    new = {text_col: text}
+    text = F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(
+        _text_parts(F.col("text"), F.col("spans")))
+    joined = joined.select("row", text.alias("new"))
+    new = {text_col: F.col("new")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
     return unpacked(joined, docs.columns, **new)

@@ -7,9 +7,10 @@ string is ordinary (names, paths, counters) and not random:
   noncentral distribution for the preference of ordinary text in that alphabet;
 - runs: ordinary strings keep to one class of characters (digits, capitals, small letters) longer;
 - serial correlation: ordinary sequences have neighbours that depend on each other.
-A string counts as random only if all three reject, so its p-value is the largest of the three.
-Long strings give the tests more power by themselves; the false discovery rate is controlled over
-the whole corpus by Benjamini and Hochberg inside each stratum of encoding and length band.
+The three are combined as a weighted sum of normal scores, in which the first counts double and the
+others are bounded, so that they alone never make a string random. Long strings give the tests more
+power by themselves; the false discovery rate is controlled over the whole corpus by Benjamini and
+Hochberg inside each stratum of encoding and length band.
 """
 
 import hashlib
@@ -42,21 +43,23 @@ ENCODINGS = [("hex", _DIGITS + "abcdef", 1.0), ("hex", _DIGITS + "ABCDEF", 1.0),
 _SETS = [(name, frozenset(a), {c: i for i, c in enumerate(a)}, bias) for name, a, bias in ENCODINGS]
 #: p-values are rounded up to the grid 10^(-j / GRID), j to STEPS.
 GRID, STEPS = 20, 400
+#: The runs and serial scores count up to this.
+BOUND = 2.0
 
 
 def _normal_cdf(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def noncentral_cdf(x: float, df: int, shift: float) -> float:
-    """Chance of a noncentral chi-squared value up to x (Sankaran's approximation)."""
+def noncentral_score(x: float, df: int, shift: float) -> float:
+    """A noncentral chi-squared value as a normal score (Sankaran's approximation)."""
     mean, spread = df + shift, df + 2 * shift
     h = 1 - 2 * mean * (df + 3 * shift) / (3 * spread * spread)
     p = spread / (mean * mean)
     m = (h - 1) * (1 - 3 * h)
     at = (x / mean) ** h if x > 0 else 0.0
     mu = 1 + h * p * (h - 1 - 0.5 * (2 - h) * m * p)
-    return _normal_cdf((at - mu) / (h * math.sqrt(2 * p) * (1 + 0.5 * m * p)))
+    return (at - mu) / (h * math.sqrt(2 * p) * (1 + 0.5 * m * p))
 
 
 def infer(token: str):
@@ -76,27 +79,28 @@ def _kind(c: str) -> int:
 
 
 def battery(token: str, place: dict, bias: float) -> float:
-    """The largest p-value of the three tests."""
+    """The p-value of the combined tests: how likely an ordinary string looks this random."""
     body = token.rstrip("=")
     n, k = len(body), len(place)
     counts = {}
     for c in body:
         counts[c] = counts.get(c, 0) + 1
     chi = k / n * sum(v * v for v in counts.values()) - n
-    even = noncentral_cdf(chi, k - 1, n * bias)
+    even = -noncentral_score(chi, k - 1, n * bias)
     kinds = [_kind(c) for c in body]
     shares = [kinds.count(i) / n for i in range(4)]
     same = sum(s * s for s in shares)
     expected = 1 + (n - 1) * (1 - same)
     spread = math.sqrt(max((n - 1) * same * (1 - same), 0.25))
     runs = 1 + sum(a != b for a, b in zip(kinds, kinds[1:]))
-    broken = 1 - _normal_cdf((runs - 0.6 * expected) / spread)
+    broken = (runs - 0.6 * expected) / spread
     at = [place[c] for c in body]
     mean = sum(at) / n
     total = sum((a - mean) ** 2 for a in at)
     serial = sum((a - mean) * (b - mean) for a, b in zip(at, at[1:])) / total if total else 1.0
-    apart = 1 - _normal_cdf((0.5 - abs(serial)) * math.sqrt(n))
-    return min(1.0, max(even, broken, apart))
+    apart = (0.5 - abs(serial)) * math.sqrt(n)
+    score = (2 * even + min(broken, BOUND) + min(apart, BOUND)) / math.sqrt(6)
+    return _normal_cdf(-score)
 
 
 def step_of(p: float) -> int:
@@ -182,7 +186,7 @@ def discoveries(scanned: DataFrame, rate: float) -> dict:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 rate: float = 0.01) -> DataFrame:
+                 rate: float = 0.001) -> DataFrame:
     """Secrets of every row: counts and digest of the base spans, and all spans.
 
     Offsets are code points of the whole text, ends exclusive; `found` has the spans as structs,
