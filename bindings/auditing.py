@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings.common import query, spread, table
+from bindings.common import query, table
 from casefuse import fixed_values as fv
 from casefuse.functions import checks
 from casefuse.operators import audit
@@ -56,7 +56,7 @@ def _register(name, plant, sql, check):
 
     @query(name, f"SELECT o_orderkey, v AS value, coalesce({sql}, false) AS ok FROM {source}")
     def run(spark, sf):
-        rows = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey")).selectExpr(
+        rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey").selectExpr(
             "o_orderkey", f"{_PLANT[plant]} as value")
         return rows.withColumn("ok", check(F.col("value")))
 
@@ -128,20 +128,21 @@ _FIELDS = {
     "Datos bancarios del DISTRIBUIDOR": _PLANT["iban"],
     "Fecha": _PLANT["day"],
     "Población": "'Ciudad'",
+    "CP 2": "case when c_custkey % 2 = 0 then '46001' else '28001' end",
 }
 _FIELDS = {k: v.replace("o_orderkey", "c_custkey").replace("o_custkey", "c_nationkey") for k, v in _FIELDS.items()}
 _TYPE = "split_part('CIF,n.i.f.,NIE,,xx', ',', cast(c_custkey % 5 + 1 as int))"
 _AUDIT = f"""
 src AS (SELECT c_custkey AS case_id, {', '.join(f'{e} AS f{i}' for i, e in enumerate(_FIELDS.values()))},
         {_TYPE} AS tipo FROM customer),
-vals AS ({' UNION ALL '.join(f"SELECT case_id, '{k}' AS field, f{i} AS v, tipo, CASE WHEN '{k}' = 'CP' THEN f2 WHEN '{k}' = 'CP_2' THEN f4 END AS province FROM src" for i, k in enumerate(_FIELDS))}),
+vals AS ({' UNION ALL '.join(f"SELECT case_id, '{k}' AS field, f{i} AS v, tipo, CASE WHEN '{k}' = 'CP' THEN f2 WHEN '{k}' = 'CP_2' THEN f4 WHEN '{k}' = 'CP 2' THEN f2 END AS province FROM src" for i, k in enumerate(_FIELDS))}),
 checked AS (SELECT case_id, field, v AS value, CASE WHEN trim(v) = '' THEN NULL
   WHEN field = 'NIE' THEN CASE replace(upper(tipo), '.', '')
      WHEN 'CIF' THEN CASE WHEN {_CIF} THEN 'ok' ELSE '{fv.MESSAGES["cif"]}' END
      WHEN 'NIF' THEN CASE WHEN {_DNI} THEN 'ok' ELSE '{fv.MESSAGES["nif"]}' END
      WHEN 'NIE' THEN CASE WHEN {_NIE} THEN 'ok' ELSE '{fv.MESSAGES["nie"]}' END
      ELSE CASE WHEN ({_DNI}) OR ({_NIE}) OR ({_CIF}) THEN 'ok' ELSE '{fv.MESSAGES["any_id"]}' END END
-  WHEN field IN ('CP', 'CP_2') THEN coalesce({_postcode_sql('v', 'province')}, 'ok')
+  WHEN field IN ('CP', 'CP_2', 'CP 2') THEN coalesce({_postcode_sql('v', 'province')}, 'ok')
   WHEN field = 'Teléfono' THEN CASE WHEN {_RULES['phone_check'][1]} THEN 'ok' ELSE '{fv.MESSAGES["phone"]}' END
   WHEN field = 'Datos bancarios del DISTRIBUIDOR' THEN CASE WHEN {_IBAN} THEN 'ok' ELSE '{fv.MESSAGES["iban"]}' END
   WHEN field = 'Fecha' THEN CASE WHEN {_RULES['day_check'][1]} THEN 'ok' ELSE '{fv.MESSAGES["day"]}' END END AS res
@@ -151,7 +152,7 @@ audited AS (SELECT case_id, field, value, res = 'ok' AS ok, nullif(res, 'ok') AS
 
 
 def _audited(spark, sf):
-    src = spread(table(spark, sf, "customer"))
+    src = table(spark, sf, "customer")
     rows = F.array(*[F.struct(F.lit(k).alias("field"), F.expr(e).alias("value")) for k, e in _FIELDS.items()])
     values = src.select(F.col("c_custkey").alias("case_id"), F.explode(rows).alias("r")).select("case_id", "r.*")
     types = src.selectExpr("c_custkey as case_id", f"{_TYPE} as tipo")
@@ -170,7 +171,7 @@ def audit_pass_rates(spark, sf):
     return audit.pass_rates(_audited(spark, sf))
 
 
-_SECTION_ROWS = "(VALUES " + ", ".join(f"('{k}', '{s}')" for k, _, s, _ in fv.FIELD_CATALOG) + ") AS cat(field, section)"
+_SECTION_ROWS = "(VALUES " + ", ".join(f"('{k}', '{s}')" for k, _, s, _ in fv.FIELD_CATALOG if s) + ") AS cat(field, section)"
 
 
 @query("audit_sections", f"""WITH {_AUDIT},
@@ -184,6 +185,6 @@ def audit_sections(spark, sf):
 
 
 @query("audit_progress", f"""WITH {_AUDIT}
-SELECT case_id, count(*) FILTER (WHERE done) AS n_done, CAST(21 AS BIGINT) AS n_total FROM audited GROUP BY ALL""")
+SELECT case_id, count(*) FILTER (WHERE done AND field <> 'CP 2') AS n_done, CAST(21 AS BIGINT) AS n_total FROM audited GROUP BY ALL""")
 def audit_progress(spark, sf):
     return audit.case_progress(_audited(spark, sf))

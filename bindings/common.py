@@ -103,9 +103,15 @@ _CALL = [
     "case_id", "doc_id", "engine", "seq", "http_code",
     "http_code = 200 and error is null as ok",
     "case when http_code = 200 then error end as error",
-    "case when http_code <> 200 and k % 2 = 0 then '{\"ok\":false,\"error\":\"Rate limit ' || k || '\"}' "
+    "case when http_code <> 200 and k % 3 = 0 then '{\"ok\":false,\"error\":{\"code\":429,\"message\":\"quota ' || k || '\"}}' "
+    "when http_code <> 200 and k % 2 = 0 then '{\"ok\":false,\"error\":\"Rate limit ' || k || '\"}' "
     "when http_code <> 200 then 'Bad gateway ' || k when k % 29 = 0 then cast(null as string) "
     "when k % 17 = 0 then substr(json, 1, length(json) - 20) "
+    "when k % 31 = 7 then json || ' {\"sugerencias\":{\"CP\":\"1\"}}' "
+    "when k % 43 = 5 then json || ' nota {x}' "
+    "when k % 47 = 3 then replace(json, '\"CP\":\"', '\"X\":{\"a\":1},\"CP\":\"') "
+    "when k % 53 = 4 then replace(json, '\"valor\":\"', '\"valor\":[1],\"x\":\"') "
+    "when k % 59 = 6 then replace(json, '\"etiqueta\":\"fiscal\"', '\"etiqueta\":\"{fiscal]\"') "
     "when k % 13 = 0 then 'Claro:' || chr(10) || '```json' || chr(10) || json || chr(10) || '``` fin' "
     "else json end as text"]
 
@@ -114,14 +120,6 @@ def table(spark, sf, name):
     return read_table(spark, sf, name)
 
 
-def spread(df):
-    """Use all cores where a small scan has fewer partitions and each row grows afterwards."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, df.columns[0])
-
-
 def planted(spark, sf, name):
     """A planted input as a DataFrame."""
     source, columns = PLANTED[name]
@@ -130,7 +128,7 @@ def planted(spark, sf, name):
 
 def calls(spark, sf):
     """Recorded calls with their reply text."""
-    keys = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    keys = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     return keys.selectExpr(*PLANTED["raw_calls"][1]).selectExpr(*_CALL)
 
 

@@ -121,13 +121,15 @@ _ALL_CANON = ", ".join(f"({i}, '{k}')" for i, (k, *_) in enumerate(fv.FIELD_CATA
 
 
 @query("effective_fields", f"""WITH {_FIELDS_SQL}, templates AS (SELECT DISTINCT p_brand || '-' || p_size AS template_id, p_size FROM part)
-SELECT template_id, field_name, ord FROM fields SEMI JOIN (SELECT * FROM templates WHERE p_size % 4 <> 0) USING (template_id)
-UNION ALL SELECT template_id, k.field_name, k.ord FROM templates, (VALUES {_ALL_CANON}) AS k(ord, field_name) WHERE p_size % 4 = 0""")
+SELECT template_id, field_name, ord FROM fields
+UNION ALL SELECT template_id || ' new', k.field_name, k.ord FROM templates, (VALUES {_ALL_CANON}) AS k(ord, field_name) WHERE p_size % 4 = 0""")
 def effective_fields(spark, sf):
     part = table(spark, sf, "part")
-    own = part.where("p_size % 4 <> 0").groupBy(F.expr("p_brand || '-' || p_size").alias("template_id"), F.col(
+    own = part.groupBy(F.expr("p_brand || '-' || p_size").alias("template_id"), F.col(
         "p_name").alias("field_name")).agg(F.min("p_partkey").alias("ord"))
-    return mt.effective_fields(part.selectExpr("p_brand || '-' || p_size as template_id"), own)
+    templates = part.selectExpr("explode(case when p_size % 4 = 0 then array('', ' new') else array('') end) as kind",
+                                "p_brand || '-' || p_size as id").selectExpr("id || kind as template_id")
+    return mt.effective_fields(templates, own)
 
 
 # Widgets and text fragments of forms: a supplier is a form, its line items are widgets.
@@ -205,20 +207,39 @@ def fitted_stamps(spark, sf):
                          milli("draw_x").alias("x"), milli("draw_y").alias("y"))
 
 
-_ADDED = "SELECT l_suppkey AS doc_id, l_linenumber + l_suppkey % 9 - 3 AS page_one_based FROM lineitem"
-_REMOVED = "SELECT l_suppkey AS doc_id, l_partkey % 6 AS page_no FROM lineitem WHERE l_returnflag = 'A'"
+_EDIT_SEQ = "l_orderkey * 8 + l_linenumber AS seq"
+_ADDED = f"SELECT l_suppkey AS doc_id, l_linenumber + l_suppkey % 9 - 3 AS page_one_based, {_EDIT_SEQ} FROM lineitem"
+_REMOVED = f"SELECT l_suppkey AS doc_id, l_partkey % 6 AS page_no, {_EDIT_SEQ} FROM lineitem WHERE l_returnflag = 'A'"
+
+
+def _page_edits(spark, sf):
+    """Pages added and removed by hand, in the order of the lines."""
+    line = table(spark, sf, "lineitem")
+    added = line.selectExpr("l_suppkey as doc_id", "l_linenumber + l_suppkey % 9 - 4 as page_no", _EDIT_SEQ,
+                            "'add' as action")
+    return added.unionByName(line.where("l_returnflag = 'A'").selectExpr(
+        "l_suppkey as doc_id", "l_partkey % 6 as page_no", _EDIT_SEQ, "'remove' as action"))
+
+
 
 
 @query("adjusted_pages", f"""WITH {_LAYOUT}, added AS ({_ADDED}), removed AS ({_REMOVED}),
-after AS (SELECT doc_id, page_no FROM sign UNION SELECT doc_id, page_one_based - 1 FROM added WHERE page_one_based >= 1)
-SELECT doc_id, page_no FROM after ANTI JOIN removed USING (doc_id, page_no)""")
+edits AS (SELECT doc_id, page_one_based - 1 AS page_no, seq, 'add' AS action FROM added
+          UNION ALL SELECT doc_id, page_no, seq, 'remove' FROM removed),
+log AS (SELECT doc_id, page_no, -1 AS seq, 'add' AS action FROM sign UNION ALL SELECT * FROM edits WHERE page_no >= 0)
+SELECT doc_id, page_no FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY doc_id, page_no ORDER BY seq DESC, action DESC) = 1)
+WHERE action = 'add'""")
 def adjusted_pages(spark, sf):
     widgets, fragments, size = _layout(spark, sf)
     pages = lay.signature_pages(lay.candidate_pages(lay.multipage_pages(widgets), size), lay.page_anchors(fragments))
-    line = table(spark, sf, "lineitem")
-    return lay.adjust_pages(
-        pages, line.selectExpr("l_suppkey as doc_id", "l_linenumber + l_suppkey % 9 - 3 as page_one_based"),
-        line.where("l_returnflag = 'A'").selectExpr("l_suppkey as doc_id", "l_partkey % 6 as page_no"))
+    return lay.adjust_pages(pages, _page_edits(spark, sf))
+
+
+@query("kept_stamps", f"""WITH {_LAYOUT}, removed AS ({_REMOVED})
+SELECT doc_id, page_no, round(x, 6) AS x, round(y, 6) AS y FROM placed ANTI JOIN removed USING (doc_id, page_no)""")
+def kept_stamps(spark, sf):
+    return lay.kept_stamps(signature_layout(*_layout(spark, sf)), _page_edits(spark, sf)).select(
+        "doc_id", "page_no", "x", "y")
 
 
 _MOVES = ["o_custkey % 100 as doc_id", "o_orderkey % 40 as page_no", "o_orderkey as seq",

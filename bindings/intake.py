@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from bindings.common import query, table
 from casefuse import fixed_values as fv
 from casefuse.operators import documents as docs
+from casefuse.operators import ordered
 from casefuse.plans.sessions import restore_sessions
 
 _INTAKE = ["o_custkey as case_id", "'content://doc/' || (o_orderkey % 5) as uri", "o_orderkey as seq"]
@@ -57,14 +58,18 @@ def copy_manifest(spark, sf):
     return docs.copy_manifest(rows, "/app/docs").select("doc_id", "already_owned", "target_uri")
 
 
-_PAGES_SQL = """pages_of AS (SELECT conv_id % 40 AS case_id, conv_id AS doc_id FROM conversations WHERE role <> 'user' AND conv_id % 4 <> 0),
-docs_of AS (SELECT DISTINCT conv_id % 40 AS case_id, conv_id AS doc_id FROM conversations)"""
+# Every turn is a page; those of every fourth conversation are of another one's document.
+_PAGE_DOC = "case when conv_id % 4 = 0 then conv_id + 1 else conv_id end"
+_PAGES_SQL = f"""pages_of AS (SELECT {_PAGE_DOC} AS doc_id, {_PAGE_DOC} // 2 AS case_id FROM conversations),
+docs_of AS (SELECT DISTINCT conv_id // 2 AS case_id, conv_id AS doc_id FROM conversations
+            UNION SELECT DISTINCT -1 - conv_id, conv_id FROM conversations WHERE conv_id % 8 = 0)"""
 
 
 def _docs_pages(spark, sf):
     c = table(spark, sf, "conversations")
-    pages = c.where("role <> 'user' and conv_id % 4 <> 0").selectExpr("conv_id % 40 as case_id", "conv_id as doc_id")
-    return c.selectExpr("conv_id % 40 as case_id", "conv_id as doc_id").distinct(), pages
+    pages = c.selectExpr(f"{_PAGE_DOC} as doc_id").selectExpr("doc_id div 2 as case_id", "doc_id")
+    more = c.where("conv_id % 8 = 0").selectExpr("-1 - conv_id as case_id", "conv_id as doc_id")
+    return c.selectExpr("conv_id div 2 as case_id", "conv_id as doc_id").unionByName(more).distinct(), pages
 
 
 @query("readable_documents", f"WITH {_PAGES_SQL} SELECT case_id, doc_id FROM docs_of SEMI JOIN pages_of USING (case_id, doc_id)")
@@ -82,13 +87,15 @@ def unreadable_cases(spark, sf):
 @query("page_batches", """
 WITH p AS (SELECT user_id AS doc_id, event_id AS page_no, CASE WHEN user_id % 7 = 0 THEN '' ELSE 'f' || user_id || '.pdf' END AS name,
              row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-b AS (SELECT doc_id, page_no, coalesce(nullif(name, ''), 'documento') AS name, (rn - 1) // 20 + 1 AS batch_no, (n + 19) // 20 AS n_batches FROM p)
+b AS (SELECT doc_id, page_no, coalesce(nullif(name, ''), 'documento ' || dense_rank() OVER (ORDER BY doc_id)) AS name, (rn - 1) // 20 + 1 AS batch_no, (n + 19) // 20 AS n_batches FROM p)
 SELECT doc_id, page_no, batch_no, CASE WHEN n_batches = 1 THEN name ELSE name || ' (parte ' || batch_no || '/' || n_batches || ')' END AS label
 FROM b""")
 def page_batches(spark, sf):
     pages = table(spark, sf, "events").selectExpr("1 as case_id", "user_id as doc_id", "event_id as page_no")
     name = F.expr("case when doc_id % 7 = 0 then '' else 'f' || doc_id || '.pdf' end")
-    return docs.page_batches(pages, name).select("doc_id", "page_no", "batch_no", "label")
+    places = docs.document_ordinals(pages.withColumn("seq", F.col("doc_id")), "seq")
+    pages = ordered.lookup(pages, places, ["case_id", "doc_id"], F.col("page_no"))
+    return docs.page_batches(pages, name, ordinal=F.col("ordinal")).select("doc_id", "page_no", "batch_no", "label")
 
 
 @query("first_pages_text", """

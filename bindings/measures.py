@@ -9,6 +9,18 @@ from casefuse.operators import ordered
 _BINS = ["event_type as group_id", "cast(least(floor(value * 2), 255) as int) as bin"]
 
 
+_COLOUR = ["p_partkey", "p_partkey * 7 % 256 as r", "p_size * 5 % 256 as g", "p_partkey * 13 % 256 as b"]
+
+
+@query("luminance_bins", f"""
+WITH c AS (SELECT {', '.join(_COLOUR)} FROM part)
+SELECT p_partkey, CAST(least(greatest(floor(CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * g + CAST(0.114 AS DOUBLE) * b
+  + CAST(0.5 AS DOUBLE)), 0), 255) AS BIGINT) AS bin FROM c""")
+def luminance_bins(spark, sf):
+    rows = table(spark, sf, "part").selectExpr(*_COLOUR)
+    return rows.select("p_partkey", dist.luminance(F.col("r"), F.col("g"), F.col("b")).alias("bin"))
+
+
 @query("otsu_thresholds", f"""
 WITH v AS (SELECT {', '.join(_BINS)} FROM events),
 bins AS (SELECT g.group_id, t.t FROM (SELECT DISTINCT group_id FROM v) g, range(256) t(t)),

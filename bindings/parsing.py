@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings.common import calls, cte, query, spread, table
+from bindings.common import calls, cte, query, table
 from casefuse import fixed_values as fv
 from casefuse.functions import rules, text
 from casefuse.operators import replies
@@ -15,13 +15,16 @@ _SPEC = ('{"sugerencias":"MAP(VARCHAR,VARCHAR)","tipo_identificacion":"VARCHAR",
 def parsed_from(source):
     """Decoded replies of a call relation; groq keeps only its suggestions."""
     return f"""
-sliced AS (SELECT *, CASE WHEN ok THEN nullif(regexp_extract(text, '\\{{.*\\}}', 0, 's'), '') END AS j FROM {source}),
-decoded AS (SELECT *, CASE WHEN j IS NOT NULL AND json_valid(j) THEN json_transform(j, '{_SPEC}') END AS r FROM sliced),
+sliced AS (SELECT *, CASE WHEN ok THEN nullif(regexp_extract(text, '\\{{.*\\}}', 0, 's'), '') END AS found FROM {source}),
+valid AS (SELECT *, CASE WHEN json_valid(found) THEN found END AS j FROM sliced),
+decoded AS (SELECT *, CASE WHEN j IS NOT NULL THEN json_transform(j, '{_SPEC}') END AS r FROM valid),
 parsed AS (SELECT case_id, doc_id, engine, seq, http_code, ok, error, text,
     r.sugerencias AS sugerencias, r.tipo_identificacion AS tipo_identificacion, r.tipo_documento AS tipo_documento,
     CASE WHEN engine <> 'groq' THEN r.alternativas END AS alternativas,
     CASE WHEN engine <> 'groq' THEN r.paquetes END AS paquetes,
-    coalesce(r IS NOT NULL AND len(list_filter(r.paquetes, lambda p: p.tipo IS NULL)) = 0
+    coalesce(r IS NOT NULL AND NOT coalesce(list_has_any(list_concat(json_type(j, '$.sugerencias.*'),
+        json_type(j, '$.paquetes[*].datos.*'), json_type(j, '$.alternativas.*[*].valor')), ['OBJECT', 'ARRAY']), false)
+      AND len(list_filter(r.paquetes, lambda p: p.tipo IS NULL)) = 0
       AND len(list_filter(flatten(map_values(r.alternativas)), lambda a: a.valor IS NULL)) = 0, false) AS good
     FROM decoded)"""
 
@@ -85,7 +88,8 @@ def reply_rejects(spark, sf):
 
 
 @query("error_messages", f"""WITH {cte('calls')}
-SELECT seq, CASE WHEN json_valid(text) THEN coalesce(json_extract_string(text, '$.error'), substr(text, 1, 200))
+SELECT seq, CASE WHEN json_valid(text) THEN coalesce(CASE WHEN json_type(text, '$.error') NOT IN ('OBJECT', 'ARRAY')
+                 THEN json_extract_string(text, '$.error') END, substr(text, 1, 200))
                  ELSE substr(text, 1, 200) END AS message
 FROM calls WHERE http_code <> 200""")
 def error_messages(spark, sf):
@@ -96,7 +100,8 @@ def error_messages(spark, sf):
 @query("call_status", f"""WITH {PARSED}
 SELECT case_id, engine, seq, CASE
   WHEN http_code <> 200 THEN 'HTTP ' || http_code || ' — ' ||
-    CASE WHEN json_valid(text) THEN json_extract_string(text, '$.error') ELSE substr(text, 1, 200) END
+    CASE WHEN json_valid(text) AND json_type(text, '$.error') NOT IN ('OBJECT', 'ARRAY')
+         THEN json_extract_string(text, '$.error') ELSE substr(text, 1, 200) END
   WHEN NOT ok THEN error
   WHEN NOT good THEN 'respuesta no parseable — "' ||
     coalesce(replace(substr(trim(text), 1, 180), chr(10), ' '), '(vacío)') || '"' END AS status
@@ -154,10 +159,16 @@ def normalised_votes(spark, sf):
     return replies.votes(_parsed(spark, sf)).select("case_id", "engine", "seq", "pos", "field", "value")
 
 
-@query("fold_text", """
-SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS folded FROM documents""")
+# Some texts get a no-break space at both ends.
+_ENDS = "case when doc_id % 5 = 0 then chr(160) || text || chr(160) else text end"
+
+
+@query("fold_text", f"""
+SELECT doc_id, trim(regexp_replace(lower(strip_accents({_ENDS})), '\\s+', ' ', 'g'), ' ' || chr(160)) AS folded
+FROM documents""")
 def fold_text(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.fold(F.col("text")).alias("folded"))
+    rows = table(spark, sf, "documents").selectExpr("doc_id", f"{_ENDS} as text")
+    return rows.select("doc_id", text.fold(F.col("text")).alias("folded"))
 
 
 @query("clean_identifiers", "SELECT page_id, regexp_replace(upper(url), '[\\s.\\-]', '', 'g') AS cleaned FROM pages")
@@ -215,7 +226,7 @@ _TYPED_SQL = f"t AS (SELECT {', '.join(_TYPED)} FROM documents)"
 
 @query("document_types", f"WITH {_TYPED_SQL} SELECT {_DOC_TYPE} AS doc_type, count(*) AS n FROM t GROUP BY ALL")
 def document_types(spark, sf):
-    rows = spread(table(spark, sf, "documents")).selectExpr(*_TYPED)
+    rows = table(spark, sf, "documents").selectExpr(*_TYPED)
     return rows.groupBy(rules.document_type(F.col("text")).alias("doc_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -224,7 +235,7 @@ _LOCAL = f"CASE WHEN mime LIKE '%pdf%' OR lower(name) LIKE '%.pdf' THEN {_DOC_TY
 
 @query("local_document_types", f"WITH {_TYPED_SQL} SELECT doc_id, {_LOCAL} AS doc_type FROM t")
 def local_document_types(spark, sf):
-    rows = spread(table(spark, sf, "documents")).selectExpr(*_TYPED)
+    rows = table(spark, sf, "documents").selectExpr(*_TYPED)
     return rows.select("doc_id", rules.local_document_type(
         F.col("mime"), F.col("name"), F.col("text")).alias("doc_type"))
 
@@ -268,6 +279,6 @@ def identifier_kinds(spark, sf):
 @query("strong_identity", f"""WITH {_TYPED_SQL}, k AS (SELECT {_LOCAL} AS doc_type FROM t)
 SELECT doc_type IN ('{"','".join(fv.STRONG_IDENTITY_TYPES)}') AS strong, count(*) AS n FROM k GROUP BY ALL""")
 def strong_identity(spark, sf):
-    rows = spread(table(spark, sf, "documents")).selectExpr(*_TYPED)
+    rows = table(spark, sf, "documents").selectExpr(*_TYPED)
     kind = rules.local_document_type(F.col("mime"), F.col("name"), F.col("text"))
     return rows.groupBy(rules.is_strong_identity(kind).alias("strong")).agg(F.count(F.lit(1)).alias("n"))

@@ -7,11 +7,12 @@ from bindings.parsing import PROPOSALS, normal_form, parsed_from
 from casefuse import fixed_values as fv
 from casefuse.operators import replies, resolve, voting
 from casefuse.plans.consolidation import consolidate, reported_types
+from casefuse.sources.tables import written
 
 COVERAGE = ["NIE", "CP", "Teléfono", "Email Comercial", "Actividad principal del negocio"]
 
 _RISKY = " OR ".join(
-    f"(field = '{field}' AND document IN (" + ", ".join(f"'{d}'" for d in types) + "))"
+    f"(field = '{field}' AND (document IN ({', '.join(map(repr, types))}) OR doc_type IN ({', '.join(map(repr, types))})))"
     for field, types in fv.RISKY_SOURCES.items())
 _SUFFIX = "CASE WHEN p.tipo = 'direccion_comercio' THEN '_2' ELSE '' END"
 _CHAIN = f"""{PROPOSALS},
@@ -37,9 +38,9 @@ package_cands AS (
   SELECT case_id, doc_id, e.key, e.value, 0, seq, pkg_seq, pos, coalesce(p.fuente, ''), [], coalesce(p.etiqueta, ''), []
   FROM entries WHERE p.tipo NOT IN ('direccion', 'direccion_comercio') AND trim(e.value) <> ''),
 cands AS (
-  SELECT * FROM package_cands
+  SELECT p.*, doc_type FROM package_cands p LEFT JOIN doc_types t ON p.case_id = t.case_id AND p.doc_id = t.doc_id
   UNION ALL
-  SELECT v.case_id, v.doc_id, field, value, 1, first_seq, first_pos, 0, coalesce(doc_type, 'documento analizado'), engines, '', []
+  SELECT v.case_id, v.doc_id, field, value, 1, first_seq, first_pos, 0, coalesce(doc_type, 'documento analizado'), engines, '', [], doc_type
   FROM voted v LEFT JOIN doc_types t ON v.case_id = t.case_id AND v.doc_id = t.doc_id
   WHERE field NOT IN ('Fecha', 'de', 'año')),
 claims AS (SELECT case_id, doc_id, seq, pkg_seq, upper(trim(map_extract_value(p.datos, 'NIE'))) AS holder FROM pk
@@ -96,12 +97,14 @@ class _Stages:
     """Each stage on all calls, without cuts."""
 
     def __init__(self, spark, sf):
-        self.parsed = replies.parse_replies(calls(spark, sf))
+        # Decoded once: every branch below reads the written replies.
+        self.parsed = written(replies.parse_replies(calls(spark, sf)).drop("text"), "parsed-replies")
         self.packages = replies.packages(self.parsed)
         voted = voting.aggregate_votes(replies.votes(self.parsed))
         made = self.parsed.select("case_id", "doc_id", "seq")
-        self.rows = resolve.package_candidates(self.packages).unionByName(
-            resolve.proposal_candidates(voted, reported_types(self.parsed), made))
+        types = reported_types(self.parsed)
+        self.rows = resolve.package_candidates(self.packages, types, made).unionByName(
+            resolve.proposal_candidates(voted, types, made))
         self.holders = resolve.document_holders(self.packages)
         self.expected = resolve.expected_holder(self.holders)
         self.flagged = resolve.flag_risky(resolve.flag_intruders(
@@ -186,7 +189,7 @@ def autofilled_values(spark, sf):
     return resolve.autofill(s.decisions, s.protected).select("case_id", "field", "value", "via", "document")
 
 
-_SECTIONS = "CASE " + " ".join(f"WHEN field = '{k}' THEN '{sec}'" for k, _, sec, _ in fv.FIELD_CATALOG) + " END"
+_SECTIONS = "CASE " + " ".join(f"WHEN field = '{k}' THEN '{sec}'" for k, _, sec, _ in fv.FIELD_CATALOG if sec) + " END"
 
 
 @query("pending_decisions", f"""WITH {_PLAIN}
@@ -239,7 +242,8 @@ def identification_types(spark, sf):
 @query("engine_issues", f"""WITH {_FULL},
 s AS (SELECT case_id, engine, seq, CASE
   WHEN http_code <> 200 THEN 'HTTP ' || http_code || ' — ' ||
-    CASE WHEN json_valid(text) THEN json_extract_string(text, '$.error') ELSE substr(text, 1, 200) END
+    CASE WHEN json_valid(text) AND json_type(text, '$.error') NOT IN ('OBJECT', 'ARRAY')
+         THEN json_extract_string(text, '$.error') ELSE substr(text, 1, 200) END
   WHEN NOT ok THEN error
   WHEN NOT good THEN 'respuesta no parseable — "' || coalesce(replace(substr(trim(text), 1, 180), chr(10), ' '), '(vacío)') || '"'
   END AS status FROM parsed),

@@ -11,7 +11,7 @@ MARKER = "perfil-de-caso"
 _BASE36 = """list_reduce(list_transform(range(9), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz',
   CAST((ms // CAST(pow(36, 8 - i) AS BIGINT)) % 36 + 1 AS INT), 1)), lambda a, b: a || b)"""
 _ID = f"'h_' || ltrim({_BASE36}, '0')"
-_SAVED = f"""p AS (SELECT o_orderkey AS case_id, 1700000000000 + o_orderkey AS ms, o_orderpriority AS label, o_custkey, o_orderstatus FROM orders),
+_SAVED = f"""p AS (SELECT o_orderkey AS case_id, 1700000000000 + o_orderkey // 2 AS ms, o_orderpriority AS label, o_custkey, o_orderstatus FROM orders),
 h AS (SELECT *, {_ID} AS id, strftime(epoch_ms(ms), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS guardado,
       CAST(2 + CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_fields FROM p)"""
 
@@ -23,7 +23,7 @@ def _profiles(spark, sf):
                    F.struct(F.lit("Provincia").alias("field"), F.col("o_orderstatus").alias("value")))
     values = orders.select(F.col("o_orderkey").alias("case_id"), F.explode(rows).alias("r")).select("case_id", "r.*")
     cases = orders.selectExpr("o_orderkey as case_id", "o_orderpriority as label",
-                              "timestamp_millis(1700000000000 + o_orderkey) as saved_at", "'' as fingerprint")
+                              "timestamp_millis(1700000000000 + o_orderkey div 2) as saved_at", "'' as fingerprint")
     return hi.build_profiles(values, cases, MARKER)
 
 
@@ -32,9 +32,9 @@ def _log(spark, sf):
     path = shared_dir(spark, "history")
     saved = hi.profile_json(_profiles(spark, sf))
     broken = F.when(F.col("case_id") % 7 == 0, F.substring("json", 1, 10)).otherwise(F.col("json"))
-    tb.append(saved.select("id", broken.alias("json"), F.lit(0).alias("op_seq"), F.lit(False).alias("deleted")), path)
+    tb.append(saved.select(F.col("case_id").alias("owner"), "id", broken.alias("json"), F.lit(0).alias("op_seq"), F.lit(False).alias("deleted")), path)
     tb.append(saved.where("case_id % 5 = 0").select(
-        "id", F.lit(None).cast("string").alias("json"), F.lit(1).alias("op_seq"), F.lit(True).alias("deleted")), path)
+        F.col("case_id").alias("owner"), "id", F.lit(None).cast("string").alias("json"), F.lit(1).alias("op_seq"), F.lit(True).alias("deleted")), path)
     return spark.read.parquet(path)
 
 
@@ -45,14 +45,14 @@ def saved_history(spark, sf):
     return spark.read.parquet(path).select("case_id", "id", "label", "guardado", F.size("campos").alias("n_fields"))
 
 
-@query("history_list", f"WITH {_SAVED} SELECT id, label, guardado, n_fields FROM h WHERE case_id % 5 <> 0 AND case_id % 7 <> 0")
+@query("history_list", f"WITH {_SAVED} SELECT case_id AS owner, id, label, guardado, n_fields FROM h WHERE case_id % 5 <> 0 AND case_id % 7 <> 0")
 def history_list(spark, sf):
     return hi.list_history(_log(spark, sf))
 
 
-@query("history_after_delete", f"WITH {_SAVED} SELECT id FROM h WHERE case_id % 5 <> 0")
+@query("history_after_delete", f"WITH {_SAVED} SELECT case_id AS owner, id FROM h WHERE case_id % 5 <> 0")
 def history_after_delete(spark, sf):
-    return tb.latest(_log(spark, sf), ["id"], "op_seq").where("not deleted").select("id")
+    return tb.latest(_log(spark, sf), ["owner", "id"], "op_seq").where("not deleted").select("owner", "id")
 
 
 @query("profile_export", f"""WITH {_SAVED}

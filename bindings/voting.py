@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bindings.common import ENGINES, cte, planted, query, table
 from casefuse import fixed_values as fv
-from casefuse.functions.rules import failure_cause, failure_label
+from casefuse.functions.rules import failure_cause, failure_hint, failure_label
 from casefuse.operators import documents, voting
 
 _VOTED = f"""{cte('votes')},
@@ -79,13 +79,14 @@ _TYPES = ["click", "view", "purchase", "signup", "error"]
 
 
 @query("coverage_cut", f"""WITH {cte('votes')},
-seen AS (SELECT * FROM votes WHERE NOT (case_id % 4 = 0 AND field = 'error')),
+seen AS (SELECT * EXCLUDE (field), CASE WHEN case_id % 4 = 0 AND field = 'error' THEN 'view' ELSE field END AS field FROM votes),
 firsts AS (SELECT case_id, field, min(seq) AS seq FROM seen GROUP BY ALL),
 cut AS (SELECT case_id, max(seq) AS cut_seq FROM firsts GROUP BY ALL HAVING count(*) = 5)
 SELECT case_id, field, value, seq FROM seen LEFT JOIN cut USING (case_id)
 WHERE cut_seq IS NULL OR seq <= cut_seq""")
 def coverage_cut(spark, sf):
-    seen = planted(spark, sf, "votes").where(~((F.col("case_id") % 4 == 0) & (F.col("field") == "error")))
+    field = F.when((F.col("case_id") % 4 == 0) & (F.col("field") == "error"), "view").otherwise(F.col("field"))
+    seen = planted(spark, sf, "votes").withColumn("field", field)
     return voting.stop_when_covered(seen, voting.coverage_point(seen, _TYPES)).select(
         "case_id", "field", "value", "seq")
 
@@ -106,14 +107,18 @@ _LABELS = "CASE cause " + " ".join(
     f"WHEN '{name}' THEN '{label}'" for name, label, _, _ in fv.FAILURE_RULES) + " ELSE 'error' END"
 
 
+_HINTS = "CASE cause " + " ".join(
+    f"WHEN '{name}' THEN '{hint}'" for name, _, hint, _ in fv.FAILURE_RULES) + f" ELSE '{fv.DEFAULT_CAUSE[2]}' END"
+
+
 @query("failure_causes", f"""WITH {cte('event_calls')},
 c AS (SELECT engine, {_CAUSE} AS cause FROM event_calls WHERE status IS NOT NULL)
-SELECT engine, cause, {_LABELS} AS label, count(*) AS n FROM c GROUP BY ALL""")
+SELECT engine, cause, {_LABELS} AS label, {_HINTS} AS hint, count(*) AS n FROM c GROUP BY ALL""")
 def failure_causes(spark, sf):
     failed = planted(spark, sf, "event_calls").where(F.col("status").isNotNull())
     cause = failure_cause(F.col("status")).alias("cause")
     return failed.groupBy("engine", cause).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "label", failure_label(F.col("cause")))
+        "label", failure_label(F.col("cause"))).withColumn("hint", failure_hint(F.col("cause")))
 
 
 @query("engines_answered", f"""WITH {cte('event_calls')}
@@ -138,7 +143,7 @@ def call_progress(spark, sf):
 
 @query("enabled_engines", """
 WITH available AS (SELECT DISTINCT user_id AS case_id, 'e' || (event_id % 5) AS engine FROM events
-                   WHERE event_type IN ('click', 'view')),
+                   WHERE NOT (event_type = 'signup' AND user_id % 3 <> 0)),
 chosen AS (SELECT DISTINCT user_id AS case_id, 'e' || (event_id % 7) AS engine FROM events
            WHERE event_type = 'signup' AND user_id % 3 <> 0),
 marked AS (SELECT a.case_id, a.engine, c.engine IS NOT NULL AS hit FROM available a
@@ -146,7 +151,7 @@ marked AS (SELECT a.case_id, a.engine, c.engine IS NOT NULL AS hit FROM availabl
 SELECT case_id, engine FROM marked QUALIFY hit OR NOT bool_or(hit) OVER (PARTITION BY case_id)""")
 def enabled_engines(spark, sf):
     events = table(spark, sf, "events")
-    available = events.where("event_type in ('click', 'view')").selectExpr(
+    available = events.where("not (event_type = 'signup' and user_id % 3 <> 0)").selectExpr(
         "user_id as case_id", "'e' || (event_id % 5) as engine").distinct()
     chosen = events.where("event_type = 'signup' and user_id % 3 <> 0").selectExpr(
         "user_id as case_id", "'e' || (event_id % 7) as engine")

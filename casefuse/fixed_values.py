@@ -1,6 +1,7 @@
 """Fixed values. Everything here must equal the published rules for results to be right."""
 
-# --- Form catalogue: (key, label, section, rule family). Keys are exact; double spaces count. --
+# --- Form catalogue: (key, label, section, rule family). Keys are exact; double spaces count.
+# --- The dates stand outside the sections.
 FIELD_CATALOG = [
     ("Nombre  Razón Social", "Razón social", "Empresa / Identificación", "text"),
     ("Nombre Comercial", "Nombre comercial", "Empresa / Identificación", "text"),
@@ -20,9 +21,9 @@ FIELD_CATALOG = [
     ("Email  Facturación", "Email facturación", "Contacto", "email"),
     ("Datos bancarios del DISTRIBUIDOR", "IBAN", "Datos bancarios", "iban"),
     ("Actividad principal del negocio", "Actividad principal (IAE)", "Empresa / Identificación", "text"),
-    ("Fecha", "Fecha · día", "Fecha", "day"),
-    ("de", "Fecha · mes", "Fecha", "text"),
-    ("año", "Fecha · año", "Fecha", "text"),
+    ("Fecha", "Fecha · día", None, "day"),
+    ("de", "Fecha · mes", None, "text"),
+    ("año", "Fecha · año", None, "text"),
 ]
 DATE_FIELDS = ["Fecha", "de", "año"]
 ADDRESS_FIELDS = ["Dirección", "CP", "Población", "Provincia"]
@@ -51,7 +52,6 @@ ENGINES = [
 ]
 CALL_PRIORITY = ["groq", "mistral", "claude", "gemini", "scaleway", "eurouter"]
 BOX_PRIORITY = ["mistral", "scaleway", "claude", "gemini", "grok"]
-DEFAULT_ENABLED = ["claude", "gemini", "groq", "mistral", "eurouter"]
 SUGGESTION_ONLY_ENGINES = ["groq"]
 SINGLE_PAGE_ENGINES = ["groq"]
 PERMANENT_FAILURE_CODES = [401, 403, 404]

@@ -51,8 +51,8 @@ def nonblank(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case, no accents, single spaces, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(c, _ACCENTED, _PLAIN)), r"\s+", " "))
+    """Lower case, no accents, single spaces, no white space of any kind at the ends."""
+    return strip(F.regexp_replace(F.lower(F.translate(c, _ACCENTED, _PLAIN)), r"\s+", " "))
 
 
 def clean_id(c: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from casefuse import fixed_values as fv
 from casefuse.functions.checks import check_value
-from casefuse.functions.text import is_blank, section_of
+from casefuse.functions.text import field_kind, is_blank, section_of
 
 
 def _block(field):
@@ -15,20 +15,21 @@ def _block(field):
 def audit_fields(values: DataFrame, types: DataFrame) -> DataFrame:
     """Check every value with the rule of its field.
 
-    Only postcodes need a sibling, the province of their block, so only they take part in the
-    sibling join. `types(case_id, tipo)` is the identification type of a case. Adds `ok` (null
+    Only postcodes need a sibling, the province of their block, so only they (by whatever name the
+    rules know them) take part in the sibling join. `types(case_id, tipo)` is the identification type of a case. Adds `ok` (null
     when no rule applies) and `message`.
     """
     field = F.col("field")
-    is_code = field.isin("CP", "CP" + fv.SECOND_BLOCK_SUFFIX)
+    kind = field_kind(field)
+    is_code, is_holder = kind == "postcode", kind == "holder_id"
     provinces = values.where(field.isin("Provincia", "Provincia" + fv.SECOND_BLOCK_SUFFIX)).select(
         "case_id", _block(field).alias("block"), F.col("value").alias("province"))
     codes = values.where(is_code).withColumn("block", _block(field)).join(
         provinces, ["case_id", "block"], "left").select(
         "case_id", "field", "value", "province", F.lit(None).cast("string").alias("tipo"))
-    ids = values.where(field == "NIE").join(types.select("case_id", "tipo"), "case_id", "left").select(
+    ids = values.where(is_holder).join(types.select("case_id", "tipo"), "case_id", "left").select(
         "case_id", "field", "value", F.lit(None).cast("string").alias("province"), "tipo")
-    rest = values.where(~is_code & (field != "NIE")).select(
+    rest = values.where(~is_code & ~is_holder).select(
         "case_id", "field", "value", F.lit(None).cast("string").alias("province"),
         F.lit(None).cast("string").alias("tipo"))
     rows = codes.unionByName(ids).unionByName(rest)
@@ -52,7 +53,8 @@ def section_progress(audited: DataFrame) -> DataFrame:
     """Done fields of every section per case; complete when all fields of the section are done."""
     sizes = {}
     for _, _, section, _ in fv.FIELD_CATALOG:
-        sizes[section] = sizes.get(section, 0) + 1
+        if section:
+            sizes[section] = sizes.get(section, 0) + 1
     done = field_ok(audited).withColumn("section", section_of(F.col("field")))
     counts = done.groupBy("case_id").agg(*[
         F.count_if(F.col("field_ok") & (F.col("section") == s)).alias(f"n{i}")
@@ -65,6 +67,6 @@ def section_progress(audited: DataFrame) -> DataFrame:
 
 def case_progress(audited: DataFrame) -> DataFrame:
     """Done fields per case out of the whole catalogue."""
-    done = field_ok(audited).where(section_of(F.col("field")).isNotNull())
+    done = field_ok(audited).where(F.col("field").isin(*[row[0] for row in fv.FIELD_CATALOG]))
     return done.groupBy("case_id").agg(F.count_if("field_ok").alias("n_done")).withColumn(
         "n_total", F.lit(len(fv.FIELD_CATALOG)))

@@ -52,20 +52,44 @@ def copy_manifest(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def readable_documents(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Documents that yielded at least one page."""
-    return docs.join(pages.select("case_id", "doc_id"), ["case_id", "doc_id"], "left_semi")
+    """Documents that yielded at least one page.
+
+    Pages are reduced to one row per document on the map side, so a document of very many pages
+    does not fill one task of the join.
+    """
+    seen = pages.select("case_id", "doc_id").distinct()
+    return docs.join(seen, ["case_id", "doc_id"], "left_semi")
 
 
 def unreadable_cases(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """One error row per case none of whose documents yielded a page."""
-    return (docs.select("case_id").distinct()
-            .join(pages.select("case_id"), "case_id", "left_anti")
-            .withColumn("error", F.lit(fv.NO_DOCUMENTS_ERROR)))
+    """One error row per case none of whose documents yielded a page.
+
+    One map-side combined aggregate over both inputs, so a hot case is no hot task.
+    """
+    rows = docs.select("case_id", F.lit(True).alias("known"), F.lit(False).alias("read")).unionByName(
+        pages.select("case_id", F.lit(False).alias("known"), F.lit(True).alias("read")))
+    cases = rows.groupBy("case_id").agg(F.bool_or("known").alias("known"), F.bool_or("read").alias("read"))
+    return cases.where(F.col("known") & ~F.col("read")).select(
+        "case_id", F.lit(fv.NO_DOCUMENTS_ERROR).alias("error"))
+
+
+def document_ordinals(docs: DataFrame, order: str, bucket: Column = None) -> DataFrame:
+    """`case_id, doc_id, ordinal`: the place of each document in its case, from 1.
+
+    `docs(case_id, doc_id, <order>)` may repeat a document; its first appearance counts.
+    """
+    first = docs.groupBy("case_id", "doc_id").agg(F.min(order).alias("first"))
+    buckets = [ordered.bucket_of(F.col("first")) if bucket is None else bucket]
+    return ordered.row_number(first, ["case_id"], ["first", "doc_id"], buckets, "ordinal").select(
+        "case_id", "doc_id", "ordinal")
 
 
 def page_batches(pages: DataFrame, name: Column, max_pages: int = fv.MAX_PAGES_PER_CALL,
-                 width: int = ordered.WIDTH) -> DataFrame:
-    """Batch number (from 1) and call label of every page; a label counts parts only if several."""
+                 width: int = ordered.WIDTH, ordinal: Column = None) -> DataFrame:
+    """Batch number (from 1) and call label of every page; a label counts parts only if several.
+
+    A document without a name is called by its `ordinal` in the case, where that is given.
+    """
     numbered = ordered.row_number(
         pages, ["case_id", "doc_id"], ["page_no"], [ordered.bucket_of(F.col("page_no"), width)],
         "page_ord", "n_pages")
@@ -73,7 +97,9 @@ def page_batches(pages: DataFrame, name: Column, max_pages: int = fv.MAX_PAGES_P
     numbered = numbered.withColumns({
         "batch_no": (F.floor((F.col("page_ord") - 1) / size) + 1),
         "n_batches": F.ceil(F.col("n_pages") / size)})
-    base = F.coalesce(nonblank(name), F.lit(fv.DEFAULT_NAME))
+    unnamed = F.lit(fv.DEFAULT_NAME) if ordinal is None else F.concat_ws(
+        " ", F.lit(fv.DEFAULT_NAME), ordinal)
+    base = F.coalesce(nonblank(name), unnamed)
     label = F.when(F.col("n_batches") == 1, base).otherwise(
         F.format_string(fv.BATCH_LABEL, base, F.col("batch_no"), F.col("n_batches")))
     return numbered.withColumn("label", label)

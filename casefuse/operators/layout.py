@@ -80,13 +80,26 @@ def fit_in_box(stamps: DataFrame) -> DataFrame:
         "draw_y": (1 - F.col("y")) * F.col("page_height") - height / 2})
 
 
-def adjust_pages(pages: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """Signature pages after manual changes: `added(doc_id, page_one_based)`, `removed(doc_id, page_no)`."""
-    kind = pages.schema["page_no"].dataType
-    more = added.where(F.col("page_one_based") >= 1).select(
-        "doc_id", (F.col("page_one_based") - 1).cast(kind).alias("page_no"))
-    return pages.select("doc_id", "page_no").unionByName(more).distinct().join(
-        removed.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_anti")
+def adjust_pages(pages: DataFrame, edits: DataFrame) -> DataFrame:
+    """Signature pages after manual changes, in their order.
+
+    `edits(doc_id, page_no, seq, action)` with `add` or `remove`; the last one of a page decides.
+    Pages below 0 are passed over. The detected pages enter the same aggregate as oldest edits.
+    """
+    found = pages.select("doc_id", "page_no", F.lit(None).cast("long").alias("seq"),
+                         F.lit("add").alias("action"))
+    log = found.unionByName(edits.where(F.col("page_no") >= 0).select(
+        "doc_id", F.col("page_no").cast(pages.schema["page_no"].dataType).alias("page_no"),
+        F.col("seq").cast("long").alias("seq"), "action"))
+    last = F.max(F.struct("seq", "action")).alias("last")  # null sequence numbers come first
+    return log.groupBy("doc_id", "page_no").agg(last).where(
+        F.col("last.action") == "add").select("doc_id", "page_no")
+
+
+def kept_stamps(stamps: DataFrame, edits: DataFrame) -> DataFrame:
+    """Stamps but those of pages that were removed; adding a page again brings none back."""
+    removed = edits.where(F.col("action") == "remove").select("doc_id", "page_no").distinct()
+    return stamps.join(removed, ["doc_id", "page_no"], "left_anti")
 
 
 def move_stamps(stamps: DataFrame, moves: DataFrame) -> DataFrame:

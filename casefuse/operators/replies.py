@@ -20,19 +20,35 @@ def json_slice(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def is_nested(value: Column) -> Column:
+    """Whether the text of a JSON member is an object or a list and not a plain value."""
+    return F.coalesce(value.rlike(r"^\s*[\{\[]") & F.json_array_length(
+        F.concat(F.lit("["), value, F.lit("]"))).isNotNull(), F.lit(False))
+
+
 def decode_reply(text: Column) -> Column:
     """The reply as a struct, null when any part of it fails to decode.
 
-    The decoder yields a struct even for broken text, so its corrupt mark and the two required
-    members (`tipo` of a package, `valor` of an alternative) are tested on the one decoded value.
+    The slice must be one JSON value with nothing behind it. The decoder yields a struct even for
+    broken text and text for nested members, so its corrupt mark, the two required members (`tipo`
+    of a package, `valor` of an alternative) and the plain ones are tested on the decoded value.
     """
-    raw = F.from_json(json_slice(text), REPLY_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
+    slice_ = json_slice(text)
+    alone = F.json_array_length(F.concat(F.lit("["), slice_, F.lit("]"))) == 1
+    raw = F.from_json(F.when(alone, slice_), REPLY_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
+
+    def nested_in(m: Column) -> Column:
+        return F.coalesce(F.exists(F.map_values(m), is_nested), F.lit(False))
 
     def whole(r: Column) -> Column:
         no_type = F.exists(r["paquetes"], lambda p: p["tipo"].isNull())
         no_value = F.exists(F.map_values(r["alternativas"]), lambda alts: F.exists(
             alts, lambda a: a["valor"].isNull()))
-        bad = F.coalesce(no_type, F.lit(False)) | F.coalesce(no_value, F.lit(False))
+        nested = nested_in(r["sugerencias"]) | F.coalesce(F.exists(
+            r["paquetes"], lambda p: nested_in(p["datos"])), F.lit(False)) | F.coalesce(F.exists(
+                F.map_values(r["alternativas"]), lambda alts: F.exists(
+                    alts, lambda a: is_nested(a["valor"]))), F.lit(False))
+        bad = F.coalesce(no_type, F.lit(False)) | F.coalesce(no_value, F.lit(False)) | nested
         return F.when(r["_corrupt"].isNull() & ~bad, r)
 
     return F.transform(F.array(raw), whole)[0]
@@ -60,9 +76,10 @@ def reject_log(parsed: DataFrame) -> DataFrame:
 
 
 def error_message(body: Column) -> Column:
-    """The `error` member of a JSON body, else the first 200 characters of the body."""
+    """The `error` member of a JSON body if it is a plain value, else 200 characters of the body."""
     message = F.get_json_object(body, "$.error")
-    return F.when(~is_blank(body), F.coalesce(message, F.substring(body, 1, 200)))
+    plain = F.when(~is_nested(message), message)
+    return F.when(~is_blank(body), F.coalesce(plain, F.substring(body, 1, 200)))
 
 
 def call_status(calls: DataFrame) -> DataFrame:

@@ -23,8 +23,21 @@ def linked_values(tipo: Column, datos: Column) -> Column:
     return F.transform_keys(keep, lambda k, v: _second(k, tipo == "direccion_comercio"))
 
 
-def package_candidates(pkgs: DataFrame) -> DataFrame:
-    """Candidates of each package: one per address with its linked values, else one per value."""
+def _with_types(rows: DataFrame, documents: DataFrame, seq: Column, calls: DataFrame) -> DataFrame:
+    """Add the type of each row's document, null without a list of documents."""
+    if documents is None:
+        return rows.withColumn("doc_type", F.lit(None).cast("string"))
+    return ordered.lookup(rows, documents.select("case_id", "doc_id", "doc_type"),
+                          ["case_id", "doc_id"], seq, source=calls)
+
+
+def package_candidates(pkgs: DataFrame, documents: DataFrame = None,
+                       calls: DataFrame = None) -> DataFrame:
+    """Candidates of each package: one per address with its linked values, else one per value.
+
+    `documents(case_id, doc_id, doc_type)` gives the type of the document a package comes from.
+    """
+    pkgs = _with_types(pkgs, documents, F.col("seq"), calls)
     tipo, datos = F.col("tipo"), F.col("datos")
     is_address = tipo.isin("direccion", "direccion_comercio")
     street = F.array(F.struct(
@@ -40,7 +53,7 @@ def package_candidates(pkgs: DataFrame) -> DataFrame:
         "case_id", "doc_id", "c.field", "c.value", "c.linked",
         F.struct(F.lit(0).alias("src"), F.col("seq"), F.col("pkg_seq"), F.col("pos")).alias("ord"),
         F.col("fuente").alias("document"), F.array().cast("array<string>").alias("engines"),
-        F.col("etiqueta").alias("note")).where(~is_blank(F.col("value")))
+        F.col("etiqueta").alias("note"), "doc_type").where(~is_blank(F.col("value")))
 
 
 def apply_package(pkgs: DataFrame, to_second: Column) -> DataFrame:
@@ -59,17 +72,13 @@ def proposal_candidates(voted: DataFrame, documents: DataFrame = None,
     """
     rows = voted.where(~F.col("field").isin(*fv.DATE_FIELDS)).withColumnRenamed(
         "first_doc", "doc_id")
-    if documents is not None:
-        rows = ordered.lookup(rows, documents.select("case_id", "doc_id", "doc_type"),
-                              ["case_id", "doc_id"], F.col("first_seq"), source=calls)
-    else:
-        rows = rows.withColumn("doc_type", F.lit(None).cast("string"))
+    rows = _with_types(rows, documents, F.col("first_seq"), calls)
     return rows.select(
         "case_id", "doc_id", "field", "value", F.create_map().cast(_LINKED).alias("linked"),
         F.struct(F.lit(1).alias("src"), F.col("first_seq").alias("seq"),
                  F.col("first_pos").alias("pkg_seq"), F.lit(0).alias("pos")).alias("ord"),
         F.coalesce(nonblank(F.col("doc_type")), F.lit(fv.UNKNOWN_DOCUMENT)).alias("document"),
-        "engines", F.lit("").alias("note"))
+        "engines", F.lit("").alias("note"), "doc_type")
 
 
 def document_holders(pkgs: DataFrame) -> DataFrame:
@@ -97,8 +106,12 @@ def expected_holder(holders: DataFrame) -> DataFrame:
 
 
 def intruder_documents(holders: DataFrame, expected: DataFrame) -> DataFrame:
-    """Documents whose holder is not the one their case expects."""
-    return holders.join(expected.select("case_id", "expected"), "case_id").where(
+    """Documents whose holder is not the one their case expects.
+
+    A case with very many documents is spread: the lookup buckets them by document.
+    """
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(64 * ordered.WIDTH))
+    return ordered.lookup(holders, expected.select("case_id", "expected"), ["case_id"], number).where(
         F.col("holder") != F.col("expected")).select("case_id", "doc_id", "holder")
 
 
@@ -119,11 +132,13 @@ def flag_intruders(candidates: DataFrame, holders: DataFrame, expected: DataFram
     }).drop("holder")
 
 
-def flag_risky(candidates: DataFrame, doc_type: Column = None) -> DataFrame:
-    """`risky`: an intruder's value, or one from a document type that is risky for the field."""
-    source = F.col("document") if doc_type is None else doc_type
+def flag_risky(candidates: DataFrame) -> DataFrame:
+    """`risky`: an intruder's value, or one from a document type that is risky for the field.
+
+    The type is that of the value's document, or what a package names as its source.
+    """
     return candidates.withColumn("risky", F.col("intruder") | is_risky_source(
-        F.col("field"), source))
+        F.col("field"), F.col("document")) | is_risky_source(F.col("field"), F.col("doc_type")))
 
 
 def merge_candidates(candidates: DataFrame) -> DataFrame:

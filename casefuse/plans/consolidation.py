@@ -12,7 +12,7 @@ from casefuse.sources.tables import written
 
 @dataclass
 class Consolidation:
-    """Lazy results of `consolidate`."""
+    """Results of `consolidate`, each computed when it is used."""
 
     parsed: DataFrame
     voted: DataFrame
@@ -37,19 +37,17 @@ def consolidate(calls: DataFrame, documents: DataFrame = None, protected: DataFr
     `calls(case_id, doc_id, engine, seq, http_code, ok, error, text)`,
     `documents(case_id, doc_id, doc_type)` (by default the type the replies report first),
     `protected(case_id, field)`. With `coverage`, a case stops at the first call after which all
-    those fields have a value: a first pass over the replies finds that call from those fields
-    alone, and later calls are dropped as raw text. With `staged`, the decoded replies that are
-    left are written once to the shared folder and every branch reads them from there; without
-    it each branch decodes again, which is cheaper on small input only.
+    those fields have a value. With `staged`, the decoded replies are written once to the shared
+    folder (at once, when this is called) and every branch reads them from there, the cut included;
+    without it each branch decodes again, which is cheaper on small input only.
     """
-    used = voting.drop_dead_engines(calls)
-    if coverage:
-        first = replies.votes(replies.parse_replies(used), coverage)
-        cut = voting.coverage_point(first, coverage)
-        used = voting.stop_when_covered(used, written(cut, "coverage") if staged else cut, calls=calls)
-    parsed = replies.call_status(replies.parse_replies(used)).drop("text")
+    parsed = replies.call_status(replies.parse_replies(voting.drop_dead_engines(calls))).drop("text")
     if staged:
         parsed = written(parsed, "parsed-replies")
+    if coverage:
+        cut = voting.coverage_point(replies.votes(parsed, coverage), coverage)
+        parsed = voting.stop_when_covered(parsed, written(cut, "coverage") if staged else cut,
+                                          calls=parsed.select("case_id", "seq"))
     votes = replies.votes(parsed)
     voted = voting.aggregate_votes(votes)
     types = voting.majority_type(parsed.withColumn(
@@ -60,7 +58,7 @@ def consolidate(calls: DataFrame, documents: DataFrame = None, protected: DataFr
     pkgs = replies.packages(parsed)
     holders = resolve.document_holders(pkgs)
     made = parsed.select("case_id", "doc_id", "seq")
-    rows = resolve.package_candidates(pkgs).unionByName(
+    rows = resolve.package_candidates(pkgs, documents, made).unionByName(
         resolve.proposal_candidates(voted, documents, made))
     flagged = resolve.flag_intruders(rows, holders, resolve.expected_holder(holders), made)
     merged = resolve.merge_candidates(resolve.flag_risky(flagged))

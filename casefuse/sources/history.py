@@ -62,14 +62,15 @@ def rejected_profiles(rows: DataFrame, marker: str) -> DataFrame:
 def list_history(log: DataFrame) -> DataFrame:
     """Readable entries that were not deleted, newest first, with their non-blank field count.
 
-    `log(id, json, op_seq, deleted)` is append-only: a delete is one more row for its id, so
-    nothing is rewritten and a partition that loses its last entry needs no care.
+    `log(owner, id, json, op_seq, deleted)` is append-only: a delete is one more row for its id, so
+    nothing is rewritten and a partition that loses its last entry needs no care. An id is a save
+    time, so entries are told apart by owner and id.
     """
-    alive = parse_profiles(latest(log, ["id"], "op_seq").where(~F.col("deleted")))
+    alive = parse_profiles(latest(log, ["owner", "id"], "op_seq").where(~F.col("deleted")))
     used = F.size(F.map_filter(F.col("profile.campos"), lambda k, v: ~is_blank(v)))
     return alive.where(F.col("profile").isNotNull()).select(
-        "id", "profile.label", "profile.guardado", used.alias("n_fields")).orderBy(
-        F.col("guardado").desc(), "id")
+        "owner", "id", "profile.label", "profile.guardado", used.alias("n_fields")).orderBy(
+        F.col("guardado").desc(), "id", "owner")
 
 
 def saved_mapping(log: DataFrame) -> DataFrame:
