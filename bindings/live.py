@@ -47,6 +47,6 @@ SELECT case_id, field, value, string_agg(DISTINCT engine, '|' ORDER BY engine) A
 FROM votes GROUP BY ALL""")
 def live_votes_stream(spark, sf):
     root = shared_dir(spark, "live-votes")
-    live.start_live_votes(_stream(spark, sf).selectExpr(*PLANTED["votes"][1]), f"{root}/out",
+    live.start_live_votes(_stream(spark, sf).selectExpr(*PLANTED["votes"][1]), f"{root}/state",
                           f"{root}/checkpoint").awaitTermination()
-    return live.current_votes(spark.read.parquet(f"{root}/out"))
+    return live.latest_state(spark, f"{root}/state", live.TALLIES)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 1 << 18
+#: Parts that a key's rows are dealt into by hash where their order does not matter.
+PARTS = 32
 
 
 def bucket_of(seq: Column, width: int = WIDTH) -> Column:
@@ -53,19 +55,23 @@ def row_number(df: DataFrame, keys: list, order: list, buckets: list, out: str,
     return numbered.drop("_k", "_rn", "_before", "_total", *names)
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: list, seq: Column, width: int = WIDTH,
+def lookup(df: DataFrame, table: DataFrame, keys: list, seq: Column, parts: int = PARTS,
            source: DataFrame = None) -> DataFrame:
-    """Left join to a table with one row per key, a hot key's rows spread over its buckets.
+    """Left join to a table with one row per key, a hot key's rows spread over parts.
 
     A plain join on the key would send all its rows to one task, and the runtime's own skew split
-    does not apply where the table is an aggregate over that key. Here only the distinct
-    (key, bucket) pairs meet the table on the key; the rows meet the pairs on key and bucket.
+    does not apply where the table is an aggregate over that key. Here rows are dealt into parts by
+    a hash of `seq`, so dense and sparse numbers spread alike; only the distinct (key, part) pairs,
+    at most `parts` of a key, meet the table on the key, and the rows meet the pairs.
 
     The pairs come from `df` itself, which is then computed twice. Where `df` is costly, `source`
     names cheaper rows (the keys and `seq`) that hold at least the same pairs.
     """
-    df, names = _tagged(df, keys, [bucket_of(seq, width)])
-    pairs = df if source is None else _tagged(source, keys, [bucket_of(F.col("seq"), width)])[0]
+    def part_of(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c.cast("long")), F.lit(parts))
+
+    df, names = _tagged(df, keys, [part_of(seq)])
+    pairs = df if source is None else _tagged(source, keys, [part_of(F.col("seq"))])[0]
     pairs = pairs.select("_k", *keys).distinct().join(table, keys, "left").drop(*keys)
     return df.join(pairs, "_k").drop("_k", *names)
 

@@ -110,8 +110,9 @@ def intruder_documents(holders: DataFrame, expected: DataFrame) -> DataFrame:
 
     A case with very many documents is spread: the lookup buckets them by document.
     """
-    number = F.pmod(F.xxhash64("doc_id"), F.lit(64 * ordered.WIDTH))
-    return ordered.lookup(holders, expected.select("case_id", "expected"), ["case_id"], number).where(
+    known = ordered.lookup(holders, expected.select("case_id", "expected"), ["case_id"],
+                           F.xxhash64("doc_id"))
+    return known.where(
         F.col("holder") != F.col("expected")).select("case_id", "doc_id", "holder")
 
 

@@ -66,7 +66,7 @@ def drop_dead_engines(calls: DataFrame, codes=fv.PERMANENT_FAILURE_CODES,
     """Calls up to each engine's first permanent failure, that failure included."""
     died = calls.where(F.col("http_code").isin(*codes)).groupBy("case_id", "engine").agg(
         F.min("seq").alias("died_at"))
-    marked = ordered.lookup(calls, died, ["case_id", "engine"], F.col("seq"), width)
+    marked = ordered.lookup(calls, died, ["case_id", "engine"], F.col("seq"))
     return marked.where(F.col("died_at").isNull() | (F.col("seq") <= F.col("died_at"))).drop("died_at")
 
 
@@ -79,10 +79,9 @@ def coverage_point(votes: DataFrame, fields) -> DataFrame:
     return covered.where(F.col("n_fields") == len(set(fields))).select("case_id", "cut_seq")
 
 
-def stop_when_covered(rows: DataFrame, cut: DataFrame, width: int = ordered.WIDTH,
-                      calls: DataFrame = None) -> DataFrame:
+def stop_when_covered(rows: DataFrame, cut: DataFrame, calls: DataFrame = None) -> DataFrame:
     """Rows up to the coverage point of their case, all rows where there is none."""
-    marked = ordered.lookup(rows, cut, ["case_id"], F.col("seq"), width, calls)
+    marked = ordered.lookup(rows, cut, ["case_id"], F.col("seq"), source=calls)
     return marked.where(F.col("cut_seq").isNull() | (F.col("seq") <= F.col("cut_seq"))).drop("cut_seq")
 
 
@@ -111,7 +110,7 @@ def progress(calls: DataFrame, ceilings: DataFrame, width: int = ordered.WIDTH)
     steps = ordered.row_number(calls, ["case_id"], ["seq"],
                                [ordered.bucket_of(F.col("seq"), width)], "step")
     total = ceilings.select("case_id", (F.col("n_batches") * F.col("n_engines")).alias("total_steps"))
-    return ordered.lookup(steps, total, ["case_id"], F.col("seq"), width)
+    return ordered.lookup(steps, total, ["case_id"], F.col("seq"))
 
 
 def enabled_engines(available: DataFrame, selected: DataFrame) -> DataFrame:

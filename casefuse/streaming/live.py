@@ -1,9 +1,10 @@
 """The same operators on streams.
 
 Two feeds need an order inside a case. They run the batch operators on each micro-batch, so that
-a hot case is still cut into buckets, and keep their state as one written table per epoch: epoch n
-reads the state of n - 1 and overwrites its own output and state, so a retried epoch gives the
-same result. Rows whose `seq` is not above the last one seen for their case are dropped.
+a hot case is still cut into buckets, and keep their state in written buckets of cases: epoch n reads
+the state before it and overwrites its own output and state, so a retried epoch gives the same
+result and a micro-batch costs what it touches. Rows whose `seq` is not above the last one seen for
+their case change nothing and go to an output of their own.
 """
 
 from pyspark.sql import DataFrame
@@ -13,36 +14,36 @@ from pyspark.sql.streaming import StreamingQuery
 from casefuse import fixed_values as fv
 from casefuse.operators import edits as ed
 from casefuse.operators import ordered
+from casefuse.streaming.state import BucketedState
 
 LAST_SEEN = "case_id BIGINT, last_seq BIGINT"
 FEED_STATE = "case_id BIGINT, seq BIGINT, snapshot STRING"
 OPEN_EDITS = ("case_id BIGINT, seq BIGINT, action STRING, field STRING, value STRING, "
               "linked MAP<STRING,STRING>, origin STRING")
+TALLIES = "case_id BIGINT, field STRING, value STRING, engines ARRAY<STRING>, first_seq BIGINT"
 BASE_FIELDS = ("case_id BIGINT, field STRING, value STRING, state STRING, origin STRING, "
                "seq BIGINT, origin_seq BIGINT")
 
 
-def _state(batch, path, epoch, schema):
-    spark = batch.sparkSession
-    if epoch == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/epoch={epoch - 1}")
-
-
 def latest_state(spark, path: str, schema: str) -> DataFrame:
     """State after the last epoch written."""
-    states = spark.read.schema(f"{schema}, epoch INT").parquet(path)
-    newest = states.agg(F.max("epoch")).first()[0]
-    return states.where(F.col("epoch") == newest).drop("epoch")
+    return BucketedState(spark, path, schema).latest()
 
 
 def _save(df, path, epoch):
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def _unseen(batch, last_seen, width):
-    return ordered.lookup(batch, last_seen, ["case_id"], F.col("seq"), width).where(
-        F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))).drop("last_seq")
+def _fresh(batch, last_seen, late, epoch):
+    """Rows above the last one of their case; the others are written to `late`, none is lost.
+
+    `why` tells a row that repeats the last number from one that came after a later number.
+    """
+    known = ordered.lookup(batch, last_seen, ["case_id"], F.col("seq"))
+    new = F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))
+    why = F.when(F.col("seq") == F.col("last_seq"), "repeated").otherwise("late")
+    _save(known.where(~new).withColumn("why", why), late, epoch)
+    return known.where(new).drop("last_seq")
 
 
 def changed_rows(snapshots: DataFrame, width: int = ordered.WIDTH) -> DataFrame:
@@ -59,16 +60,23 @@ def _start(stream, handler, checkpoint, trigger):
 
 def start_change_feed(stream: DataFrame, out: str, state: str, checkpoint: str, trigger=None,
                       width: int = ordered.WIDTH) -> StreamingQuery:
-    """Write to `out/epoch=n` each snapshot that differs from the one before in its case."""
+    """Write to `out/epoch=n` each snapshot that differs from the one before in its case.
+
+    Rows that come too late are in `state/late/epoch=n`.
+    """
     def handle(batch: DataFrame, epoch: int) -> None:
-        before = _state(batch, state, epoch, FEED_STATE)
+        newest_rows = BucketedState(batch.sparkSession, f"{state}/last", FEED_STATE)
+        batch = batch.select("case_id", "seq", "snapshot").persist()
+        touched = newest_rows.touched(batch)
+        before = newest_rows.read(epoch, touched)
         seen = before.select("case_id", F.col("seq").alias("last_seq"))
-        fresh = _unseen(batch.select("case_id", "seq", "snapshot"), seen, width).persist()
+        fresh = _fresh(batch, seen, f"{state}/late", epoch).persist()
         both = before.withColumn("old", F.lit(True)).unionByName(fresh.withColumn("old", F.lit(False)))
         _save(changed_rows(both, width).where(~F.col("old")).drop("old"), out, epoch)
         newest = F.max_by(F.struct("seq", "snapshot"), "seq").alias("s")
-        _save(both.groupBy("case_id").agg(newest).select("case_id", "s.*"), state, epoch)
+        newest_rows.save(both.groupBy("case_id").agg(newest).select("case_id", "s.*"), epoch, touched)
         fresh.unpersist()
+        batch.unpersist()
 
     return _start(stream, handle, checkpoint, trigger)
 
@@ -78,23 +86,29 @@ def start_edit_replay(stream: DataFrame, state: str, checkpoint: str, trigger=No
     """Keep every case's fields up to date from a stream of edits.
 
     State per case: at most `depth` edits that can still be undone, the fields below them, and
-    the last `seq`. Each batch replays the open edits and the new rows on top of those fields.
+    the last `seq`. Each batch replays the open edits of its buckets and the new rows on top of
+    those fields. Rows that come too late are in `state/late/epoch=n`.
     """
     def handle(batch: DataFrame, epoch: int) -> None:
-        opened = _state(batch, f"{state}/open", epoch, OPEN_EDITS)
-        base = _state(batch, f"{state}/base", epoch, BASE_FIELDS)
-        seen = _state(batch, f"{state}/seen", epoch, LAST_SEEN)
-        fresh = _unseen(batch.select(*ed.EDIT_COLUMNS), seen, width)
-        log = opened.unionByName(fresh).persist()
+        spark = batch.sparkSession
+        open_edits = BucketedState(spark, f"{state}/open", OPEN_EDITS)
+        fields = BucketedState(spark, f"{state}/base", BASE_FIELDS)
+        last_seen = BucketedState(spark, f"{state}/seen", LAST_SEEN)
+        batch = batch.select(*ed.EDIT_COLUMNS).persist()
+        touched = last_seen.touched(batch)
+        seen = last_seen.read(epoch, touched)
+        fresh = _fresh(batch, seen, f"{state}/late", epoch)
+        log = open_edits.read(epoch, touched).unionByName(fresh).persist()
         settled = ed.settle_edits(log, depth, width).persist()
-        _save(settled.where(F.col("fate") == "open").drop("fate"), f"{state}/open", epoch)
+        open_edits.save(settled.where(F.col("fate") == "open").drop("fate"), epoch, touched)
         done = ed.field_changes(settled.where(F.col("fate") == "final"))
-        _save(merge_fields(base, done), f"{state}/base", epoch)
+        fields.save(merge_fields(fields.read(epoch, touched), done), epoch, touched)
         last = log.groupBy("case_id").agg(F.max("seq").alias("last_seq"))
-        _save(seen.unionByName(last).groupBy("case_id").agg(F.max("last_seq").alias("last_seq")),
-              f"{state}/seen", epoch)
+        last_seen.save(seen.unionByName(last).groupBy("case_id").agg(
+            F.max("last_seq").alias("last_seq")), epoch, touched)
         settled.unpersist()
         log.unpersist()
+        batch.unpersist()
 
     return _start(stream, handle, checkpoint, trigger)
 
@@ -114,21 +128,22 @@ def current_fields(base: DataFrame, opened: DataFrame) -> DataFrame:
     return merge_fields(base, ed.field_changes(opened)).drop("seq", "origin_seq")
 
 
-def start_live_votes(stream: DataFrame, out: str, checkpoint: str, trigger=None) -> StreamingQuery:
-    """Running votes per (case, field, value); each epoch writes the values that changed."""
+def start_live_votes(stream: DataFrame, state: str, checkpoint: str, trigger=None) -> StreamingQuery:
+    """Running votes per (case, field, value), the newest tally of each kept in `state`."""
     tally = stream.groupBy("case_id", "field", "value").agg(
         F.array_sort(F.collect_set("engine")).alias("engines"), F.min("seq").alias("first_seq"))
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        _save(batch.withColumn("epoch_no", F.lit(epoch)), out, epoch)
+        tallies = BucketedState(batch.sparkSession, state, TALLIES)
+        batch = batch.persist()
+        touched = tallies.touched(batch)
+        rows = tallies.read(epoch, touched).withColumn("layer", F.lit(0)).unionByName(
+            batch.withColumn("layer", F.lit(1)))
+        newest = F.max_by(F.struct("engines", "first_seq"), "layer").alias("r")
+        tallies.save(rows.groupBy("case_id", "field", "value").agg(newest).select(
+            "case_id", "field", "value", "r.*"), epoch, touched)
+        batch.unpersist()
 
     writer = tally.writeStream.outputMode("update").foreachBatch(handle)
     return writer.option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()
-
-
-def current_votes(changes: DataFrame) -> DataFrame:
-    """Latest tally of each value from the epochs written so far."""
-    return changes.groupBy("case_id", "field", "value").agg(
-        F.max_by(F.struct("engines", "first_seq"), "epoch_no").alias("r")).select(
-        "case_id", "field", "value", "r.*")

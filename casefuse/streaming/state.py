@@ -1,0 +1,80 @@
+"""State of a stream as a table in buckets, of which a micro-batch rewrites only those it touches."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BUCKETS = 64
+INDEX = "bucket INT, written INT"
+
+
+class BucketedState:
+    """Rows keyed by `key`, in hash buckets below `path`.
+
+    Epoch n writes its touched buckets to `epoch=n/bucket=b` and a list of the newest folder of each
+    bucket to `index/epoch=n`; it reads through the list of epoch n - 1. So a retried epoch gives the
+    same result, and a micro-batch costs the buckets it touches. Folders that neither the new list
+    nor the one before names are deleted. The list has one row per bucket.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "case_id",
+                 buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path, schema, key, buckets
+
+    def bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list:
+        """Buckets that hold a key of the rows; at most as many as there are buckets."""
+        return [r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect()]
+
+    def _index(self, epoch: int) -> dict:
+        if epoch < 0:
+            return {}
+        rows = self.spark.read.schema(INDEX).parquet(f"{self.path}/index/epoch={epoch}").collect()
+        return {r.bucket: r.written for r in rows}
+
+    def _load(self, folders: list) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*folders)
+
+    def _folders(self, index: dict, buckets=None) -> list:
+        return [f"{self.path}/epoch={e}/bucket={b}" for b, e in sorted(index.items())
+                if buckets is None or b in buckets]
+
+    def read(self, epoch: int, buckets: list) -> DataFrame:
+        """State of these buckets before the epoch."""
+        return self._load(self._folders(self._index(epoch - 1), set(buckets)))
+
+    def save(self, rows: DataFrame, epoch: int, buckets: list) -> None:
+        """Replace the state of these buckets."""
+        rows = rows.withColumn("bucket", self.bucket())
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self.path}/epoch={epoch}")
+        written = self.spark.read.schema(f"{self.schema}, bucket INT").parquet(
+            f"{self.path}/epoch={epoch}").select("bucket").distinct().collect()
+        before = self._index(epoch - 1)
+        index = {b: e for b, e in before.items() if b not in set(buckets)}
+        index.update({r[0]: epoch for r in written})
+        self.spark.createDataFrame(list(index.items()), INDEX).coalesce(1).write.mode(
+            "overwrite").parquet(f"{self.path}/index/epoch={epoch}")
+        self._forget(epoch, set(before.values()) | set(index.values()))
+
+    def _forget(self, epoch: int, used: set) -> None:
+        """Delete epochs that no current list names, and lists older than the last two."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = hadoop(self.path)
+        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for folder, keep in ((self.path, used | {epoch}), (f"{self.path}/index", {epoch, epoch - 1})):
+            for status in system.listStatus(hadoop(folder)):
+                name = status.getPath().getName()
+                if name.startswith("epoch=") and int(name[6:]) < epoch and int(name[6:]) not in keep:
+                    system.delete(status.getPath(), True)
+
+    def latest(self) -> DataFrame:
+        """State after the last epoch written."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/index")
+        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        epochs = [int(s.getPath().getName()[6:]) for s in system.listStatus(root)
+                  if s.getPath().getName().startswith("epoch=")]
+        return self._load(self._folders(self._index(max(epochs, default=-1))))

@@ -13,8 +13,16 @@ def parsed(spark, texts, engine="claude"):
 
 
 def test_reply_wrapped_in_prose(spark):
-    text = "Claro, aquí tienes:\n```json\n{\"sugerencias\":{\"NIE\":\"B24838195\"}}\n``` fin"
-    assert parsed(spark, [text]).first().reply.sugerencias == {"NIE": "B24838195"}
+    text = "Resultado del documento 3\n~~~\n{\"sugerencias\":{\"CP\":\"8001\",\"Población\":\"{x\"}}\n~~~\nSaludos."
+    assert parsed(spark, [text]).first().reply.sugerencias == {"CP": "8001", "Población": "{x"}
+
+
+def test_replies_must_be_one_object_with_plain_values(spark):
+    texts = ['{"sugerencias":{"CP":"1"}} {"sugerencias":{"CP":"2"}}', '{"sugerencias":{"CP":"1"}} nota {x}',
+             '{"sugerencias":{"CP":{"a":1}}}', '{"alternativas":{"CP":[{"valor":["1"]}]}}',
+             '{"paquetes":[{"tipo":"banco","datos":{"x":[]}}]}']
+    assert [r.reply for r in parsed(spark, texts).collect()] == [None] * 5
+    assert replies.reject_log(parsed(spark, texts)).count() == 5
 
 
 def test_broken_replies_are_rejected_whole(spark):
@@ -49,18 +57,19 @@ def test_shop_address_votes_for_the_second_block(spark):
 
 
 def test_error_message(spark):
-    df = spark.createDataFrame([('{"ok":false,"error":"cuota"}',), ("x" * 300,), (" ",), (None,)], "b string")
+    df = spark.createDataFrame([('{"ok":false,"error":"cuota"}',), ("x" * 300,), (" ",), (None,),
+                                ('{"error":{"code":429}}' + " " * 300,), ('{"error":"[x] y"}',)], "b string")
     assert [r[0] for r in df.select(replies.error_message(F.col("b"))).collect()] == [
-        "cuota", "x" * 200, None, None]
+        "cuota", "x" * 200, None, None, ('{"error":{"code":429}}' + " " * 300)[:200], "[x] y"]
 
 
 def test_consensus_beats_order(spark):
-    rows = [(1, "F", "v1", "claude", 0, 0, 1), (1, "F", "v2", "claude", 0, 1, 1), (1, "F", "v2", "gemini", 1, 0, 1)]
+    rows = [(1, "F", "rojo", "ovh", 0, 0, 1), (1, "F", "azul", "ovh", 0, 1, 1), (1, "F", "azul", "grok", 1, 0, 1)]
     votes = spark.createDataFrame(rows, "case_id long, field string, value string, engine string, seq long, pos int, doc_id long")
     voted = voting.aggregate_votes(votes)
     ranked = voting.rank_values(voted, width=1).orderBy("rank").collect()
-    assert [(r.value, r.n_engines, r.rank) for r in ranked] == [("v2", 2, 1), ("v1", 1, 2)]
-    assert voting.top_values(voted).first().value == "v2"
+    assert [(r.value, r.n_engines, r.rank) for r in ranked] == [("azul", 2, 1), ("rojo", 1, 2)]
+    assert voting.top_values(voted).first().value == "azul"
 
 
 def test_permanent_failure_ends_an_engine(spark):

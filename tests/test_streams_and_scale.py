@@ -7,6 +7,7 @@ from casefuse.operators import edits as ed
 from casefuse.operators import voting
 from casefuse.session import shared_dir
 from casefuse.streaming import live
+from casefuse.streaming.state import BucketedState
 from tests.test_ordered import EDITS, _log, _replay
 
 ONE_FILE = {"availableNow": True}
@@ -38,6 +39,42 @@ def test_change_feed_over_batches_equals_batch(spark):
         last[case] = snap
     assert got == want
     assert len([d for d in os.listdir(f"{root}/out") if d.startswith("epoch=")]) == 4
+    late = spark.read.parquet(f"{root}/state/late").collect()
+    assert {(r.case_id, r.seq, r.snapshot) for r in late} == set(rows[5:9])
+    kept = {d for d in os.listdir(f"{root}/state/last/index") if d.startswith("epoch=")}
+    assert kept == {"epoch=2", "epoch=3"}
+
+
+def test_rows_out_of_order_are_accounted_for_after_a_restart(spark):
+    """Files out of order, the stream stopped and started again: each row is used or in `late`."""
+    schema, root, path = "case_id long, seq long, snapshot string", shared_dir(spark, "restart"), shared_dir(spark, "in")
+    batches = [[(1, 5, "a"), (2, 1, "x")], [(1, 3, "b"), (3, 1, "y")], [(1, 5, "a"), (2, 2, "x")],
+               [(2, 3, "z"), (1, 6, "a"), (1, 7, "c")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        if i % 2:
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+            live.start_change_feed(stream, f"{root}/out", f"{root}/state", f"{root}/cp", ONE_FILE).awaitTermination()
+    got = {(r.case_id, r.seq) for r in spark.read.parquet(f"{root}/out").collect()}
+    late = {(r.case_id, r.seq, r.why) for r in spark.read.parquet(f"{root}/state/late").collect()}
+    assert got == {(1, 5), (2, 1), (3, 1), (2, 3), (1, 7)}
+    assert late == {(1, 3, "late"), (1, 5, "repeated")}
+    last = live.latest_state(spark, f"{root}/state/last", live.FEED_STATE).collect()
+    assert {(r.case_id, r.seq, r.snapshot) for r in last} == {(1, 7, "c"), (2, 3, "z"), (3, 1, "y")}
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark):
+    state = BucketedState(spark, shared_dir(spark, "buckets"), "case_id BIGINT, v STRING", buckets=8)
+    rows = spark.createDataFrame([(i, "old") for i in range(100)], "case_id long, v string")
+    state.save(rows, 0, state.touched(rows))
+    some = spark.createDataFrame([(7, "new")], "case_id long, v string")
+    touched = state.touched(some)
+    merged = state.read(1, touched).where("case_id <> 7").unionByName(some)
+    for _ in range(2):  # a retried epoch
+        state.save(merged, 1, touched)
+    assert len(os.listdir(f"{state.path}/epoch=1")) <= 4
+    assert {(r.case_id, r.v) for r in state.latest().collect()} == {
+        (i, "new" if i == 7 else "old") for i in range(100)}
 
 
 def test_edit_stream_over_batches_equals_brute_force(spark):
@@ -67,7 +104,7 @@ def test_hot_case_is_spread_by_the_lookup(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "40")
     try:
-        kept = voting.stop_when_covered(rows, cut, width=500)
+        kept = voting.stop_when_covered(rows, cut)
         sizes = [r["count"] for r in kept.where("case_id = -1").groupBy(
             F.spark_partition_id().alias("p")).count().collect()]
         assert sum(sizes) == 20000 and len(sizes) > 15 and max(sizes) < 4000
