@@ -196,11 +196,10 @@ def _text_parts(text: Column, spans: Column) -> Column:
 
 def _with_text(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, seed: int):
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = written(sized_rows(docs, id_col, text_col, source_col, whole,
-                              F.col(f"`{text_col}`").alias("text")), "sized")
-    sized = rows.drop("row", "text")
+    rows = written(sized_rows(docs, id_col, text_col, source_col, whole), "sized")
+    sized = rows.drop("row")
     sources = written(source_targets(sized), "sources")
-    return rows.select("at", "size", "row", "text"), pieces(sized, sources, block, seed=seed)
+    return rows.select("at", "size", "row"), pieces(sized, sources, block, seed=seed)
 
 
 def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -209,7 +208,8 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, taken = _with_text(docs, id_col, text_col, source_col, block, seed)
     part = taken.join(rows, "at").select("shard", "slot", F.struct(
         "offset", "at", F.col(f"row.`{id_col}`").alias("doc_id"), _text_parts(
-            F.col("text"), F.array(F.struct("from_word", "words"))).alias("text")).alias("p"))
+            F.col(f"row.`{text_col}`"), F.array(F.struct("from_word", "words"))).alias(
+            "text")).alias("p"))
     parts = F.array_sort(F.collect_list("p"))
     return part.groupBy("shard", "slot").agg(parts.alias("p")).select(
         "shard", "slot", F.col("p.doc_id").alias("doc_ids"),
@@ -227,8 +227,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = F.array_sort(F.collect_list(F.struct("from_word", "words")))
     times = taken.groupBy("at", "epoch").agg(spans.alias("spans"), F.sum("words").alias("n"))
     joined = rows.join(written(times, "times"), "at")
-    text = F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(
-        _text_parts(F.col("text"), F.col("spans")))
+    old = F.col(f"row.`{text_col}`")
+    text = F.when(F.col("n") == F.col("size"), old).otherwise(_text_parts(old, F.col("spans")))
     joined = joined.select("row", text.alias("new"))
     new = {text_col: F.col("new")}
     if "n_chars" in docs.columns:

@@ -231,9 +231,13 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
               text_col: str = "text", max_labelled: int = 20000) -> DataFrame:
-    """The rows of `docs` that neither the fixed nor the learned rules reject, unchanged."""
-    rows = written(packed(docs, F.col(f"`{id_col}`").alias("id"),
-                          stats(F.col(f"`{text_col}`")).alias("stats")), "stats")
-    rules = learn_rules(rows.select("id", "stats"), labels, "id", max_labelled)
+    """The rows of `docs` that neither the fixed nor the learned rules reject, unchanged.
+
+    Statistics are taken twice, once to learn and once to judge, so that texts are not written.
+    """
+    text = stats(F.col(f"`{text_col}`")).alias("stats")
+    counted = written(docs.select(F.col(f"`{id_col}`").alias("id"), text), "stats")
+    rules = learn_rules(counted, labels, "id", max_labelled)
     s = F.col("stats")
+    rows = packed(docs, text)
     return unpacked(rows.where(~base_failed(s) & verdict(rules, s)), docs.columns)
