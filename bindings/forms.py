@@ -13,8 +13,10 @@ _CANON_SQL = "(VALUES " + ", ".join(
     f"({i}, '{c}', trim(regexp_replace(lower(strip_accents('{c}')), '\\s+', ' ', 'g')))" for i, c in enumerate(CANON)) + ") AS c(cord, canonical, cf)"
 _FOLD = "trim(regexp_replace(lower(strip_accents({})), '\\s+', ' ', 'g'))"
 # A template is a brand and size; its fields are its parts' names.
-_FIELDS = ["p_brand || '-' || p_size as template_id", "min(p_partkey) as ord", "p_name as field_name"]
-_FIELDS_SQL = "fields AS (SELECT p_brand || '-' || p_size AS template_id, min(p_partkey) AS ord, p_name AS field_name FROM part GROUP BY ALL)"
+# A form for each brand, size and block of parts, so that its number of fields does not grow.
+_TEMPLATE = "p_brand || '-' || p_size || '-' || cast(floor(p_partkey / 50000) as bigint)"
+_FIELDS = [f"{_TEMPLATE} as template_id", "min(p_partkey) as ord", "p_name as field_name"]
+_FIELDS_SQL = f"fields AS (SELECT {_TEMPLATE} AS template_id, min(p_partkey) AS ord, p_name AS field_name FROM part GROUP BY ALL)"
 _BEST = f"""{_FIELDS_SQL},
 scored AS (SELECT f.*, canonical, cord, CASE WHEN rf = cf THEN 1.0 WHEN rf = '' OR cf = '' THEN 0.0
     WHEN contains(rf, cf) OR contains(cf, rf) THEN 0.8
@@ -32,7 +34,7 @@ assigned AS (SELECT b.template_id, b.ord, b.field_name, CASE WHEN w.field_name I
 
 
 def _fields(spark, sf):
-    return table(spark, sf, "part").groupBy(F.expr("p_brand || '-' || p_size").alias("template_id"), F.col(
+    return table(spark, sf, "part").groupBy(F.expr(_TEMPLATE).alias("template_id"), F.col(
         "p_name").alias("field_name")).agg(F.min("p_partkey").alias("ord"))
 
 
@@ -53,13 +55,13 @@ def assigned_canonicals(spark, sf):
     return mt.assign_canonicals(mt.best_canonical(_fields(spark, sf), CANON))
 
 
-_PRINTS = f"""raw AS (SELECT p_brand || '-' || p_size AS template_id, p_name AS field_name FROM part),
+_PRINTS = f"""raw AS (SELECT {_TEMPLATE} AS template_id, p_name AS field_name FROM part),
 prints AS (SELECT template_id, (count(*) % 5 + 1) || '|' || string_agg({_FOLD.format('field_name')}, ',' ORDER BY {_FOLD.format('field_name')}) AS fingerprint
            FROM raw GROUP BY template_id)"""
 
 
 def _raw_fields(spark, sf):
-    raw = table(spark, sf, "part").selectExpr("p_brand || '-' || p_size as template_id", "p_name as field_name")
+    raw = table(spark, sf, "part").selectExpr(f"{_TEMPLATE} as template_id", "p_name as field_name")
     pages = raw.groupBy("template_id").agg((F.count(F.lit(1)) % 5 + 1).alias("n_pages"))
     return raw, pages
 
@@ -101,7 +103,7 @@ def form_matching(spark, sf):
     return match_forms(fields, pages, saved, CANON)
 
 
-_CHANGES = "SELECT DISTINCT p_brand || '-' || p_size AS template_id, CASE WHEN p_size % 2 = 0 THEN 'widget' ELSE 'cold' END AS canonical, " \
+_CHANGES = f"SELECT DISTINCT {_TEMPLATE} AS template_id, CASE WHEN p_size % 2 = 0 THEN 'widget' ELSE 'cold' END AS canonical, " \
            "CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'hand ' || p_size END AS real FROM part"
 
 
@@ -112,7 +114,7 @@ changed AS (SELECT coalesce(c.template_id, m.template_id) AS template_id, coales
 SELECT * FROM changed WHERE real IS NOT NULL""")
 def mapping_overrides(spark, sf):
     changes = table(spark, sf, "part").selectExpr(
-        "p_brand || '-' || p_size as template_id", "case when p_size % 2 = 0 then 'widget' else 'cold' end as canonical",
+        f"{_TEMPLATE} as template_id", "case when p_size % 2 = 0 then 'widget' else 'cold' end as canonical",
         "case when p_size % 3 = 0 then null else 'hand ' || p_size end as real").distinct()
     return mt.override_mapping(_mapping(spark, sf), changes)
 
@@ -120,15 +122,15 @@ def mapping_overrides(spark, sf):
 _ALL_CANON = ", ".join(f"({i}, '{k}')" for i, (k, *_) in enumerate(fv.FIELD_CATALOG))
 
 
-@query("effective_fields", f"""WITH {_FIELDS_SQL}, templates AS (SELECT DISTINCT p_brand || '-' || p_size AS template_id, p_size FROM part)
+@query("effective_fields", f"""WITH {_FIELDS_SQL}, templates AS (SELECT DISTINCT {_TEMPLATE} AS template_id, p_size FROM part)
 SELECT template_id, field_name, ord FROM fields
 UNION ALL SELECT template_id || ' new', k.field_name, k.ord FROM templates, (VALUES {_ALL_CANON}) AS k(ord, field_name) WHERE p_size % 4 = 0""")
 def effective_fields(spark, sf):
     part = table(spark, sf, "part")
-    own = part.groupBy(F.expr("p_brand || '-' || p_size").alias("template_id"), F.col(
+    own = part.groupBy(F.expr(_TEMPLATE).alias("template_id"), F.col(
         "p_name").alias("field_name")).agg(F.min("p_partkey").alias("ord"))
     templates = part.selectExpr("explode(case when p_size % 4 = 0 then array('', ' new') else array('') end) as kind",
-                                "p_brand || '-' || p_size as id").selectExpr("id || kind as template_id")
+                                f"{_TEMPLATE} as id").selectExpr("id || kind as template_id")
     return mt.effective_fields(templates, own)
 
 

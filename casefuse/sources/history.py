@@ -67,8 +67,10 @@ def list_history(log: DataFrame) -> DataFrame:
     time, so entries are told apart by owner and id.
     """
     alive = parse_profiles(latest(log, ["owner", "id"], "op_seq").where(~F.col("deleted")))
+    # Exploding the one or no profile drops unreadable ones; a filter would decode each twice.
+    readable = F.filter(F.array("profile"), lambda p: p.isNotNull())
     used = F.size(F.map_filter(F.col("profile.campos"), lambda k, v: ~is_blank(v)))
-    return alive.where(F.col("profile").isNotNull()).select(
+    return alive.select("owner", "id", F.explode(readable).alias("profile")).select(
         "owner", "id", "profile.label", "profile.guardado", used.alias("n_fields")).orderBy(
         F.col("guardado").desc(), "id", "owner")
 
