@@ -15,7 +15,7 @@ from casefuse.llm.common import WORD, mix64, row_order, unpacked, written
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words of a block, blocks of an output shard, and the parts a source is numbered in.
-BLOCK, SHARD_SLOTS, PARTS, RUN = 256, 4096, 4096, 4096
+BLOCK, SHARD_SLOTS, PARTS, RUN = 256, 4096, 1024, 4096
 
 
 def n_words(text: Column) -> Column:

@@ -206,15 +206,16 @@ def firsts(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def sample_dictionary(rows: DataFrame, records: int = 1000, sample_bytes: int = 16384) -> bytes:
-    """A dictionary from the `records` rows of smallest hash, `sample_bytes` of payload each.
+    """A dictionary from about `records` rows chosen by hash, `sample_bytes` of payload each.
 
-    Only this bounded sample reaches the driver. It decides how small archives get, never what is
-    in them.
+    Only this sample, whose size does not depend on the table's, reaches the driver. It decides how
+    small archives get, never what is in them.
     """
+    share = int((1 << 30) * min(1.0, records / max(1, rows.count())))
     chosen = rows.select("page_id", "url", F.substring("payload", 1, sample_bytes).alias("payload"),
                          "payload_bytes", "sha1", "at")
-    chosen = chosen.orderBy(mix64(F.col("sha1"), seed=13), "at").limit(records).collect()
-    return build_dictionary([record(*r) for r in chosen])
+    chosen = chosen.where(F.pmod(mix64(F.col("at"), seed=13), F.lit(1 << 30)) < share)
+    return build_dictionary([record(*r) for r in sorted(chosen.collect(), key=lambda r: r.at)])
 
 
 def write_archives(rows: DataFrame, folder: str, least_bytes: int = 0, level: int = 3,
