@@ -21,7 +21,8 @@ HEADLINE = [
     "page_batches", "restore_warnings", "fill_report", "edit_replay_undo", "assigned_canonicals",
     "template_fingerprints", "signature_placements", "moved_stamps", "otsu_thresholds",
     "threshold_islands", "history_list", "change_feed_stream", "edit_replay_stream",
-    "live_votes_stream",
+    "live_votes_stream", "merged_candidates", "intruder_flags", "risky_sources", "field_decisions",
+    "protected_fields", "autofilled_values", "pending_decisions", "state_counts",
 ]
 
 

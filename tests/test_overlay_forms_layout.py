@@ -130,3 +130,46 @@ def test_ruled_lines(spark):
     dims = spark.createDataFrame([(1, 100, 100)], "series_id long, span long, total long")
     got = {(r.start_pos, r.end_pos): r.is_line for r in dist.frame_lines(series, dims, width=7).collect()}
     assert got == {(0, 1): True, (40, 40): False, (50, 50): True, (60, 64): False}
+
+
+def test_page_edits_follow_their_order(spark):
+    from casefuse.operators import layout
+    pages = spark.createDataFrame([(1, 4), (1, 7)], "doc_id long, page_no int")
+    edits = spark.createDataFrame(
+        [(1, 5, 1, "remove"), (1, 5, 2, "add"), (1, 4, 3, "add"), (1, 4, 4, "remove"), (1, -1, 5, "add")],
+        "doc_id long, page_no int, seq long, action string")
+    got = layout.adjust_pages(pages, edits).collect()
+    assert {(r.doc_id, r.page_no) for r in got} == {(1, 5), (1, 7)}
+    stamps = spark.createDataFrame([(1, 4), (1, 5), (1, 7)], "doc_id long, page_no int")
+    assert [r.page_no for r in layout.kept_stamps(stamps, edits).collect()] == [7]
+
+
+def test_document_files_are_read_below_a_folder(spark, tmp_path):
+    from casefuse.sources.tables import read_document_files
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.pdf").write_bytes(b"one")
+    (tmp_path / "sub" / "b.pdf").write_bytes(b"three")
+    (tmp_path / "c.txt").write_bytes(b"x")
+    rows = read_document_files(spark, str(tmp_path), "*.pdf").collect()
+    assert {(r.uri.rsplit("/", 1)[1], r.n_bytes, bytes(r.content)) for r in rows} == {
+        ("a.pdf", 3, b"one"), ("b.pdf", 5, b"three")}
+
+
+def test_unnamed_documents_are_called_by_their_place(spark):
+    from pyspark.sql import functions as F
+    from casefuse.operators import documents
+    pages = spark.createDataFrame(
+        [(1, 9, 0, 3), (1, 9, 1, 4), (1, 2, 0, 5), (2, 7, 0, 1)], "case_id long, doc_id long, page_no long, seq long")
+    places = documents.document_ordinals(pages, "seq")
+    rows = documents.page_batches(pages.join(places, ["case_id", "doc_id"]), F.lit(" "), ordinal=F.col("ordinal"))
+    assert {(r.case_id, r.doc_id, r.label) for r in rows.collect()} == {
+        (1, 9, "documento 1"), (1, 2, "documento 2"), (2, 7, "documento 1")}
+
+
+def test_two_saves_in_one_millisecond_are_two_entries(spark):
+    from casefuse.sources.history import list_history
+    log = spark.createDataFrame([
+        (1, "h_a", '{"label":"x","campos":{"CP":"1"}}', 0, False), (2, "h_a", '{"label":"y","campos":{}}', 0, False),
+        (3, "h_b", '{"label":', 0, False), (2, "h_b", '{"label":"z","campos":{}}', 0, False), (2, "h_b", None, 1, True)],
+        "owner long, id string, json string, op_seq int, deleted boolean")
+    assert [(r.owner, r.label, r.n_fields) for r in list_history(log).collect()] == [(1, "x", 1), (2, "y", 0)]

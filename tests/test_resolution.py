@@ -19,8 +19,9 @@ def voted(field, value, doc, seq=50, engines=("a", "b")):
 
 def decide(spark, pkgs, votes=(), docs=(), protected=()):
     p = spark.createDataFrame(list(pkgs), PKG)
-    rows = resolve.package_candidates(p).unionByName(resolve.proposal_candidates(
-        spark.createDataFrame(list(votes), VOTED), spark.createDataFrame(list(docs), DOCS)))
+    types = spark.createDataFrame(list(docs), DOCS)
+    rows = resolve.package_candidates(p, types).unionByName(resolve.proposal_candidates(
+        spark.createDataFrame(list(votes), VOTED), types))
     holders = resolve.document_holders(p)
     flagged = resolve.flag_risky(resolve.flag_intruders(rows, holders, resolve.expected_holder(holders)))
     kept = spark.createDataFrame([(1, f) for f in protected], "case_id long, field string")
@@ -42,6 +43,18 @@ def test_intruder_document(spark):
     assert d["NIE"].state == "CONFLICT" and v == {}
 
 
+def test_package_value_of_a_risky_document_type(spark):
+    """The type of the document counts as much as what the package names as its source."""
+    iban, bank = "Datos bancarios del DISTRIBUIDOR", (1, 4, "e", 4, 0, "banco", "", "hoja 2")
+    docs = [(1, 4, "Contrato de alquiler")]
+    d, v = decide(spark, [(*bank, {iban: "ES1"})], docs=docs)
+    assert d[iban].state == "WARN" and v == {} and d[iban].document == "hoja 2"
+    d, v = decide(spark, [(*bank, {iban: "ES1"})], docs=[(1, 4, "DNI")])
+    assert d[iban].state == "AI" and v == {iban: "ES1"}
+    d, v = decide(spark, [(*bank[:7], "Factura", {iban: "ES1"})])
+    assert d[iban].state == "WARN" and v == {}
+
+
 def test_tie_accuses_nobody(spark):
     d, _ = decide(spark, [company(1, "A1", Extra="x"), company(2, "B9", Other="y")])
     assert d["Extra"].state == "AI" and d["Other"].state == "AI"
