@@ -226,5 +226,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = written(rows, "fingerprints")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("at"))
     found = grouped(rows.select("fp", "at", "id"), order, radius)
-    stay = written(found.select(F.col("first.at").alias("at")).distinct(), "stay")
-    return unpacked(rows.join(stay, "at", "left_semi"), columns)
+    gone = rows.select("fp", "at").join(found, "fp").where(F.col("first.at") != F.col("at"))
+    return unpacked(rows.join(written(gone.select("at"), "gone"), "at", "left_anti"), columns)
