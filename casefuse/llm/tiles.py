@@ -73,15 +73,17 @@ def _starts(table: pa.Table) -> np.ndarray:
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n nodes by the given links."""
-    label = np.arange(n)
+    """Smallest index reachable from each of n nodes by the given links.
+
+    Links hook roots onto smaller roots, so nodes joined before follow their root; a link whose
+    ends have one root is done with.
+    """
+    root = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    while not np.array_equal(label, label[label]):
-        label = label[label]
-    return label
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
