@@ -149,7 +149,9 @@ def pieces(sized: DataFrame, sources: DataFrame, block: int = BLOCK,
     last = F.floor((F.col("start") + F.col("size") - 1) / F.lit(block)).cast("long")
     parts = streams(sized, sources).select("at", "sid", "size", "start", F.explode(
         F.sequence(first, last)).alias("block"))
-    met = parts.join(slots(sources, block, shard_slots, seed), ["sid", "block"])
+    # Written first: a plan can't tell how many slots come out of a few sources.
+    taken = written(slots(sources, block, shard_slots, seed), "slots")
+    met = parts.join(taken, ["sid", "block"])
     base = F.col("block") * F.lit(block)
     low = F.greatest("start", base)
     high = F.least(F.col("start") + F.col("size"), base + F.col("words"))
