@@ -127,8 +127,12 @@ def planted(spark, sf, name):
 
 
 def calls(spark, sf):
-    """Recorded calls with their reply text."""
-    keys = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    """Recorded calls with their reply text.
+
+    A reply is a hundred times its two keys, so the keys are always dealt out before it is made.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = table(spark, sf, "orders").select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey")
     return keys.selectExpr(*PLANTED["raw_calls"][1]).selectExpr(*_CALL)
 
 
