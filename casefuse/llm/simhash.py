@@ -167,13 +167,16 @@ def _tile_links(table: pa.Table, starts: np.ndarray, radius: int):
     return fp[moved], fp[label[moved]]
 
 
-def close_links(fps: DataFrame, radius: int = 2, blocks: int = 4, size: int = 1024) -> DataFrame:
+def close_links(fps: DataFrame, radius: int = 2, blocks: int = 4, size: int = 1024,
+                keyed: DataFrame = None) -> DataFrame:
     """Links (a, b) that span all groups of distinct fingerprints `fp` within the radius.
 
     No link between two fingerprints further apart is made, and every closer pair ends up
-    connected; inside a tile only a spanning set leaves the task, not all pairs.
+    connected; inside a tile only a spanning set leaves the task, not all pairs. `keyed` gives
+    other buckets (`key, fp`); then only pairs that share one are connected.
     """
-    keyed = fps.select(F.explode(bucket_keys(F.col("fp"), radius, blocks)).alias("key"), "fp")
+    if keyed is None:
+        keyed = fps.select(F.explode(bucket_keys(F.col("fp"), radius, blocks)).alias("key"), "fp")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_tiles(batches):
@@ -183,18 +186,22 @@ def close_links(fps: DataFrame, radius: int = 2, blocks: int = 4, size: int = 10
     return by_tile(tiled(keyed, "fp", size)).mapInArrow(links, "a long, b long")
 
 
-def grouped(rows: DataFrame, order: Column, radius: int = 2) -> DataFrame:
+def grouped(rows: DataFrame, order: Column, radius: int = 2, key: str = "fp",
+            links: DataFrame = None) -> DataFrame:
     """`fp, first`: the smallest `order` among all rows reachable from a fingerprint.
 
-    `rows` is a written table with `fp`; equal fingerprints are one class from the start.
+    `rows` is a written table with `fp`; equal fingerprints are one class from the start. With
+    `links` between values of another column `key`, that column takes the place of `fp`.
     """
-    classes = written(rows.groupBy("fp").agg(F.min(order).alias("first")), "classes")
-    linked = written(components(close_links(classes.select("fp"), radius)), "components")
-    members = classes.join(linked, classes.fp == linked.node).select("fp", "component", "first")
+    classes = written(rows.groupBy(key).agg(F.min(order).alias("first")), "classes")
+    if links is None:
+        links = close_links(classes.select("fp"), radius)
+    linked = written(components(links), "components")
+    members = classes.join(linked, classes[key] == linked.node).select(key, "component", "first")
     lowest = written(members.groupBy("component").agg(F.min("first").alias("lowest")), "lowest")
-    reached = written(members.join(lowest, "component").select("fp", "lowest"), "reached")
-    return written(classes.join(reached, "fp", "left").select(
-        "fp", F.coalesce("lowest", "first").alias("first")), "grouped")
+    reached = written(members.join(lowest, "component").select(key, "lowest"), "reached")
+    return written(classes.join(reached, key, "left").select(
+        key, F.coalesce("lowest", "first").alias("first")), "grouped")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefuse.llm import lines, mixing, packing, quality, simhash
+from casefuse.llm import jaccard, lines, mixing, packing, quality
 from casefuse.llm.common import importable, read_table, written
 
 
@@ -23,9 +23,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id stays."""
+    """Of texts with a Jaccard similarity of 0.8 or more (five words) that of smallest id stays."""
     importable(spark)
-    return simhash.drop_near_duplicates(docs)
+    return jaccard.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
