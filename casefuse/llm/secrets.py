@@ -32,7 +32,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "random"]
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _DIGITS, _CAPITALS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SMALL = _CAPITALS.lower()
 # Alphabets by name, and how far ordinary text is from using them evenly: k * sum(p^2) - 1.

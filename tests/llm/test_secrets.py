@@ -85,6 +85,21 @@ def test_random_strings_are_found_and_ordinary_ones_left(spark):
     assert not [texts[i] for i in hit if i >= 300]
 
 
+def test_random_values_behind_signs_and_quotes(spark):
+    rng = random.Random(7)
+    alnum = string.ascii_letters + string.digits
+    forms = ["aws_secret_access_key={}", "DB_PWD={} x", "https://x.y/?sig={}&z", "key: {}", "k:{}",
+             "a = '{}'", 'a="{}"', "x=={}"]
+    values = ["".join(rng.choices(alnum, k=40)) for _ in range(160)]
+    texts = [forms[i % 8].format(v) for i, v in enumerate(values)]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    found = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    for form in range(8):
+        hit = [f"random:{texts[i].index(v)}:{texts[i].index(v) + 40}" in found[i]
+               for i, v in enumerate(values) if i % 8 == form]
+        assert sum(hit) >= 18, forms[form]
+
+
 def test_noncentral_distribution():
     """Against a simulated sum of squared normals."""
     rng = random.Random(1)
