@@ -1,6 +1,7 @@
 """Secrets: fixed patterns, and strings that a battery of randomness tests finds random.
 
-A candidate is a long run of encoding characters. Its encoding (hex, base 32, letters and digits,
+A candidate is a long run of encoding characters, or a part of one between its signs (a path and one
+of its segments can both be found, so spans may overlap). Its encoding (hex, base 32, letters and digits,
 base 64) is inferred from the characters used. Three tests, each against the hypothesis that the
 string is ordinary (names, paths, counters) and not random:
 - chi-squared: ordinary strings prefer some characters. The statistic is compared with its
@@ -123,16 +124,33 @@ def base_spans(text: str) -> list:
     return sorted(found)
 
 
+def tested_parts(run: str, start: int = 0):
+    """(start, end, what `infer` knows) of what is tested of a run.
+
+    The run itself, if an alphabet holds it. A run with '/', or one that no alphabet holds, is cut
+    at the first of / - _ + that it has, and parts of 16 or more characters are treated alike.
+    """
+    known = infer(run)
+    if known:
+        yield start, start + len(run), known
+    sign = next((c for c in ("/" if known else "/-_+") if c in run), None)
+    if sign:
+        for part in run.split(sign):
+            if len(part.rstrip("=")) >= 16:
+                yield from tested_parts(part, start)
+            start += len(part) + 1
+
+
 def scan(text: str) -> tuple:
     """Base spans, and candidates (start, end, stratum, step) that no base span touches."""
     base = base_spans(text)
     candidates = []
     for m in CANDIDATE.finditer(text):
-        known = infer(m.group())
-        if known and not any(s < m.end() and m.start() < e for s, _, e in base):
-            band = int(2 * math.log2(m.end() - m.start()))
-            p = battery(m.group(), known[1], known[2])
-            candidates.append((m.start(), m.end(), f"{known[0]}/{band}", step_of(p)))
+        for start, end, known in tested_parts(m.group(), m.start()):
+            if not any(s < end and start < e for s, _, e in base):
+                p = battery(text[start:end], known[1], known[2])
+                band = int(2 * math.log2(end - start))
+                candidates.append((start, end, f"{known[0]}/{band}", step_of(p)))
     return base, candidates
 
 

@@ -100,6 +100,21 @@ def test_random_values_behind_signs_and_quotes(spark):
         assert sum(hit) >= 18, forms[form]
 
 
+def test_random_segments_of_paths(spark):
+    rng = random.Random(8)
+    alnum = string.ascii_letters + string.digits
+    forms = ["https://hooks.example.com/my-app/{}", "https://example.com/library/articles/{}/view",
+             "get a_b/c-d/{}/some-name now", "one-two+three_four-{}"]
+    values = ["".join(rng.choices(alnum, k=36)) for _ in range(160)]
+    texts = [forms[i % 4].format(v) for i, v in enumerate(values)]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    found = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    for form in range(4):
+        hit = [f"random:{texts[i].index(v)}:{texts[i].index(v) + 36}" in found[i]
+               for i, v in enumerate(values) if i % 4 == form]
+        assert sum(hit) >= 36, forms[form]
+
+
 def test_noncentral_distribution():
     """Against a simulated sum of squared normals."""
     rng = random.Random(1)
