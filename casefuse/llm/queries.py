@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casefuse.llm import (
-    embeddings, html_text, lines, mixing, packing, quality, secrets, shards, simhash, warc)
+    chat, embeddings, html_text, lines, merkle, mixing, packing, quality, secrets, shards, simhash,
+    spelling, warc)
 from casefuse.llm.common import importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +86,24 @@ def op10_quality_decision_list(spark, sf_dir):
     """Statistics and verdict of all documents."""
     return quality.judge(read_table(spark, sf_dir, "documents"),
                          read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_chat_reply_trees(spark, sf_dir):
+    """All conversations formatted, with what is read back from the formatted texts."""
+    return chat.format_report(read_table(spark, sf_dir, "conversations"))
+
+
+SQL["op11_chat_reply_trees"] = chat.report_sql()
+
+
+@query
+def op12_merkle_superblocks(spark, sf_dir):
+    """Leaf, proof and folded root of all documents, half of them changed."""
+    return merkle.manifest_report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling_q_chunks(spark, sf_dir):
+    """Spelling variants among the words of all documents, with letters lost in places."""
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"), one_in=199)
