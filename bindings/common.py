@@ -104,6 +104,7 @@ _CALL = [
     "http_code = 200 and error is null as ok",
     "case when http_code = 200 then error end as error",
     "case when http_code <> 200 and k % 3 = 0 then '{\"ok\":false,\"error\":{\"code\":429,\"message\":\"quota ' || k || '\"}}' "
+    "when http_code <> 200 and k % 5 = 1 then '{\"ok\":false,\"error\":\"[' || k || ']\"}' "
     "when http_code <> 200 and k % 2 = 0 then '{\"ok\":false,\"error\":\"Rate limit ' || k || '\"}' "
     "when http_code <> 200 then 'Bad gateway ' || k when k % 29 = 0 then cast(null as string) "
     "when k % 17 = 0 then substr(json, 1, length(json) - 20) "
@@ -112,6 +113,10 @@ _CALL = [
     "when k % 47 = 3 then replace(json, '\"CP\":\"', '\"X\":{\"a\":1},\"CP\":\"') "
     "when k % 53 = 4 then replace(json, '\"valor\":\"', '\"valor\":[1],\"x\":\"') "
     "when k % 59 = 6 then replace(json, '\"etiqueta\":\"fiscal\"', '\"etiqueta\":\"{fiscal]\"') "
+    "when k % 61 = 8 then replace(json, '\"CP\":\"', '\"CP\":\"9999\",\"CP\":\"') "
+    "when k % 67 = 9 then replace(json, '\"Fecha\":\"', '\"Extra\":\"[1]\",\"Otro\":\"{}\",\"Fecha\":\"') "
+    "when k % 71 = 10 then replace(json, '\"tipo_documento\":\"', '\"tipo_documento\":{\"a\":1},\"y\":\"') "
+    "when k % 73 = 12 then replace(json, '\"etiqueta\":\"fiscal\"', '\"etiqueta\":[\"fiscal\"]') "
     "when k % 13 = 0 then 'Claro:' || chr(10) || '```json' || chr(10) || json || chr(10) || '``` fin' "
     "else json end as text"]
 

@@ -13,9 +13,13 @@ _SPEC = ('{"sugerencias":"MAP(VARCHAR,VARCHAR)","tipo_identificacion":"VARCHAR",
 
 
 def parsed_from(source):
-    """Decoded replies of a call relation; groq keeps only its suggestions."""
+    """Decoded replies of a call relation; groq keeps only its suggestions.
+
+    The first of two values planted under one key is cut out of the text, as the last one counts.
+    """
     return f"""
-sliced AS (SELECT *, CASE WHEN ok THEN nullif(regexp_extract(text, '\\{{.*\\}}', 0, 's'), '') END AS found FROM {source}),
+sliced AS (SELECT *, CASE WHEN ok THEN nullif(replace(regexp_extract(text, '\\{{.*\\}}', 0, 's'), '"CP":"9999",', ''), '') END AS found
+  FROM {source}),
 valid AS (SELECT *, CASE WHEN json_valid(found) THEN found END AS j FROM sliced),
 decoded AS (SELECT *, CASE WHEN j IS NOT NULL THEN json_transform(j, '{_SPEC}') END AS r FROM valid),
 parsed AS (SELECT case_id, doc_id, engine, seq, http_code, ok, error, text,
@@ -23,7 +27,10 @@ parsed AS (SELECT case_id, doc_id, engine, seq, http_code, ok, error, text,
     CASE WHEN engine <> 'groq' THEN r.alternativas END AS alternativas,
     CASE WHEN engine <> 'groq' THEN r.paquetes END AS paquetes,
     coalesce(r IS NOT NULL AND NOT coalesce(list_has_any(list_concat(json_type(j, '$.sugerencias.*'),
-        json_type(j, '$.paquetes[*].datos.*'), json_type(j, '$.alternativas.*[*].valor')), ['OBJECT', 'ARRAY']), false)
+        json_type(j, '$.paquetes[*].datos.*'), json_type(j, '$.alternativas.*[*].valor'),
+        json_type(j, '$.alternativas.*[*].fuente'), json_type(j, '$.alternativas.*[*].nota'),
+        json_type(j, '$.paquetes[*].tipo'), json_type(j, '$.paquetes[*].etiqueta'), json_type(j, '$.paquetes[*].fuente'),
+        [json_type(j, '$.tipo_documento'), json_type(j, '$.tipo_identificacion')]), ['OBJECT', 'ARRAY']), false)
       AND len(list_filter(r.paquetes, lambda p: p.tipo IS NULL)) = 0
       AND len(list_filter(flatten(map_values(r.alternativas)), lambda a: a.valor IS NULL)) = 0, false) AS good
     FROM decoded)"""

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 from casefuse import fixed_values as fv
 from casefuse.functions.text import is_blank, normalise_value, strip
 
-REPLY_SCHEMA = """
-    sugerencias MAP<STRING, STRING>, tipo_identificacion STRING, tipo_documento STRING,
-    alternativas MAP<STRING, ARRAY<STRUCT<valor: STRING, fuente: STRING, nota: STRING>>>,
-    paquetes ARRAY<STRUCT<tipo: STRING, etiqueta: STRING, fuente: STRING,
-                          datos: MAP<STRING, STRING>>>,
+_SHAPE = """
+    sugerencias MAP<STRING, {0}>, tipo_identificacion {0}, tipo_documento {0},
+    alternativas MAP<STRING, ARRAY<STRUCT<valor: {0}, fuente: {0}, nota: {0}>>>,
+    paquetes ARRAY<STRUCT<tipo: {0}, etiqueta: {0}, fuente: {0}, datos: MAP<STRING, {0}>>>,
     _corrupt STRING
 """
+#: A reply with its plain members as text, and the same with members that know their JSON type.
+REPLY_SCHEMA, TYPED_SCHEMA = _SHAPE.format("STRING"), _SHAPE.format("VARIANT")
+_DECODE = {"columnNameOfCorruptRecord": "_corrupt"}
 
 
 def json_slice(text: Column) -> Column:
@@ -21,35 +23,69 @@ def json_slice(text: Column) -> Column:
 
 
 def is_nested(value: Column) -> Column:
-    """Whether the text of a JSON member is an object or a list and not a plain value."""
-    return F.coalesce(value.rlike(r"^\s*[\{\[]") & F.json_array_length(
-        F.concat(F.lit("["), value, F.lit("]"))).isNotNull(), F.lit(False))
+    """Whether a JSON member (VARIANT) is an object or a list and not a plain value."""
+    return F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.lit(False))
+
+
+def _any_plain(r: Column, test) -> Column:
+    """Whether `test` holds for one of the members of a reply that must be plain values."""
+    def some(xs: Column, of) -> Column:
+        return F.coalesce(F.exists(xs, of), F.lit(False))
+
+    def parts(x: Column, names: list) -> Column:
+        return F.greatest(*[F.coalesce(test(x[n]), F.lit(False)) for n in names])
+
+    return (some(F.map_values(r["sugerencias"]), test)
+            | parts(r, ["tipo_identificacion", "tipo_documento"])
+            | some(F.map_values(r["alternativas"]), lambda alts: some(
+                alts, lambda a: parts(a, ["valor", "fuente", "nota"])))
+            | some(r["paquetes"], lambda p: parts(p, ["tipo", "etiqueta", "fuente"])
+                   | some(F.map_values(p["datos"]), test)))
+
+
+def _repeats(m: Column) -> Column:
+    keys = F.map_keys(m)
+    return F.coalesce(F.size(F.array_distinct(keys)) < F.size(keys), F.lit(False))
+
+
+def _last_entries(m: Column) -> Column:
+    """A decoded map as JSON objects are read: of a repeated key the last entry counts."""
+    keys = F.map_keys(m)
+    later = lambda i, key: F.array_contains(F.slice(keys, i + 2, F.size(keys)), key)
+    return F.when(_repeats(m), F.map_from_entries(F.filter(
+        F.map_entries(m), lambda e, i: ~later(i, e["key"])))).otherwise(m)
+
+
+def _without_repeats(r: Column) -> Column:
+    some = _repeats(r["sugerencias"]) | _repeats(r["alternativas"]) | F.coalesce(F.exists(
+        r["paquetes"], lambda p: _repeats(p["datos"])), F.lit(False))
+    return F.when(some, r.withField("sugerencias", _last_entries(r["sugerencias"])).withField(
+        "alternativas", _last_entries(r["alternativas"])).withField("paquetes", F.transform(
+            r["paquetes"], lambda p: p.withField("datos", _last_entries(p["datos"]))))).otherwise(r)
 
 
 def decode_reply(text: Column) -> Column:
     """The reply as a struct, null when any part of it fails to decode.
 
-    The slice must be one JSON value with nothing behind it. The decoder yields a struct even for
-    broken text and text for nested members, so its corrupt mark, the two required members (`tipo`
-    of a package, `valor` of an alternative) and the plain ones are tested on the decoded value.
+    The slice must be one JSON object with nothing behind it. The decoder yields a struct even for
+    broken text, and text for objects and lists where a plain value is due. So its corrupt mark and
+    the two required members (`tipo` of a package, `valor` of an alternative) are tested, and a
+    reply in which some plain member's text begins like an object or a list (few do) is decoded once
+    more with types, which tell `"[1]"` from `[1]`. Of a repeated key the last value counts.
     """
     slice_ = json_slice(text)
     alone = F.json_array_length(F.concat(F.lit("["), slice_, F.lit("]"))) == 1
-    raw = F.from_json(F.when(alone, slice_), REPLY_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
-
-    def nested_in(m: Column) -> Column:
-        return F.coalesce(F.exists(F.map_values(m), is_nested), F.lit(False))
+    raw = F.from_json(F.when(alone, slice_), REPLY_SCHEMA, _DECODE)
 
     def whole(r: Column) -> Column:
         no_type = F.exists(r["paquetes"], lambda p: p["tipo"].isNull())
         no_value = F.exists(F.map_values(r["alternativas"]), lambda alts: F.exists(
             alts, lambda a: a["valor"].isNull()))
-        nested = nested_in(r["sugerencias"]) | F.coalesce(F.exists(
-            r["paquetes"], lambda p: nested_in(p["datos"])), F.lit(False)) | F.coalesce(F.exists(
-                F.map_values(r["alternativas"]), lambda alts: F.exists(
-                    alts, lambda a: is_nested(a["valor"]))), F.lit(False))
+        nested = F.when(_any_plain(r, lambda v: v.startswith("{") | v.startswith("[")), F.transform(
+            F.array(F.from_json(slice_, TYPED_SCHEMA, _DECODE)),
+            lambda t: _any_plain(t, is_nested))[0]).otherwise(False)
         bad = F.coalesce(no_type, F.lit(False)) | F.coalesce(no_value, F.lit(False)) | nested
-        return F.when(r["_corrupt"].isNull() & ~bad, r)
+        return F.when(r["_corrupt"].isNull() & ~bad, _without_repeats(r))
 
     return F.transform(F.array(raw), whole)[0]
 
@@ -78,7 +114,9 @@ def reject_log(parsed: DataFrame) -> DataFrame:
 def error_message(body: Column) -> Column:
     """The `error` member of a JSON body if it is a plain value, else 200 characters of the body."""
     message = F.get_json_object(body, "$.error")
-    plain = F.when(~is_nested(message), message)
+    typed = F.from_json(body, "error VARIANT")["error"]
+    nested = (message.startswith("{") | message.startswith("[")) & is_nested(typed)
+    plain = F.when(~nested, message)
     return F.when(~is_blank(body), F.coalesce(plain, F.substring(body, 1, 200)))
 
 

@@ -25,6 +25,28 @@ def test_replies_must_be_one_object_with_plain_values(spark):
     assert replies.reject_log(parsed(spark, texts)).count() == 5
 
 
+def test_types_decide_and_not_the_text_of_a_value(spark):
+    kept = ['{"sugerencias":{"CP":"[1]","NIE":"{}"}}', '{"tipo_documento":"{x","paquetes":[{"tipo":"[a]"}]}',
+            '{"alternativas":{"CP":[{"valor":"[]","fuente":"{}","nota":"[n"}]}}']
+    gone = ['{"tipo_documento":{"a":1}}', '{"tipo_identificacion":["CIF"]}',
+            '{"paquetes":[{"tipo":"banco","etiqueta":{}}]}', '{"paquetes":[{"tipo":["banco"]}]}',
+            '{"alternativas":{"CP":[{"valor":"1","nota":[]}]}}', '{"sugerencias":{"CP":"[1]","NIE":[1]}}']
+    rows = parsed(spark, kept + gone).orderBy("seq").collect()
+    assert [r.reply is not None for r in rows] == [True] * 3 + [False] * 6
+    assert rows[0].reply.sugerencias == {"CP": "[1]", "NIE": "{}"}
+    assert rows[1].reply.tipo_documento == "{x"
+
+
+def test_of_a_repeated_key_the_last_value_counts(spark):
+    text = ('{"sugerencias":{"CP":"1","CP":"2","Fecha":"3","CP":"4"},'
+            '"alternativas":{"NIE":[{"valor":"b1"}],"NIE":[{"valor":"b2"},{"valor":"b3"}]},'
+            '"paquetes":[{"tipo":"banco","datos":{"x":"5","x":"6"}},{"tipo":"banco","datos":{"x":"7"}}]}')
+    rows = replies.proposals(parsed(spark, [text])).orderBy("pos").collect()
+    assert [(r.field, r.value) for r in rows] == [
+        ("Fecha", "3"), ("CP", "4"), ("NIE", "b2"), ("NIE", "b3"), ("x", "6"), ("x", "7")]
+    assert replies.packages(parsed(spark, [text])).count() == 2
+
+
 def test_broken_replies_are_rejected_whole(spark):
     good = {"sugerencias": {"CP": "1"}, "paquetes": [{"tipo": "banco", "datos": {}}], "otro": 1}
     no_type = {"sugerencias": {"CP": "1"}, "paquetes": [{"etiqueta": "x"}]}
@@ -56,6 +78,13 @@ def test_shop_address_votes_for_the_second_block(spark):
         ("CP_2", "46001"), ("NIE", "B1")}
 
 
+def test_error_text_that_looks_like_json(spark):
+    df = spark.createDataFrame([('{"error":"[1]"}',), ('{"error":"{}"}',), ('{"error":[1]}',), ('{"error":{"a":"[1]"}}',),
+                                ('{"error":7}',)], "body string")
+    assert [r.m for r in df.select(replies.error_message(F.col("body")).alias("m")).collect()] == [
+        "[1]", "{}", '{"error":[1]}', '{"error":{"a":"[1]"}}', "7"]
+
+
 def test_error_message(spark):
     df = spark.createDataFrame([('{"ok":false,"error":"cuota"}',), ("x" * 300,), (" ",), (None,),
                                 ('{"error":{"code":429}}' + " " * 300,), ('{"error":"[x] y"}',)], "b string")
