@@ -38,8 +38,7 @@ def edit_replay_stream(spark, sf):
     rows = _stream(spark, sf).selectExpr(*PLANTED["edits"][1])
     linked = F.when(F.col("linked_field").isNotNull(), F.create_map("linked_field", F.concat(F.lit("l"), "value")))
     live.start_edit_replay(rows.withColumn("linked", linked), f"{root}/state", f"{root}/checkpoint").awaitTermination()
-    return live.current_fields(live.latest_state(spark, f"{root}/state/base", live.BASE_FIELDS),
-                               live.latest_state(spark, f"{root}/state/open", live.OPEN_EDITS))
+    return live.current_fields(spark, f"{root}/state")
 
 
 @query("live_votes_stream", f"""WITH {cte('votes')}
@@ -49,4 +48,4 @@ def live_votes_stream(spark, sf):
     root = shared_dir(spark, "live-votes")
     live.start_live_votes(_stream(spark, sf).selectExpr(*PLANTED["votes"][1]), f"{root}/state",
                           f"{root}/checkpoint").awaitTermination()
-    return live.latest_state(spark, f"{root}/state", live.TALLIES)
+    return live.current_votes(spark, f"{root}/state")

@@ -39,14 +39,13 @@ def otsu_threshold(values: DataFrame, low: int = 60, high: int = 230,
         F.least(F.greatest(F.coalesce(best, F.lit(default)), F.lit(low)), F.lit(high)).alias("threshold"))
 
 
-def islands(series: DataFrame, limit: Column, width: int = ordered.WIDTH, keep=()) -> DataFrame:
+def islands(series: DataFrame, limit: Column, rows: int = ordered.ROWS, keep=()) -> DataFrame:
     """Maximal runs of consecutive `pos` whose `metric` reaches the limit, per series.
 
     `keep` names columns that are the same on all rows of a series and stay on its runs.
     """
     hits = series.where(F.col("metric") >= limit)
-    numbered = ordered.row_number(hits, ["series_id"], ["pos"],
-                                  [ordered.bucket_of(F.col("pos"), width)], "rn")
+    numbered = ordered.row_number(hits, ["series_id"], ["pos"], F.col("pos"), "rn", rows=rows)
     return numbered.groupBy("series_id", (F.col("pos") - F.col("rn")).alias("island")).agg(
         F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"),
         F.max("metric").alias("peak"), *[F.max(c).alias(c) for c in keep]).drop("island")
@@ -54,15 +53,15 @@ def islands(series: DataFrame, limit: Column, width: int = ordered.WIDTH, keep=(
 
 def frame_lines(series: DataFrame, dims: DataFrame, coverage: float = 0.75, thickness: int = 4,
                 edge: float = 0.18, full_span: float = 0.90,
-                width: int = ordered.WIDTH) -> DataFrame:
+                rows: int = ordered.ROWS) -> DataFrame:
     """Runs that are ruled lines: thin, and near an edge or almost across.
 
     `series(series_id, pos, metric)`, `dims(series_id, span, total)`: `span` is the largest
     possible metric, `total` the number of positions.
     """
-    rows = ordered.lookup(series, dims, ["series_id"], F.col("pos"))
+    sized = ordered.lookup(series, dims, ["series_id"], F.col("pos"))
     limit = F.floor(F.col("span") * F.lit(coverage))
-    runs = islands(rows, limit, width, ["span", "total"])
+    runs = islands(sized, limit, rows, ["span", "total"])
     thin = F.col("end_pos") - F.col("start_pos") + 1 <= thickness
     near_edge = (F.col("start_pos") < F.col("total") * edge) | (
         F.col("end_pos") > F.col("total") * (1 - edge))

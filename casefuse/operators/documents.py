@@ -73,26 +73,29 @@ def unreadable_cases(docs: DataFrame, pages: DataFrame) -> DataFrame:
         "case_id", F.lit(fv.NO_DOCUMENTS_ERROR).alias("error"))
 
 
-def document_ordinals(docs: DataFrame, order: str, bucket: Column = None) -> DataFrame:
+def document_ordinals(docs: DataFrame, order: str, seq: Column = None,
+                      rows: int = ordered.ROWS) -> DataFrame:
     """`case_id, doc_id, ordinal`: the place of each document in its case, from 1.
 
-    `docs(case_id, doc_id, <order>)` may repeat a document; its first appearance counts.
+    `docs(case_id, doc_id, <order>)` may repeat a document; its first appearance counts. `seq`
+    is a whole number that agrees with the order, by default the order itself.
     """
     first = docs.groupBy("case_id", "doc_id").agg(F.min(order).alias("first"))
-    buckets = [ordered.bucket_of(F.col("first")) if bucket is None else bucket]
-    return ordered.row_number(first, ["case_id"], ["first", "doc_id"], buckets, "ordinal").select(
+    seq = F.col("first") if seq is None else seq
+    return ordered.row_number(first, ["case_id"], ["first", "doc_id"], seq, "ordinal",
+                              rows=rows).select(
         "case_id", "doc_id", "ordinal")
 
 
 def page_batches(pages: DataFrame, name: Column, max_pages: int = fv.MAX_PAGES_PER_CALL,
-                 width: int = ordered.WIDTH, ordinal: Column = None) -> DataFrame:
+                 rows: int = ordered.ROWS, ordinal: Column = None) -> DataFrame:
     """Batch number (from 1) and call label of every page; a label counts parts only if several.
 
     A document without a name is called by its `ordinal` in the case, where that is given.
     """
     numbered = ordered.row_number(
-        pages, ["case_id", "doc_id"], ["page_no"], [ordered.bucket_of(F.col("page_no"), width)],
-        "page_ord", "n_pages")
+        pages, ["case_id", "doc_id"], ["page_no"], F.col("page_no"), "page_ord", "n_pages",
+        rows=rows)
     size = F.lit(max_pages)
     numbered = numbered.withColumns({
         "batch_no": (F.floor((F.col("page_ord") - 1) / size) + 1),

@@ -5,7 +5,7 @@ newer ones lie on it. Let the level of an edit be the stack height right after i
 unbounded. At one level, an edit is followed either by the undo that pops it, or by an edit that
 reaches `depth` levels higher (from then on it can no longer be undone), or by nothing (it is
 still open). So the running height and one look at the next row per (case, level) settle every
-edit, and both are computed bucket by bucket.
+edit, and both are computed range by range, along the same cuts of a case.
 """
 
 from pyspark.sql import DataFrame
@@ -20,21 +20,22 @@ EDIT_COLUMNS = ["case_id", "seq", "action", "field", "value", "linked", "origin"
 
 
 def settle_edits(edits: DataFrame, depth: int = fv.UNDO_DEPTH,
-                 width: int = ordered.WIDTH) -> DataFrame:
+                 rows: int = ordered.ROWS) -> DataFrame:
     """Add `fate` to every edit: `undone`, `open` (may still be undone) or `final`."""
     is_undo = F.col("action") == UNDO
-    rows = ordered.running_height(edits, ["case_id"], "seq", F.when(is_undo, -1).otherwise(1),
-                                  "height", width)
+    cut = (["case_id"], ordered.cut_points(edits, ["case_id"], F.col("seq"), rows))
+    heights = ordered.running_height(edits, ["case_id"], "seq", F.when(is_undo, -1).otherwise(1),
+                                     "height", cut=cut)
     height = F.col("height")
     marks = F.when(is_undo, F.array(F.struct((height + 1).alias("level"), F.lit("undo").alias("kind")))) \
         .when(height > depth, F.array(
             F.struct(height.alias("level"), F.lit("edit").alias("kind")),
             F.struct((height - depth).alias("level"), F.lit("buried").alias("kind")))) \
         .otherwise(F.array(F.struct(height.alias("level"), F.lit("edit").alias("kind"))))
-    marked = rows.withColumn("m", F.explode(marks)).select(
+    marked = heights.withColumn("m", F.explode(marks)).select(
         *edits.columns, F.col("m.level").alias("level"), F.col("m.kind").alias("kind"))
     marked = ordered.neighbour(marked, ["case_id", "level"], "seq", F.col("kind"), "next",
-                               following=True, width=width)
+                               following=True, cut=cut)
     fate = (F.when(F.col("next").isNull(), "open").when(F.col("next.v") == "undo", "undone")
             .otherwise("final"))
     return marked.where(F.col("kind") == "edit").withColumn("fate", fate).select(
@@ -78,13 +79,13 @@ def as_changes(fields: DataFrame) -> DataFrame:
 
 
 def replay_edits(edits: DataFrame, initial: DataFrame = None, depth: int = fv.UNDO_DEPTH,
-                 width: int = ordered.WIDTH) -> DataFrame:
+                 rows: int = ordered.ROWS) -> DataFrame:
     """Field values, states and origins after the whole log.
 
     `edits(case_id, seq, action, field, value, linked, origin)` with unique non-negative `seq`
     per case; `initial(case_id, field, value, state, origin)` is what was there before.
     """
-    settled = settle_edits(edits, depth, width).where(F.col("fate") != "undone")
+    settled = settle_edits(edits, depth, rows).where(F.col("fate") != "undone")
     changes = field_changes(settled)
     if initial is not None:
         changes = changes.unionByName(as_changes(initial))

@@ -1,26 +1,76 @@
 """Ordered per-key work that never puts a whole key into one task.
 
-A plain window keeps all rows of a key in one task. Here each key is cut into buckets along its
-order; a window runs inside each (key, bucket), one summary row per bucket is made with a
-map-side combined aggregate, a second window runs over the summaries, and each row adds its
-bucket's carry. With `bucket = seq div width` and unique `seq`, a task sees at most `width` rows
-of a key, and the summaries of a key are at most its seq range / width.
+A plain window keeps all rows of a key in one task. Here a key of more than `rows` rows is cut into
+ranges along its order, at quantiles of a sketch that is merged from all tasks; so ranges hold about
+`rows` rows each, whether the order values are dense or sparse. A window runs inside each (key,
+range), one summary row per range is made with a map-side combined aggregate, a second window runs
+over the summaries, and each row adds its range's carry. Results do not depend on the cuts.
 
-The key and bucket travel as one struct column, so that the window and the carry join share one
+The key and range travel as one struct column, so that the window and the carry join share one
 shuffle and null keys still meet.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 1 << 18
+from casefuse.sources.tables import written
+
+#: Rows of a key from which on it is cut, and about as many in a range.
+ROWS = 1 << 18
+#: Ranges of a key at most, the grid of quantiles they are taken from, and the sketch's accuracy
+#: (its error in rank is below 0.1 % of the key's rows).
+RANGES, GRID, ACCURACY = 1 << 10, 1 << 12, 1 << 13
 #: Parts that a key's rows are dealt into by hash where their order does not matter.
 PARTS = 32
 
 
-def bucket_of(seq: Column, width: int = WIDTH) -> Column:
-    """Order-preserving bucket of a whole-number order key."""
-    return F.floor(seq / F.lit(width))
+def cut_points(df: DataFrame, keys: list, seq: Column, rows: int = ROWS) -> DataFrame:
+    """`<keys>, cuts`: the order values at which hot keys are cut; None where no key is hot.
+
+    `seq` is a whole number; a null lies before all others. Rows are counted first, and only those
+    of hot keys are sketched. There is at most one hot key for every `rows` rows of the input; the
+    table is written, so that all its readers see the same cuts.
+    """
+    sized = df.select(*keys, seq.cast("long").alias("_seq"))
+    hot = written(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(
+        F.col("_n") > rows), "hot-keys")
+    if hot.isEmpty():
+        return None
+    sketch = F.kll_sketch_agg_bigint("_seq", ACCURACY).alias("sketch")
+    sketched = _met(sized, hot, keys, "inner").groupBy(*keys).agg(sketch, F.max("_n").alias("_n"))
+    grid = F.kll_sketch_get_quantile_bigint(
+        "sketch", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+    parts = F.least(F.lit(RANGES), F.ceil(F.col("_n") / F.lit(rows))).cast("int")
+    inner = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: F.get(
+        "grid", F.floor(i * GRID / F.col("parts")).cast("int")))
+    return written(sketched.select(*keys, grid.alias("grid"), parts.alias("parts")).select(
+        *keys, F.array_distinct(inner).alias("cuts")), "cuts")
+
+
+def _met(df: DataFrame, table: DataFrame, keys: list, how: str) -> DataFrame:
+    """Join with a written table of one row per key; null keys meet, the key stands once."""
+    other = table.select(*[F.col(k).alias(f"_{k}") for k in keys],
+                         *[c for c in table.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(other, on, how).drop(*[f"_{k}" for k in keys])
+
+
+def _ranged(df: DataFrame, keys: list, seq: Column, cuts: DataFrame) -> DataFrame:
+    """Add `_range`: how many cuts of the row's key are at or before it (0 for keys without cuts).
+
+    The cuts are searched by halving. Their table is small and plain: it is broadcast, or the
+    runtime splits the rows of a hot key that meet it.
+    """
+    if cuts is None:
+        return df.withColumn("_range", F.lit(0))
+    at = seq.cast("long")
+    steps = F.array(*[F.lit(1 << i) for i in range(RANGES.bit_length() - 1, -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(
+        F.get("cuts", n + step - 1) <= at, step).otherwise(0))
+    return _met(df, cuts, keys, "left").withColumn(
+        "_range", F.when(F.col("cuts").isNull(), 0).otherwise(found)).drop("cuts")
 
 
 def _tagged(df, keys, buckets):
@@ -34,14 +84,16 @@ def _carry_window(keys, names, descending=False):
     return Window.partitionBy(F.struct(*[F.col(f"_k.{k}") for k in keys])).orderBy(*order)
 
 
-def row_number(df: DataFrame, keys: list, order: list, buckets: list, out: str,
-               total: str = None) -> DataFrame:
+def row_number(df: DataFrame, keys: list, order: list, seq: Column, out: str,
+               total: str = None, lead: Column = None, rows: int = ROWS) -> DataFrame:
     """Row number per key, and its row count as `total`.
 
-    `buckets` are columns sorted ascending that agree with `order`: sorting by buckets first
-    never changes the sequence.
+    `seq` is a whole number that agrees with `order`: sorting by it first never changes the
+    sequence. With `lead`, that comes before `seq` and cuts a key on its own.
     """
-    df, names = _tagged(df, keys, buckets)
+    cuts = cut_points(df, keys, seq, rows)
+    df = _ranged(df, keys, seq, cuts)
+    df, names = _tagged(df, keys, [F.col("_range")] if lead is None else [lead, F.col("_range")])
     sizes = df.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     w = _carry_window(keys, names)
     before = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -52,7 +104,7 @@ def row_number(df: DataFrame, keys: list, order: list, buckets: list, out: str,
     numbered = numbered.withColumn(out, F.col("_rn") + F.col("_before"))
     if total:
         numbered = numbered.withColumn(total, F.col("_total"))
-    return numbered.drop("_k", "_rn", "_before", "_total", *names)
+    return numbered.drop("_k", "_rn", "_before", "_total", "_range", *names)
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: list, seq: Column, parts: int = PARTS,
@@ -77,10 +129,14 @@ def lookup(df: DataFrame, table: DataFrame, keys: list, seq: Column, parts: int
 
 
 def neighbour(df: DataFrame, keys: list, seq: str, value: Column, out: str,
-              following: bool = False, width: int = WIDTH) -> DataFrame:
-    """STRUCT<v> with the value of the previous (or following) row of the key, null at the edge."""
-    df, names = _tagged(df.withColumn("_v", F.struct(value.alias("v"))), keys,
-                        [bucket_of(F.col(seq), width)])
+              following: bool = False, rows: int = ROWS, cut: tuple = None) -> DataFrame:
+    """STRUCT<v> with the value of the previous (or following) row of the key, null at the edge.
+
+    `cut` gives keys and their cut points where rows of a coarser key are known to be cut well.
+    """
+    cut = cut or (keys, cut_points(df, keys, F.col(seq), rows))
+    df = _ranged(df.withColumn("_v", F.struct(value.alias("v"))), cut[0], F.col(seq), cut[1])
+    df, names = _tagged(df, keys, [F.col("_range")])
     edge = F.min_by("_v", seq) if following else F.max_by("_v", seq)
     carry = df.groupBy("_k").agg(edge.alias("_edge")).select(
         "_k", F.lag("_edge").over(_carry_window(keys, names, following)).alias("_carry"))
@@ -88,14 +144,15 @@ def neighbour(df: DataFrame, keys: list, seq: str, value: Column, out: str,
     near = F.lag("_v").over(Window.partitionBy("_k").orderBy(order))
     joined = df.withColumn("_near", near).join(carry, "_k")
     return joined.withColumn(out, F.coalesce("_near", "_carry")).drop(
-        "_k", "_v", "_near", "_carry", *names)
+        "_k", "_v", "_near", "_carry", "_range", *names)
 
 
 def running_height(df: DataFrame, keys: list, seq: str, step: Column, out: str,
-                   width: int = WIDTH) -> DataFrame:
+                   rows: int = ROWS, cut: tuple = None) -> DataFrame:
     """Running sum of +1/-1 steps that never falls below zero (a stack height), after each row."""
-    df, names = _tagged(df.withColumn("_s", step.cast("long")), keys,
-                        [bucket_of(F.col(seq), width)])
+    cut = cut or (keys, cut_points(df, keys, F.col(seq), rows))
+    df = _ranged(df.withColumn("_s", step.cast("long")), cut[0], F.col(seq), cut[1])
+    df, names = _tagged(df, keys, [F.col("_range")])
     inner = Window.partitionBy("_k").orderBy(seq)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = df.withColumn("_sum", F.sum("_s").over(upto))
@@ -105,7 +162,7 @@ def running_height(df: DataFrame, keys: list, seq: str, step: Column, out: str,
     parts = parts.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     parts = parts.select("_k", "_base", F.least(F.lit(0), F.coalesce(F.min(
         F.col("_base") + F.col("_low")).over(before), F.lit(0))).alias("_floor"))
-    rows = sums.join(parts, "_k")
+    joined = sums.join(parts, "_k")
     low = F.least("_floor", F.col("_base") + F.col("_low"))
-    return rows.withColumn(out, F.col("_base") + F.col("_sum") - low).drop(
-        "_k", "_s", "_sum", "_low", "_base", "_floor", *names)
+    return joined.withColumn(out, F.col("_base") + F.col("_sum") - low).drop(
+        "_k", "_s", "_sum", "_low", "_base", "_floor", "_range", *names)

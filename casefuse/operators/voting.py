@@ -21,11 +21,11 @@ def aggregate_votes(votes: DataFrame) -> DataFrame:
         F.col("first.doc_id").alias("first_doc"))
 
 
-def rank_values(voted: DataFrame, width: int = ordered.WIDTH) -> DataFrame:
+def rank_values(voted: DataFrame, rows: int = ordered.ROWS) -> DataFrame:
     """Rank of each value inside its field: most engines first, then first seen."""
     return ordered.row_number(
-        voted, ["case_id", "field"], ["first_seq", "first_pos"],
-        [-F.col("n_engines"), ordered.bucket_of(F.col("first_seq"), width)], "rank")
+        voted, ["case_id", "field"], ["first_seq", "first_pos"], F.col("first_seq"), "rank",
+        lead=-F.col("n_engines"), rows=rows)
 
 
 def top_values(voted: DataFrame) -> DataFrame:
@@ -61,8 +61,7 @@ def order_engines(enabled: DataFrame, order=fv.CALL_PRIORITY) -> DataFrame:
     return ranked.withColumn("call_order", F.row_number().over(w))
 
 
-def drop_dead_engines(calls: DataFrame, codes=fv.PERMANENT_FAILURE_CODES,
-                      width: int = ordered.WIDTH) -> DataFrame:
+def drop_dead_engines(calls: DataFrame, codes=fv.PERMANENT_FAILURE_CODES) -> DataFrame:
     """Calls up to each engine's first permanent failure, that failure included."""
     died = calls.where(F.col("http_code").isin(*codes)).groupBy("case_id", "engine").agg(
         F.min("seq").alias("died_at"))
@@ -102,13 +101,12 @@ def engines_answered(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("reply").isNotNull()).select("case_id", "engine").distinct()
 
 
-def progress(calls: DataFrame, ceilings: DataFrame, width: int = ordered.WIDTH) -> DataFrame:
+def progress(calls: DataFrame, ceilings: DataFrame, rows: int = ordered.ROWS) -> DataFrame:
     """Step number of each processed call and its case's ceiling of batches x engines.
 
     `calls` holds the calls that ran, `ceilings(case_id, n_batches, n_engines)` the plan.
     """
-    steps = ordered.row_number(calls, ["case_id"], ["seq"],
-                               [ordered.bucket_of(F.col("seq"), width)], "step")
+    steps = ordered.row_number(calls, ["case_id"], ["seq"], F.col("seq"), "step", rows=rows)
     total = ceilings.select("case_id", (F.col("n_batches") * F.col("n_engines")).alias("total_steps"))
     return ordered.lookup(steps, total, ["case_id"], F.col("seq"))
 

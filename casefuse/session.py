@@ -1,5 +1,6 @@
 """Session settings and the shared folder for written intermediates."""
 
+import os
 import tempfile
 import uuid
 
@@ -23,6 +24,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it is not installed or shipped with the job."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
+    return spark
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's `spark.checkpoint.dir` (or the checkpoint folder the context
     was given); a temporary one in local mode."""

@@ -1,149 +1,217 @@
-"""The same operators on streams.
-
-Two feeds need an order inside a case. They run the batch operators on each micro-batch, so that
-a hot case is still cut into buckets, and keep their state in written buckets of cases: epoch n reads
-the state before it and overwrites its own output and state, so a retried epoch gives the same
-result and a micro-batch costs what it touches. Rows whose `seq` is not above the last one seen for
-their case change nothing and go to an output of their own.
+"""The same operators on streams, on Spark's own state store.
+
+Feeds that need an order inside a case keep their state per case with `transformWithStateInPandas`;
+tallies are a streaming aggregation. A feed's output is an append-only log with one folder per epoch,
+which a retried epoch overwrites; where rows replace earlier ones, the newest epoch counts. A task
+holds the rows that one micro-batch has for one case, so the source's trigger options
+(`maxFilesPerTrigger`, `maxBytesPerTrigger`) bound its memory. Rows whose `seq` is not above the last
+one seen for their case change nothing and go to an output of their own.
 """
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from casefuse import fixed_values as fv
-from casefuse.operators import edits as ed
 from casefuse.operators import ordered
-from casefuse.streaming.state import BucketedState
-
-LAST_SEEN = "case_id BIGINT, last_seq BIGINT"
-FEED_STATE = "case_id BIGINT, seq BIGINT, snapshot STRING"
-OPEN_EDITS = ("case_id BIGINT, seq BIGINT, action STRING, field STRING, value STRING, "
-              "linked MAP<STRING,STRING>, origin STRING")
-TALLIES = "case_id BIGINT, field STRING, value STRING, engines ARRAY<STRING>, first_seq BIGINT"
-BASE_FIELDS = ("case_id BIGINT, field STRING, value STRING, state STRING, origin STRING, "
-               "seq BIGINT, origin_seq BIGINT")
-
+from casefuse.session import importable
+from casefuse.sources.tables import latest
 
-def latest_state(spark, path: str, schema: str) -> DataFrame:
-    """State after the last epoch written."""
-    return BucketedState(spark, path, schema).latest()
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+FEED = "case_id long, seq long, snapshot string, why string"
+FIELDS = "case_id long, field string, value string, state string, origin string, present boolean"
+EDIT_FEED = f"{FIELDS}, seq long, why string"
+TALLIES = "case_id long, field string, value string, engines array<string>, first_seq long"
 
 
-def _save(df, path, epoch):
+def _save(df: DataFrame, path: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def _fresh(batch, last_seen, late, epoch):
-    """Rows above the last one of their case; the others are written to `late`, none is lost.
+def newest(spark: SparkSession, path: str, schema: str, keys: list) -> DataFrame:
+    """Rows of the newest epoch per key of a log written epoch by epoch."""
+    log = spark.read.schema(f"{schema}, epoch long").parquet(path)
+    return latest(log, keys, "epoch").drop("epoch")
 
-    `why` tells a row that repeats the last number from one that came after a later number.
-    """
-    known = ordered.lookup(batch, last_seen, ["case_id"], F.col("seq"))
-    new = F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))
-    why = F.when(F.col("seq") == F.col("last_seq"), "repeated").otherwise("late")
-    _save(known.where(~new).withColumn("why", why), late, epoch)
-    return known.where(new).drop("last_seq")
+
+def _start(rows: DataFrame, handler, checkpoint: str, trigger, mode: str) -> StreamingQuery:
+    """Start with the RocksDB store; the session's own choice is restored once the query has it."""
+    conf = importable(rows.sparkSession).conf
+    before = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, ROCKS_DB)
+    try:
+        writer = rows.writeStream.outputMode(mode).foreachBatch(handler)
+        return writer.option("checkpointLocation", checkpoint).trigger(
+            **(trigger or {"availableNow": True})).start()
+    finally:
+        conf.set(_PROVIDER, before) if before else conf.unset(_PROVIDER)
 
 
-def changed_rows(snapshots: DataFrame, width: int = ordered.WIDTH) -> DataFrame:
+def changed_rows(snapshots: DataFrame, rows: int = ordered.ROWS) -> DataFrame:
     """Rows `(case_id, seq, snapshot)` that differ from the row before in their case."""
-    rows = ordered.neighbour(snapshots, ["case_id"], "seq", F.col("snapshot"), "prev", width=width)
+    seen = ordered.neighbour(snapshots, ["case_id"], "seq", F.col("snapshot"), "prev", rows=rows)
     same = F.col("prev").isNotNull() & F.col("prev.v").eqNullSafe(F.col("snapshot"))
-    return rows.where(~same).drop("prev")
+    return seen.where(~same).drop("prev")
 
 
-def _start(stream, handler, checkpoint, trigger):
-    writer = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+def in_order(frames: Iterator[pd.DataFrame], last: int | None) -> tuple[list, list]:
+    """(rows above all before them, the others with `why`) of one case in one micro-batch.
 
-
-def start_change_feed(stream: DataFrame, out: str, state: str, checkpoint: str, trigger=None,
-                      width: int = ordered.WIDTH) -> StreamingQuery:
+    `why` tells a row that repeats the last number from one that came after a later number.
+    """
+    fresh, late = [], []
+    rows = [r for f in frames for r in f.itertuples(index=False)]
+    for r in sorted(rows, key=lambda r: r.seq):
+        if last is not None and r.seq <= last:
+            late.append((r, "repeated" if r.seq == last else "late"))
+        else:
+            fresh.append(r)
+            last = r.seq
+    return fresh, late
+
+
+class ChangeFeed(StatefulProcessor):
+    """Keeps each case's last snapshot."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "seq long, snapshot string")
+
+    def handleInputRows(self, key, rows, timers):
+        seen = self.last.get()
+        seq, snapshot = seen or (None, None)
+        fresh, late = in_order(rows, seq)
+        out = [(key[0], r.seq, r.snapshot, why) for r, why in late]
+        for r in fresh:
+            if seq is None or r.snapshot != snapshot:
+                out.append((key[0], r.seq, r.snapshot, None))
+            seq, snapshot = r.seq, r.snapshot
+        if fresh:
+            self.last.update((int(seq), snapshot))
+        yield pd.DataFrame(out, columns=["case_id", "seq", "snapshot", "why"])
+
+    def close(self) -> None:
+        pass
+
+
+def start_change_feed(stream: DataFrame, out: str, state: str, checkpoint: str,
+                      trigger=None) -> StreamingQuery:
     """Write to `out/epoch=n` each snapshot that differs from the one before in its case.
 
     Rows that come too late are in `state/late/epoch=n`.
     """
+    feed = stream.select("case_id", "seq", "snapshot").groupBy("case_id").transformWithStateInPandas(
+        ChangeFeed(), FEED, "Append", "None")
+
     def handle(batch: DataFrame, epoch: int) -> None:
-        newest_rows = BucketedState(batch.sparkSession, f"{state}/last", FEED_STATE)
-        batch = batch.select("case_id", "seq", "snapshot").persist()
-        touched = newest_rows.touched(batch)
-        before = newest_rows.read(epoch, touched)
-        seen = before.select("case_id", F.col("seq").alias("last_seq"))
-        fresh = _fresh(batch, seen, f"{state}/late", epoch).persist()
-        both = before.withColumn("old", F.lit(True)).unionByName(fresh.withColumn("old", F.lit(False)))
-        _save(changed_rows(both, width).where(~F.col("old")).drop("old"), out, epoch)
-        newest = F.max_by(F.struct("seq", "snapshot"), "seq").alias("s")
-        newest_rows.save(both.groupBy("case_id").agg(newest).select("case_id", "s.*"), epoch, touched)
-        fresh.unpersist()
+        batch = batch.persist()
+        _save(batch.where("why IS NULL").drop("why"), out, epoch)
+        _save(batch.where("why IS NOT NULL"), f"{state}/late", epoch)
         batch.unpersist()
 
-    return _start(stream, handle, checkpoint, trigger)
+    return _start(feed, handle, checkpoint, trigger, "append")
+
+
+def apply_edit(cells: dict, stack: list, edit, depth: int) -> set:
+    """Apply one edit to a case's cells (value, state, origin) and undo stack; the fields it touches.
+
+    The stack holds what each of the last `depth` edits replaced (None: nothing).
+    """
+    if edit.action == "undo":
+        replaced = stack.pop() if stack else {}
+        for field, old in replaced.items():
+            if old is None:
+                cells.pop(field, None)
+            else:
+                cells[field] = old
+        return set(replaced)
+    new = {edit.field: edit.value}
+    if edit.action == "choose":
+        new.update(edit.linked or {})
+    stack.append({field: cells.get(field) for field in new})
+    del stack[:-depth]
+    filled = edit.action == "choose" or (
+        edit.action == "set" and edit.value is not None and edit.value.strip() != "")
+    for field, value in new.items():
+        origin = cells[field][2] if field in cells else None
+        if edit.action in ("choose", "dismiss"):
+            origin = edit.origin if edit.action == "choose" else None
+        cells[field] = [value if filled else None, "USER" if filled else "EMPTY", origin]
+    return set(new)
+
+
+class EditReplay(StatefulProcessor):
+    """Keeps each case's fields, the last number seen and what the last edits replaced."""
+
+    def __init__(self, depth: int):
+        self.depth = depth
+
+    def init(self, handle) -> None:
+        self.case = handle.getValueState("case", "seq long, cells string, stack string")
+
+    def handleInputRows(self, key, rows, timers):
+        seen = self.case.get()
+        last, cells, stack = (seen[0], json.loads(seen[1]), json.loads(seen[2])) if seen else (
+            None, {}, [])
+        fresh, late = in_order(rows, last)
+        touched = set()
+        for edit in fresh:
+            touched |= apply_edit(cells, stack, edit, self.depth)
+        if fresh:
+            self.case.update((int(fresh[-1].seq), json.dumps(cells), json.dumps(stack)))
+        out = [(key[0], f, *(cells.get(f) or (None, None, None)), f in cells, None, None)
+               for f in sorted(touched)]
+        out += [(key[0], r.field, r.value, None, r.origin, False, r.seq, why) for r, why in late]
+        yield pd.DataFrame(out, columns=["case_id", "field", "value", "state", "origin", "present",
+                                         "seq", "why"]).astype({"seq": "Int64"})
+
+    def close(self) -> None:
+        pass
 
 
 def start_edit_replay(stream: DataFrame, state: str, checkpoint: str, trigger=None,
-                      depth: int = fv.UNDO_DEPTH, width: int = ordered.WIDTH) -> StreamingQuery:
+                      depth: int = fv.UNDO_DEPTH) -> StreamingQuery:
     """Keep every case's fields up to date from a stream of edits.
 
-    State per case: at most `depth` edits that can still be undone, the fields below them, and
-    the last `seq`. Each batch replays the open edits of its buckets and the new rows on top of
-    those fields. Rows that come too late are in `state/late/epoch=n`.
+    `state/fields/epoch=n` holds the fields that an epoch touched (see `current_fields`), rows that
+    come too late are in `state/late/epoch=n`. State per case: its fields, and what the last `depth`
+    edits replaced.
     """
+    linked = F.map_filter("linked", lambda k, v: k.isNotNull())
+    edits = stream.select("case_id", "seq", "action", "field", "value", linked.alias("linked"), "origin")
+    feed = edits.groupBy("case_id").transformWithStateInPandas(
+        EditReplay(depth), EDIT_FEED, "Append", "None")
+
     def handle(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        open_edits = BucketedState(spark, f"{state}/open", OPEN_EDITS)
-        fields = BucketedState(spark, f"{state}/base", BASE_FIELDS)
-        last_seen = BucketedState(spark, f"{state}/seen", LAST_SEEN)
-        batch = batch.select(*ed.EDIT_COLUMNS).persist()
-        touched = last_seen.touched(batch)
-        seen = last_seen.read(epoch, touched)
-        fresh = _fresh(batch, seen, f"{state}/late", epoch)
-        log = open_edits.read(epoch, touched).unionByName(fresh).persist()
-        settled = ed.settle_edits(log, depth, width).persist()
-        open_edits.save(settled.where(F.col("fate") == "open").drop("fate"), epoch, touched)
-        done = ed.field_changes(settled.where(F.col("fate") == "final"))
-        fields.save(merge_fields(fields.read(epoch, touched), done), epoch, touched)
-        last = log.groupBy("case_id").agg(F.max("seq").alias("last_seq"))
-        last_seen.save(seen.unionByName(last).groupBy("case_id").agg(
-            F.max("last_seq").alias("last_seq")), epoch, touched)
-        settled.unpersist()
-        log.unpersist()
+        batch = batch.persist()
+        _save(batch.where("why IS NULL").drop("seq", "why"), f"{state}/fields", epoch)
+        _save(batch.where("why IS NOT NULL").select("case_id", "seq", "field", "value", "origin", "why"),
+              f"{state}/late", epoch)
         batch.unpersist()
 
-    return _start(stream, handle, checkpoint, trigger)
-
+    return _start(feed, handle, checkpoint, trigger, "append")
 
-def merge_fields(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """Fields after further changes on top of earlier ones."""
-    values = base.select("case_id", "seq", F.lit(0).alias("pos"), "field", "value", "state",
-                         F.lit(False).alias("sets_origin"), F.lit(None).cast("string").alias("origin"))
-    origins = base.where(F.col("origin_seq").isNotNull()).select(
-        "case_id", F.col("origin_seq").alias("seq"), F.lit(-1).alias("pos"), "field", "value",
-        "state", F.lit(True).alias("sets_origin"), "origin")
-    return ed.latest_fields(changes.unionByName(values).unionByName(origins))
 
-
-def current_fields(base: DataFrame, opened: DataFrame) -> DataFrame:
-    """What the user sees: the settled fields with the open edits on top."""
-    return merge_fields(base, ed.field_changes(opened)).drop("seq", "origin_seq")
+def current_fields(spark: SparkSession, state: str) -> DataFrame:
+    """What the user sees after the last epoch: the fields that are there."""
+    return newest(spark, f"{state}/fields", FIELDS, ["case_id", "field"]).where("present").drop("present")
 
 
 def start_live_votes(stream: DataFrame, state: str, checkpoint: str, trigger=None) -> StreamingQuery:
-    """Running votes per (case, field, value), the newest tally of each kept in `state`."""
+    """Running votes per (case, field, value); `state/epoch=n` holds the tallies an epoch changed.
+
+    Votes are dealt by case, field and value, so a hot case fills many tasks; `current_votes` gives
+    the newest tallies.
+    """
     tally = stream.groupBy("case_id", "field", "value").agg(
         F.array_sort(F.collect_set("engine")).alias("engines"), F.min("seq").alias("first_seq"))
+    return _start(tally, lambda batch, epoch: _save(batch, state, epoch), checkpoint, trigger, "update")
 
-    def handle(batch: DataFrame, epoch: int) -> None:
-        tallies = BucketedState(batch.sparkSession, state, TALLIES)
-        batch = batch.persist()
-        touched = tallies.touched(batch)
-        rows = tallies.read(epoch, touched).withColumn("layer", F.lit(0)).unionByName(
-            batch.withColumn("layer", F.lit(1)))
-        newest = F.max_by(F.struct("engines", "first_seq"), "layer").alias("r")
-        tallies.save(rows.groupBy("case_id", "field", "value").agg(newest).select(
-            "case_id", "field", "value", "r.*"), epoch, touched)
-        batch.unpersist()
 
-    writer = tally.writeStream.outputMode("update").foreachBatch(handle)
-    return writer.option("checkpointLocation", checkpoint).trigger(
-        **(trigger or {"availableNow": True})).start()
+def current_votes(spark: SparkSession, state: str) -> DataFrame:
+    """The newest tally of every (case, field, value)."""
+    return newest(spark, state, TALLIES, ["case_id", "field", "value"])

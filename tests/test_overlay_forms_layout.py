@@ -86,7 +86,7 @@ def test_stamp_fits_the_box_by_its_limiting_side(spark):
 def test_batches_of_twenty(spark):
     rows = [(1, d, p) for d, n in ((1, 20), (2, 21), (3, 40)) for p in range(n)]
     pages = spark.createDataFrame(rows, "case_id long, doc_id long, page_no long")
-    got = docs.page_batches(pages, F.concat(F.lit("f"), "doc_id"), width=7).select("doc_id", "batch_no", "label").distinct()
+    got = docs.page_batches(pages, F.concat(F.lit("f"), "doc_id"), rows=7).select("doc_id", "batch_no", "label").distinct()
     assert {tuple(r) for r in got.collect()} == {
         (1, 1, "f1"), (2, 1, "f2 (parte 1/2)"), (2, 2, "f2 (parte 2/2)"), (3, 1, "f3 (parte 1/2)"), (3, 2, "f3 (parte 2/2)")}
 
@@ -128,7 +128,7 @@ def test_ruled_lines(spark):
     metric = {0: 80, 1: 90, 40: 78, 41: 70, 50: 95, 60: 76, 61: 76, 62: 76, 63: 76, 64: 99}
     series = spark.createDataFrame([(1, p, metric.get(p, 3)) for p in range(100)], "series_id long, pos long, metric long")
     dims = spark.createDataFrame([(1, 100, 100)], "series_id long, span long, total long")
-    got = {(r.start_pos, r.end_pos): r.is_line for r in dist.frame_lines(series, dims, width=7).collect()}
+    got = {(r.start_pos, r.end_pos): r.is_line for r in dist.frame_lines(series, dims, rows=7).collect()}
     assert got == {(0, 1): True, (40, 40): False, (50, 50): True, (60, 64): False}
 
 

@@ -7,7 +7,6 @@ from casefuse.operators import edits as ed
 from casefuse.operators import voting
 from casefuse.session import shared_dir
 from casefuse.streaming import live
-from casefuse.streaming.state import BucketedState
 from tests.test_ordered import EDITS, _log, _replay
 
 ONE_FILE = {"availableNow": True}
@@ -30,7 +29,7 @@ def test_change_feed_over_batches_equals_batch(spark):
     schema = "case_id long, seq long, snapshot string"
     root = shared_dir(spark, "feed")
     live.start_change_feed(_files(spark, rows, schema, 4), f"{root}/out", f"{root}/state", f"{root}/cp",
-                           ONE_FILE, width=5).awaitTermination()
+                           ONE_FILE).awaitTermination()
     got = {(r.case_id, r.seq) for r in spark.read.parquet(f"{root}/out").collect()}
     want, last = set(), {}
     for case, seq, snap in sorted(set(rows), key=lambda r: r[1]):
@@ -41,8 +40,6 @@ def test_change_feed_over_batches_equals_batch(spark):
     assert len([d for d in os.listdir(f"{root}/out") if d.startswith("epoch=")]) == 4
     late = spark.read.parquet(f"{root}/state/late").collect()
     assert {(r.case_id, r.seq, r.snapshot) for r in late} == set(rows[5:9])
-    kept = {d for d in os.listdir(f"{root}/state/last/index") if d.startswith("epoch=")}
-    assert kept == {"epoch=2", "epoch=3"}
 
 
 def test_rows_out_of_order_are_accounted_for_after_a_restart(spark):
@@ -59,34 +56,46 @@ def test_rows_out_of_order_are_accounted_for_after_a_restart(spark):
     late = {(r.case_id, r.seq, r.why) for r in spark.read.parquet(f"{root}/state/late").collect()}
     assert got == {(1, 5), (2, 1), (3, 1), (2, 3), (1, 7)}
     assert late == {(1, 3, "late"), (1, 5, "repeated")}
-    last = live.latest_state(spark, f"{root}/state/last", live.FEED_STATE).collect()
-    assert {(r.case_id, r.seq, r.snapshot) for r in last} == {(1, 7, "c"), (2, 3, "z"), (3, 1, "y")}
-
-
-def test_a_batch_rewrites_only_the_buckets_it_touches(spark):
-    state = BucketedState(spark, shared_dir(spark, "buckets"), "case_id BIGINT, v STRING", buckets=8)
-    rows = spark.createDataFrame([(i, "old") for i in range(100)], "case_id long, v string")
-    state.save(rows, 0, state.touched(rows))
-    some = spark.createDataFrame([(7, "new")], "case_id long, v string")
-    touched = state.touched(some)
-    merged = state.read(1, touched).where("case_id <> 7").unionByName(some)
-    for _ in range(2):  # a retried epoch
-        state.save(merged, 1, touched)
-    assert len(os.listdir(f"{state.path}/epoch=1")) <= 4
-    assert {(r.case_id, r.v) for r in state.latest().collect()} == {
-        (i, "new" if i == 7 else "old") for i in range(100)}
 
 
 def test_edit_stream_over_batches_equals_brute_force(spark):
     log = _log(11, 120, .45)
     root = shared_dir(spark, "edit-stream")
     live.start_edit_replay(_files(spark, log, EDITS, 4), f"{root}/state", f"{root}/cp", ONE_FILE,
-                           depth=4, width=7).awaitTermination()
-    got = live.current_fields(live.latest_state(spark, f"{root}/state/base", live.BASE_FIELDS),
-                              live.latest_state(spark, f"{root}/state/open", live.OPEN_EDITS)).collect()
+                           depth=4).awaitTermination()
+    got = live.current_fields(spark, f"{root}/state").collect()
     assert {(r.case_id, r.field): (r.value, r.state, r.origin) for r in got} == _replay(log, [], 4)
-    opened = live.latest_state(spark, f"{root}/state/open", live.OPEN_EDITS).groupBy("case_id").count()
-    assert max(r["count"] for r in opened.collect()) <= 4
+
+
+def test_edit_stream_goes_on_after_a_restart_and_keeps_late_edits(spark):
+    log = [e for e in _log(12, 90, .4)]
+    root, path = shared_dir(spark, "edit-restart"), shared_dir(spark, "in")
+    parts = [log[:30], log[30:60] + [log[3]], log[60:]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, EDITS).coalesce(1).write.mode("append").parquet(path)
+        if i != 1:
+            stream = spark.readStream.schema(EDITS).option("maxFilesPerTrigger", 1).parquet(path)
+            live.start_edit_replay(stream, f"{root}/state", f"{root}/cp", ONE_FILE, depth=3).awaitTermination()
+    got = live.current_fields(spark, f"{root}/state").collect()
+    assert {(r.case_id, r.field): (r.value, r.state, r.origin) for r in got} == _replay(log, [], 3)
+    late = spark.read.parquet(f"{root}/state/late").collect()
+    assert [(r.case_id, r.seq, r.why) for r in late] == [(log[3][0], log[3][1], "late")]
+
+
+def test_live_votes_over_batches_equal_batch_votes(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice([1, 1, 1, 2, None]), rnd.choice("AB"), rnd.choice(["x", "y", None]), rnd.choice("pqr"), s)
+            for s in range(80)]
+    root = shared_dir(spark, "votes")
+    schema = "case_id long, field string, value string, engine string, seq long"
+    live.start_live_votes(_files(spark, rows, schema, 4), f"{root}/state", f"{root}/cp", ONE_FILE).awaitTermination()
+    want = {}
+    for case, field, value, engine, seq in rows:
+        engines, first = want.get((case, field, value), (set(), seq))
+        want[case, field, value] = (engines | {engine}, min(first, seq))
+    got = live.current_votes(spark, f"{root}/state").collect()
+    assert {(r.case_id, r.field, r.value): (set(r.engines), r.first_seq) for r in got} == want
+    assert len(got) == len(want)
 
 
 def _plan(df):
