@@ -2,7 +2,7 @@
 
 import os
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casefuse.session import shared_dir
@@ -51,6 +51,33 @@ def unpacked(df: DataFrame, columns, **replaced) -> DataFrame:
     return df.select(*[replaced.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
 
 
+def numbered(rows: DataFrame, group: list, order: list, weight: str = None) -> DataFrame:
+    """Add `pos`, a gapless number from 0 in the order within the group, and `n`, its rows.
+
+    With `weight`, `pos` is the weight of the group's rows before and `n` that of all. The rows are
+    dealt by ranges of (group, order), so one group may fill many tasks; each range learns from a
+    table of range sizes how much of its group comes before it.
+    """
+    dealt = rows.select(F.struct(*[F.col(c) for c in group] or [F.lit(0)]).alias("group"), *order,
+                        F.struct("*").alias("row"))
+    dealt = dealt.repartitionByRange("group", *order).sortWithinPartitions("group", *order)
+    dealt = written(dealt.select("group", "row", F.monotonically_increasing_id().alias("at")),
+                    "ordered").withColumn("part", F.shiftright("at", 33))
+    held = F.sum(f"row.{weight}") if weight else F.count(F.lit(1))
+    ranges = dealt.groupBy("group", "part").agg(F.min("at").alias("first"), held.alias("held"))
+    before = Window.partitionBy("group").orderBy("part")
+    ranges = ranges.withColumn("before", F.sum("held").over(before) - F.col("held")).withColumn(
+        "n", F.sum("held").over(Window.partitionBy("group")))
+    inner = F.col("at") - F.col("first")
+    if weight:
+        inside = Window.partitionBy("group", "part").orderBy("at").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        dealt = dealt.withColumn("upto", F.sum(f"row.{weight}").over(inside))
+        inner = F.col("upto") - F.col(f"row.{weight}")
+    return dealt.join(written(ranges, "ranges"), ["group", "part"]).select(
+        "row.*", (inner + F.col("before")).alias("pos"), "n")
+
+
 def mix64(*columns: Column, seed: int) -> Column:
     """A 64-bit hash of the columns that depends on the seed."""
     return F.xxhash64(F.lit(seed), *columns)

@@ -1,74 +1,140 @@
-"""The labelled table: small pages of common layouts, main blocks marked with `data-main`."""
+"""The labelled table: small pages of varied text and layout, main blocks marked with `data-main`.
 
-_SHORT, _MEDIUM = "They agreed.", "The council met on Tuesday to discuss the new bridge plan."
-_LONG = ("Engineers who studied the river for two years told the meeting that the old crossing "
-         "could carry traffic for another decade, but only if the piers were strengthened before "
-         "the winter floods and heavy lorries were sent along the northern road instead.")
-_MENU = ('<ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li>'
-         '<li><a href="/sport">Sport and weather</a></li><li>Today</li></ul>')
+Every layout is filled with several sets of texts, so that the tree sees each arrangement with short
+and long, plain and linked blocks. Some names mislead on purpose.
+"""
 
-LABELLED = [
-    # Semantic article between navigation, an advert and a footer; short paragraphs inside.
-    f'<html><head><title>T</title></head><body><nav>{_MENU}</nav><div class="ad">Buy two pay one '
-    f'this week only.</div><article><h1 data-main>Bridge plan</h1><p data-main>{_MEDIUM}</p>'
-    f'<p data-main>{_SHORT}</p><p data-main>Yes.</p><p data-main>{_LONG}</p></article>'
-    f'<footer>&copy; 2020 The Paper. {_MEDIUM}</footer></body></html>',
-    # Header with form and notice, sidebar, reader comments inside the article.
-    f'<body><header><p>The Daily Paper</p><form>Search the archive of the paper</form></header>'
-    f'<div id="cookie-notice">{_MEDIUM} Accept all.</div><main><h1 data-main>Floods</h1>'
-    f'<p data-main>{_LONG}</p><p data-main>{_SHORT}</p><aside><p>{_LONG}</p></aside>'
-    f'<h2 data-main>What next</h2><p data-main>{_MEDIUM}</p><section class="comments"><h3>Comments'
-    f'</h3><p>{_MEDIUM}</p><p>{_LONG}</p></section></main><footer><p>All rights reserved</p>'
-    f'</footer></body>',
-    # Named containers without semantic elements.
-    f'<body><div id="header"><p>Paper</p></div><div class="menu">{_MENU}</div><div id="content">'
-    f'<h1 data-main>Harbour</h1><p data-main>{_LONG}</p><p data-main>{_MEDIUM}</p><ul><li data-main>'
-    f'One pier</li><li data-main>Two cranes</li></ul></div><div class="sidebar"><p>{_MEDIUM}</p>'
-    f'<p>{_LONG}</p></div><div id="footer">Contact the office</div></body>',
-    # No hints at all: density decides.
-    f'<body><div><a href="/">Home</a> <a href="/a">About us</a></div><div><a href="/x">Archive of '
-    f'all the older stories</a></div><h1 data-main>Market day</h1><p data-main>{_LONG}</p>'
-    f'<p data-main>{_LONG} {_MEDIUM}</p><p data-main>{_MEDIUM}</p><p data-main>{_LONG}</p>'
-    f'<div><a href="/y">Next story: the mill burns down</a></div><div>Print</div></body>',
-    f'<body><table><tr><td><a href="/">Start</a></td><td><a href="/b">Guest book</a></td></tr>'
-    f'<tr><td>Menu</td></tr></table><p data-main>{_LONG}</p><p data-main>{_MEDIUM} {_LONG}</p>'
-    f'<p data-main>{_LONG}</p><p><a href="/m">Mail</a> the web master</p><p>Page 1</p></body>',
-    # Long quotation, figure, table and code are part of an article; share bars are not.
-    f'<body><nav class="breadcrumbs"><a href="/">Home</a> / Notes</nav><article class="post"><header>'
-    f'<h1 data-main>Notes</h1></header><div class="share">Share this with friends</div>'
-    f'<blockquote data-main>{_LONG}</blockquote><figure><figcaption data-main>The old bridge'
-    f'</figcaption></figure><table><tr><td data-main>North</td><td data-main>12</td></tr></table>'
-    f'<pre data-main>x = 1</pre><p data-main><a href="/s">The survey itself</a></p><p data-main>'
-    f'{_SHORT}</p><footer><p>Filed under travel</p></footer></article><div class="related"><p>'
-    f'{_MEDIUM}</p><p><a href="/r">More</a></p></div></body>',
-    # Article in a page-wide form, hidden text, newsletter and login boxes.
-    f'<body><form id="page"><div class="topbar">Sign in or register now</div><div role="main">'
-    f'<h1 data-main>Ferry</h1><p data-main>{_MEDIUM}</p><div class="newsletter"><p>{_MEDIUM}</p>'
-    f'<p>Your address</p></div><p data-main>Later.</p><p data-main>{_LONG}</p></div>'
-    f'<div class="login"><p>{_SHORT}</p></div></form></body>',
-    # A page with nothing but navigation and notices.
-    f'<body><nav>{_MENU}</nav><div class="cookie">{_LONG}</div><div class="banner"><p>{_MEDIUM}</p>'
-    f'<p>{_LONG}</p></div><aside>{_LONG}<p>{_SHORT}</p></aside><footer><p>{_LONG}</p><p>{_SHORT}</p>'
-    f'</footer></body>',
-    # Very short articles.
-    f'<body><nav>{_MENU}</nav><article><h1 data-main>Closed</h1><p data-main>Back soon.</p></article>'
-    f'<footer>Imprint</footer></body>',
-    f'<body><header>Site</header><nav>{_MENU}</nav><main><p data-main>{_MEDIUM}</p></main>'
-    f'<aside><h2>Popular</h2><p><a href="/p">{_MEDIUM}</a></p></aside><footer>{_SHORT}</footer></body>',
-    # Pages cut off inside the article, linked words and whole linked paragraphs of an article.
-    f'<body><nav>{_MENU}</nav><article><h1 data-main>Tide</h1><p data-main>{_LONG} <a href="/t">Tables'
-    f'</a></p><p data-main>See <a href="/u">the tables</a></p><p data-main>{_MEDIUM}</p>'
-    f'<p data-main>It <a href="/v">rose</a>',
-    f'<body><header>Site</header><div class="content"><h2 data-main><a href="/w">Wells</a></h2>'
-    f'<p data-main><a href="/x">One source</a></p><p data-main>{_MEDIUM}</p><ul><li data-main>'
-    f'<a href="/y">Survey of 1901</a></li><li data-main><a href="/z">Map</a></li></ul><p data-main>So',
-    f'<body><main><p data-main>A <a href="/1">short</a> note.</p><p data-main>{_MEDIUM}</p></main>',
-    f'<body><nav><p>{_LONG}</p></nav><article><p data-main>{_SHORT}</p></article>',
-    f'<body><aside>{_MEDIUM}</aside><article><p data-main><a href="/2">{_MEDIUM}</a></p></article>',
-    # No hints, article last; and no hints, nothing but links.
-    f'<body><p><a href="/">Home</a></p><p data-main>{_LONG}</p><p data-main>{_MEDIUM}</p>'
-    f'<p data-main>{_LONG} <a href="/3">Read it</a></p><p data-main>{_MEDIUM} {_MEDIUM}</p>'
-    f'<p data-main>{_MEDIUM} <a href="/7">See here</a> {_MEDIUM}</p><p data-main>{_MEDIUM}</p>',
-    f'<body><p><a href="/">Home</a></p><p><a href="/4">{_MEDIUM}</a></p><p><a href="/5">More</a> of it'
-    f'</p><p><a href="/6">Archive of old stories</a></p>',
+# Sets of (title, long paragraphs, short paragraphs, list items).
+TEXTS = [
+    ("The bridge that would not close", [
+        "Engineers who studied the river for two years told the meeting that the old crossing could carry traffic "
+        "for another decade, but only if its piers were strengthened before the winter floods and the heavy lorries "
+        "were sent along the northern road instead.",
+        "Nobody in the hall seemed surprised. The report had been promised for the spring, then for the summer, and "
+        "when it came at last most of its findings were already known to those who cross the bridge every day and who "
+        "hear the planks move under their wheels.",
+        "A second reading is planned for May."],
+        ["They agreed.", "Not everyone did.", "“We waited long enough,” said the mayor."],
+        ["Two new piers", "A lower speed limit", "Weekly checks"]),
+    ("Baking with rye", [
+        "Rye flour takes up more water than wheat and gives it back slowly, so the dough stays sticky however long it "
+        "is worked. Wet hands help, and so does patience: an hour of rest does more than ten minutes of kneading ever "
+        "will, as every old recipe says in one way or another.",
+        "Set the oven as hot as it goes and put a tray of water on its floor. After a quarter of an hour turn it down "
+        "and let the loaf finish in falling heat, which keeps the crust thin."],
+        ["Wait a day before cutting it.", "Enjoy!", "Makes two loaves."],
+        ["500 g rye flour", "400 ml warm water", "One spoon of salt", "Starter from the day before"]),
+    ("Der Winter im Hafen", [
+        "Im November werden die letzten Boote aus dem Wasser gehoben, und auf den Stegen bleiben nur die Möwen und ein "
+        "paar Angler zurück, die auch im Schneeregen noch auf Dorsche warten und kaum ein Wort miteinander wechseln.",
+        "Wer jetzt kommt, hat den Ort für sich. Die Zimmer kosten die Hälfte, das Brot ist noch warm, wenn man früh "
+        "genug aufsteht, und der Wirt erzählt von dem Sturm, der vor zwanzig Jahren die Mole zerbrach."],
+        ["Dann wird es still.", "So war es immer.", "Im März beginnt alles von vorn."],
+        ["Fähre um acht", "Markt am Samstag", "Leuchtturm"]),
+    ("Une bibliothèque sous les toits", [
+        "La salle de lecture occupe tout le dernier étage, et la lumière y tombe de hautes fenêtres que personne n'a "
+        "lavées depuis des années ; les habitués s'en plaignent chaque automne, mais ils reviennent quand même s'asseoir "
+        "à la même place, avec les mêmes livres.",
+        "On y garde aussi les plans de la ville ancienne, que l'on peut consulter sur demande deux jours par semaine."],
+        ["Entrée libre.", "C'est peu.", "Il faut monter cinq étages."],
+        ["Plans anciens", "Journaux du siècle dernier"]),
+    ("Notas de campo", [
+        "Salimos antes del amanecer porque al mediodía el calor no deja trabajar a nadie, y cuando el sol tocó la "
+        "ladera ya habíamos contado más de cuarenta nidos, casi todos en la parte alta, donde el viento barre la nieve "
+        "y la hierba aparece antes que en el valle.",
+        "El informe completo se publicará en otoño, junto con los mapas y las medidas de cada nido."],
+        ["Nada más.", "Volveremos en junio.", "La cuenta fue exacta."],
+        ["Cuarenta nidos", "Dos águilas", "Ningún zorro"]),
 ]
+_CHROME = [
+    ["Home", "News", "Sport and weather", "About us", "Contact"],
+    ["Startseite", "Aktuelles", "Archiv", "Über uns"],
+    ["Accueil", "Nos livres", "Horaires", "Presse"],
+]
+_NOTICES = [
+    "We use cookies to make this site better for you. By going on you accept our terms of use.",
+    "Buy two, pay one, this week only in all our shops.",
+    "Sign up for the weekly letter and never miss a story.",
+    "Wir verwenden Cookies, um Ihnen die Nutzung zu erleichtern.",
+    "Great read! I have waited for someone to say this for years, thank you so much.",
+]
+
+
+def _links(words: list, tag: str = "li") -> str:
+    return "".join(f'<{tag}><a href="/{i}">{w}</a></{tag}>' for i, w in enumerate(words))
+
+
+def _main(text: tuple, linked: bool = True) -> str:
+    """Title, paragraphs long and short in turn, a list, a last word; with linked blocks if asked."""
+    title, long, short, items = text
+    parts = [f"<h1 data-main>{title}</h1>"]
+    for i, p in enumerate(long):
+        parts.append(f"<p data-main>{p}</p>")
+        parts.append(f"<p data-main>{short[i % len(short)]}</p>")
+    parts.append("<ul>" + "".join(f"<li data-main>{x}</li>" for x in items) + "</ul>")
+    parts.append(f'<p data-main>{long[0]} <a href="/s">{items[0]}</a></p>')
+    if linked:
+        parts.append(f'<p data-main><a href="/t">{short[0]}</a></p><p data-main>{short[1]} <a href="/u">{title}</a></p>'
+                     f'<ol>{"".join(f"<li data-main><a href=/{x[0]}>{x}</a></li>" for x in items)}</ol>')
+    parts.append(f'<p data-main>{short[-1]}</p>')
+    return "".join(parts)
+
+
+def _prose(text: tuple) -> str:
+    """Paragraphs only."""
+    _, long, short, _ = text
+    return "".join(f"<p data-main>{p}</p>" for p in [long[0], short[0], *long[1:], short[1], long[0]])
+
+
+def _layouts(text: tuple, menu: list, notice: str, other: str) -> list:
+    title, long, short, _ = text
+    nav, main, plain = _links(menu), _main(text), _main(text, False)
+    comments = f"<h3>{len(menu)} replies</h3><p>{other}</p><p>{notice} {other}</p>"
+    own = "".join(f'<li data-main><a href="/o">{x}</a></li>' for x in (*text[3], title, *menu[:3]))
+    return [
+        # Landmarks around an article; an advert between.
+        f'<head><title>{title}</title></head><nav><ul>{nav}</ul></nav><div class="ad">{notice}</div><article>{main}'
+        f'</article><footer>&copy; {title}. {notice}</footer>',
+        f'<header><p>{menu[0]}</p><form>Search the archive</form></header><main>{main}<aside><p>{long[0]}</p></aside>'
+        f'<section class="comments">{comments}</section></main><footer><p>{short[0]}</p><p>{long[0]}</p></footer>',
+        # Named containers.
+        f'<div id="header">{menu[0]}</div><div class="menu"><ul>{nav}</ul></div><div id="content">{main}</div>'
+        f'<div class="sidebar"><h3>{short[0]}</h3><p>{other}</p><p>{notice}</p></div><div id="footer">{short[1]}</div>',
+        f'<div class="top-bar">{notice}</div><section class="entry-content">{main}<div class="newsletter-box"><p>'
+        f'{notice}</p><p>{short[0]}</p></div></section><div class="related-links"><ul>{_links(menu)}</ul></div>',
+        # No hints at all: words and links of the neighbours decide.
+        f'<div>{_links(menu, "span")}</div><p><a href="/x">{menu[1]} {menu[0]}</a></p>{plain}<p><a href="/y">{menu[-1]}'
+        f'</a></p><div>{menu[0]}</div>',
+        f'<table><tr>{_links(menu, "td")}</tr><tr><td>{menu[0]}</td></tr></table>{_prose(text)}<p><a href="/m">{menu[1]}'
+        f'</a> {menu[0]}</p><p>{menu[-1]} 1</p>',
+        f'<p><a href="/">{menu[0]}</a></p>{_prose(text)}<ul>{nav}</ul><p>&copy; {menu[0]}</p>',
+        f'<ul>{nav}</ul><div>{_links(menu[::-1], "p")}</div>{_prose(text)}{_links(menu, "p")}',
+        # Names that mislead: long prose between long prose is main text, whatever holds it.
+        f'<ul>{nav}</ul><div class="widget"><p data-main>{long[0]} {long[0]}</p><p data-main>{long[1]} {long[0]}</p>'
+        f'<p data-main>{long[0]} {long[1]}</p><p data-main>{long[1]} {long[0]}</p></div><p>{menu[0]}</p>',
+        f'<div class="content"><ul>{_links(menu)}</ul></div>{_prose(text)}<div class="main"><p><a href="/z">{menu[1]}</a>'
+        f'</p>{_links(menu, "p")}</div>',
+        # Pages that begin with the article, or are cut off inside it.
+        f'<article>{main}', f'<main>{main}</main><footer>{menu[0]}</footer>', f'<div class="post">{main}</div>',
+        f'<nav>{nav}</nav><article><h1 data-main>{title}</h1>{_prose(text)}', f'<article>{_prose(text)}</article>',
+        f'<article><p data-main>{long[-1]}</p></article>', f'<main><p data-main>{short[0]}</p></main>{nav}',
+        # Lists of links and linked paragraphs belong to an article that holds them.
+        f'<nav>{nav}</nav><main><p data-main><a href="/q">{long[0]}</a></p><p data-main>{short[0]}</p><ul>{own}</ul>'
+        f'</main><p>{menu[0]}</p>',
+        f'<article><header><h2 data-main><a href="/t">{title}</a></h2></header><ul>{own}</ul>{_prose(text)}<ol>{own}</ol>'
+        f'</article><p>{_links(menu, "span")}</p>',
+        f'<div>{notice}</div><article><ul>{own}</ul><p data-main>{short[1]}</p><p data-main>{long[1]}</p><p data-main>'
+        f'{short[0]}</p></article><div>{notice}</div>',
+        # Nothing but chrome.
+        f'<nav><ul>{nav}</ul></nav><div class="cookie-notice">{notice} {other}</div><aside>{long[0]}<p>{short[0]}</p>'
+        f'</aside><footer><p>{long[0]}</p><p>{short[0]}</p></footer>',
+        f'<p><a href="/">{menu[0]}</a></p>{_links(menu, "p")}<p><a href="/4">{short[0]} {menu[1]}</a></p><p>'
+        f'<a href="/5">{menu[-1]}</a> {menu[0]}</p><div class="popup">{notice}</div>',
+        # Articles of a few words.
+        f'<nav>{nav}</nav><article><h1 data-main>{title}</h1><p data-main>{short[0]}</p></article><footer>{menu[0]}'
+        f'</footer>',
+    ]
+
+
+LABELLED = ["<body>" + page for i, text in enumerate(TEXTS) for page in _layouts(
+    text, _CHROME[i % len(_CHROME)], _NOTICES[i % len(_NOTICES)], _NOTICES[(i + 4) % len(_NOTICES)])]

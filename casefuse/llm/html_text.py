@@ -1,8 +1,8 @@
 """Main text of web pages: flat blocks, classified by a decision tree over neighbouring blocks.
 
-A page becomes a flat list of text blocks. Each is described by its words and link density, those
-of the blocks before and after it, and by what its open elements say about it (a landmark, a class
-name). A decision tree trained on a small labelled table decides which blocks are main text.
+A page becomes a flat list of text blocks. Each is described by its words and link density, those of
+the blocks before and after it, by the landmark element around it, and weakly by class names. A
+decision tree trained on a small labelled table decides which blocks are main text.
 """
 
 import html
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from casefuse.llm.html_labels import LABELLED
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after",
-            "aside", "inside", "heading"]
+            "landmark", "named", "heading"]
 
 _TAG = re.compile(
     r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)"""
@@ -26,10 +26,11 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(
     r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-# Elements whose content is no text of the page.
-_SKIPPED = frozenset(
-    "script style noscript template svg math iframe object canvas audio video select button "
-    "textarea title option datalist head".split())
+# Elements whose content is no text of the page: those read as raw text up to their end tag (or the
+# end of the page), and those that are passed over only where they are closed.
+_RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+_PASSED = frozenset(
+    "noscript template svg math object canvas audio video select button datalist".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav "
@@ -40,34 +41,48 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SIBLINGS = {n: (frozenset(g.split()), frozenset(b.split())) for g, b in (
     ("li", "ul ol menu"), ("dt dd", "dl"), ("td th", "tr table"), ("tr", "table tbody thead tfoot"))
     for n in g.split()}
-# Never main text, wherever they stand; not main text unless a content element is inside.
-_HARD_TAGS = frozenset("nav footer aside dialog".split())
-_SOFT_TAGS = frozenset("header form menu fieldset".split())
-_HARD_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor "
-    "sponsored sponsors comment comments commentlist disqus respond replies cookie cookies consent "
-    "gdpr newsletter subscribe subscription popup modal share sharing social related recommended "
-    "recommendations breadcrumb breadcrumbs pagination pager nav navbar navigation menu "
-    "contentinfo complementary".split())
-_SOFT_NAMES = frozenset(
-    "footer foot header masthead topbar teaser tags meta byline".split())
-# Like the soft ones around content, like the hard ones inside it.
-_BOX_NAMES = frozenset(
-    "sidebar rail toolbar widget widgets notice notices alert alerts login signin signup search "
-    "copyright legal disclaimer skip".split())
-_CONTENT_NAMES = frozenset("article content main post entry story".split())
-_DENIED = frozenset("with has no without".split())
-
-
-def _names(attributes: str) -> frozenset:
-    out = set()
+# Landmarks beside the main text; the second kind gives way to an article or main element inside.
+_ASIDE, _ASIDE_OUTSIDE = frozenset("nav footer aside dialog".split()), frozenset(
+    "header form menu fieldset".split())
+# Names of parts beside the main text; the second kind likewise.
+_CHROME = frozenset(
+    "ad ads advert adverts advertisement advertising adsense promo promotion sponsor sponsored "
+    "sponsors comment comments commentlist disqus respond replies cookie cookies consent gdpr "
+    "newsletter subscribe subscription popup modal share sharing social related recommended "
+    "recommendations breadcrumb breadcrumbs pagination pager".split())
+_CHROME_OUTSIDE = frozenset(
+    "nav navbar navigation menu sidebar rail header masthead topbar footer foot banner toolbar widget "
+    "widgets notice notices alert alerts login signin signup search copyright legal disclaimer skip "
+    "teaser tags meta byline contentinfo complementary".split())
+_CONTENT, _WEAK_CONTENT = frozenset("article post entry story".split()), frozenset(
+    "content main body text".split())
+# Words that say nothing about a part. A name counts only where all its words are known; the last
+# one of the sets above decides.
+_NEUTRAL = frozenset(
+    "site page section block box list wrapper wrap container inner outer area bar row col column left "
+    "right top bottom links items item buttons button media form panel group layout primary secondary "
+    "global id js mobile desktop sticky fixed floating slot unit".split())
+
+
+_KINDS = {w: k for k, words in ((0, _NEUTRAL), (0.5, _WEAK_CONTENT), (1, _CONTENT), (-1, _CHROME_OUTSIDE),
+                                (-2, _CHROME)) for w in words}
+
+
+def _named(attributes: str) -> tuple[int, bool]:
+    """(1 content, -1 chrome, -2 chrome also around an article, 0 neither; is a main landmark)."""
+    said, landmark = 0, False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id", "role"):
+        name = name.lower()
+        if name in ("class", "id", "role"):
             for word in (a or b or c).split():
-                parts = {t.lower() for t in _TOKEN.findall(word)}
-                if not parts & _DENIED:
-                    out |= parts
-    return frozenset(out)
+                landmark |= name == "role" and word.lower() in ("main", "article")
+                kinds = [_KINDS.get(t.lower()) for t in _TOKEN.findall(word) if not t.isdigit()]
+                if kinds and None not in kinds:
+                    kind = next((k for k in reversed(kinds) if k in (-2, -1, 1)), None)
+                    if kind is None:
+                        kind = 1 if 0.5 in kinds else 0
+                    said = min(said, kind) if kind < 0 else said or kind
+    return said, landmark
 
 
 def _hidden(attributes: str) -> bool:
@@ -78,34 +93,39 @@ def _hidden(attributes: str) -> bool:
 
 
 def _said(tag: str, attributes: str, above: tuple) -> tuple:
-    """(hard, soft, inside, hidden) of an element below one with `above`."""
-    hard, soft, inside, hidden = above
-    names = _names(attributes) if "=" in attributes and tag not in ("html", "body") else ()
-    if tag in _HARD_TAGS or names and (
-            names & _HARD_NAMES or inside and names & _BOX_NAMES and not names & _CONTENT_NAMES):
-        hard = True
-    elif tag in ("article", "main") or names and names & _CONTENT_NAMES:
-        inside, soft = True, False
-    elif (tag in _SOFT_TAGS and not (inside and tag == "header")) or (
-            names and names & (_SOFT_NAMES | _BOX_NAMES) and not inside):
-        soft = True
-    return hard, soft, inside, hidden or ("d" in attributes and _hidden(attributes))
+    """(landmark, named, hidden) of an element below one with `above`; -2 holds whatever follows."""
+    landmark, named, hidden = above
+    own, is_main = (0, False) if "=" not in attributes or tag in ("html", "body") else _named(
+        attributes)
+    if tag in ("article", "main") or is_main:
+        landmark, named = 1 if landmark > -2 else -2, -2 if named == -2 else 0
+    elif tag in _ASIDE:
+        landmark = -2
+    elif tag in _ASIDE_OUTSIDE and not (landmark == 1 and tag == "header"):
+        landmark = min(landmark, -1)
+    if own < 0 and not (tag in ("article", "main") or is_main):
+        named = min(named, own)
+    elif own > 0 and named == 0:
+        named = 1
+    return landmark, named, hidden or ("d" in attributes and _hidden(attributes))
 
 
 def blocks(page: str):
-    """(text, words, words in links, aside, inside, heading, attributes) of each text block.
+    """(text, words, words in links, landmark, named, heading, attributes) of each text block.
 
-    White space inside a block is one space; `attributes` are those of the block's own element.
+    White space inside a block is one space; `attributes` are those of the block's own element. A
+    link ends with its block at the latest. An element that is passed over but never closed loses
+    its tag only; raw text that is never closed lasts to the end of the page, as browsers have it.
     """
     out, stack, text, linked = [], [], [], []
-    state, in_link, at, tag_now, own = (False, False, False, False), False, 0, "", ""
+    state, in_link, at, tag_now, own, unclosed = (0, 0, False), False, 0, "", "", set()
 
     def flush():
         words = "".join(text).split()
-        if words and not state[3]:
+        if words and not state[2]:
             links = sum(len(s.split()) for s in linked)
             out.append((" ".join(words), len(words), min(links, len(words)),
-                        float(state[0] or state[1]), float(state[2]),
+                        float(max(-1, state[0])), float(max(-1, state[1])),
                         float(tag_now in _HEADINGS), own))
         text.clear()
         linked.clear()
@@ -119,7 +139,7 @@ def blocks(page: str):
 
     def top():
         nonlocal state, tag_now, own
-        tag_now, own, state = stack[-1] if stack else ("", "", (False, False, False, False))
+        tag_now, own, state = stack[-1] if stack else ("", "", (0, 0, False))
 
     while True:
         m = _TAG.search(page, at)
@@ -138,27 +158,30 @@ def blocks(page: str):
                 in_link = False
             elif tag in _BLOCKS:
                 flush()
+                in_link = False
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
                         break
                 top()
         elif tag == "a":
-            in_link = True
+            in_link = "href" in m.group(3).lower()
         elif tag == "br":
             text.append(" ")
-        elif tag in _SKIPPED:
-            if not m.group(3).endswith("/") and tag not in ("option",):
-                end = re.compile(f"</{tag}(?=[\\s/>])|<body(?=[\\s/>])" if tag == "head" else
-                                 f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(page, at)
-                if end is None:
+        elif tag in _RAW or tag in _PASSED:
+            if tag in _RAW or tag not in unclosed and not m.group(3).endswith("/"):
+                end = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(page, at)
+                if end is not None:
+                    at = end.start()
+                elif tag in _RAW:
                     at = len(page)
                 else:
-                    at = end.start()
+                    unclosed.add(tag)
         elif tag in _BLOCKS:
             flush()
             if stack and stack[-1][0] == "p":
                 stack.pop()
+                in_link = False
             if tag in _SIBLINGS:
                 group, border = _SIBLINGS[tag]
                 for i in range(len(stack) - 1, -1, -1):
@@ -194,9 +217,10 @@ def labelled_table(spark: SparkSession, pages=LABELLED) -> DataFrame:
     return spark.createDataFrame(rows, ["label", "features"])
 
 
-def train(table: DataFrame, depth: int = 6, least: int = 2):
+def train(table: DataFrame, depth: int = 10, least: int = 2):
     """A decision tree as nested (feature, limit, low, high) tuples with boolean leaves."""
-    model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=least, seed=1).fit(table)
+    model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=least, maxBins=512,
+                                   seed=1).fit(table)
 
     def plain(node):
         if node.numDescendants() == 0:

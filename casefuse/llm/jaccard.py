@@ -50,7 +50,9 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     """Keys of the MinHash bands, one for each."""
     if not len(hashes):
         return np.zeros(0, np.uint64)
-    low = np.array([((hashes ^ f) * t).min() for f, t in zip(_FLIP, _TIMES)])
+    low = np.full(len(_FLIP), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 512):  # a block of hashes under all functions at once
+        np.minimum(low, ((hashes[i:i + 512, None] ^ _FLIP) * _TIMES).min(0), out=low)
     return (low * _FOLD).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
 
 

@@ -14,10 +14,10 @@ it, and levels are joined by `/`.
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casefuse.llm.common import row_order, written
+from casefuse.llm.common import numbered, row_order, written
 
 FAN_OUT, BLOCK_LEVELS = 3, 8
 
@@ -34,28 +34,6 @@ def digest_of(*values: Column) -> Column:
     return F.sha2(F.concat(*[field(v) for v in values]), 256)
 
 
-def numbered(rows: DataFrame, group: list, order: list) -> DataFrame:
-    """Add `pos`, a gapless number from 0 in the order within the group, and `n`, its rows.
-
-    The rows are dealt by ranges of (group, order), so one group may fill many tasks; each range
-    learns from a table of range sizes how many rows of its group come before it.
-    """
-    kind = rows.select(*order).schema
-    working = [F.struct(*group).alias("group"), *[F.col(c) for c in kind.names]]
-    dealt = rows.select(*working, F.struct("*").alias("row")).repartitionByRange(
-        "group", *kind.names).sortWithinPartitions("group", *kind.names)
-    dealt = written(dealt.select("group", "row", F.monotonically_increasing_id().alias("at")),
-                    "ordered").withColumn("part", F.shiftright("at", 33))
-    ranges = dealt.groupBy("group", "part").agg(F.min("at").alias("first"),
-                                                F.count(F.lit(1)).alias("held"))
-    before = Window.partitionBy("group").orderBy("part")
-    ranges = ranges.withColumn("before", F.sum("held").over(before) - F.col("held")).withColumn(
-        "n", F.sum("held").over(Window.partitionBy("group")))
-    ranges = written(ranges, "ranges")
-    return dealt.join(ranges, ["group", "part"]).select(
-        "row.*", (F.col("at") - F.col("first") + F.col("before")).alias("pos"), "n")
-
-
 def _hash(*digests: str) -> str:
     return sha256("".join(digests).encode()).hexdigest()
 
@@ -178,7 +156,8 @@ def manifest(docs: DataFrame, columns=("doc_id", "source", "lang", "n_chars", "t
                        digest_of(*then.values()).alias("claim"), row_order(docs).alias("at_row"))
     rows = rows.withColumn("tree", field(F.col("group_value"))).withColumn(
         "claim", F.when(F.col("claim") != F.col("digest"), F.col("claim")))
-    leaves = numbered(rows, ["group_value"], ["id", "digest", "at_row"]).select(
+    # Written first: ranges are sampled before rows are dealt, and texts are to be read once.
+    leaves = numbered(written(rows, "rows"), ["group_value"], ["id", "digest", "at_row"]).select(
         "tree", "group_value", "pos", "n", "digest", "id", "claim")
     tables = climb(leaves, fan_out, levels)
     names = leaves.where("pos = 0").select("tree", "group_value")

@@ -1,21 +1,24 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of each source form one stream, cut into fixed-length blocks. The mix is a sequence of
-slots dealt to output shards. A pseudorandom permutation of all slots draws how many slots of each
-shard a source gets: multinomial counts drawn without replacement, so that shards vary at random
-while totals meet the targets. A source's slots take its blocks through a pseudorandom permutation
-of its own, a new one each time the source is used up. Documents and slots meet on (source, block).
+slots dealt to output shards. Every slot draws its source at random by target, so the counts of a
+shard are multinomial. A source drawn more often than its target allows gives its last slots up, and
+sources drawn too seldom take them, so totals meet the targets to the word. A source's slots take
+its blocks through a pseudorandom permutation of its own, a new one each time the source is used up.
+Documents and slots meet on (source, block).
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casefuse.llm.common import WORD, mix64, row_order, unpacked, written
+from casefuse.llm.common import WORD, mix64, numbered, row_order, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words of a block, blocks of an output shard, and the parts a source is numbered in.
-BLOCK, SHARD_SLOTS, PARTS, RUN = 256, 4096, 1024, 4096
+BLOCK, SHARD_SLOTS, PARTS = 256, 4096, 1024
+#: Tickets of a bin in which draws look for their source.
+BIN = 64
 
 
 def n_words(text: Column) -> Column:
@@ -49,29 +52,29 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     """`source, sid, source_size, weight, target` of every source.
 
     Sources in code-point order, null last, get the weights in turn and share all words by weight; a
-    target is at most `most` times its source, and what is over goes to the others by weight. The
-    share per weight that remains is found at once: with sources ordered by the share at which they
-    are full, it is the first that its own source can take. One row per source is all that is
-    gathered in one place.
+    target is at most `most` times its source, and what is over goes to the others by weight, again
+    and again until none is above. Each such round is one aggregate over the sources, of which three
+    numbers reach the driver; sources themselves are numbered by ranges, however many there are.
     """
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everywhere = Window.partitionBy()
-    named = sizes.withColumn("sid", F.row_number().over(Window.orderBy(
-        F.col("source").asc_nulls_last())) - 1)
+    named = numbered(sizes.withColumn("last", F.col("source").isNull()), [], ["last", "source"])
     turn = F.array(*[F.lit(w) for w in weights])
-    named = named.withColumn("weight", F.element_at(turn, F.pmod("sid", F.lit(len(weights))) + 1))
-    named = named.withColumn("full", most * F.col("source_size") / F.col("weight"))
-    by_full = Window.orderBy("full", "sid")
-    taken = F.sum(most * F.col("source_size")).over(by_full) - most * F.col("source_size")
-    left = F.sum("weight").over(everywhere) - F.sum("weight").over(by_full) + F.col("weight")
-    share = (F.sum("source_size").over(everywhere) - taken) / left
-    named = named.withColumn("share", share)
-    able = F.when(F.col("share") <= F.col("full"), F.struct("full", "sid"))
-    level = F.min_by("share", able).over(everywhere)
-    return named.withColumn("level", level).select(
-        "source", F.col("sid").cast("long").alias("sid"), "source_size", "weight",
-        F.least(most * F.col("source_size").cast("double"),
-                F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
+    named = written(named.select(
+        "source", F.col("pos").alias("sid"), "source_size",
+        F.element_at(turn, (F.pmod("pos", F.lit(len(weights))) + 1).cast("int")).alias("weight")),
+        "sources")
+    size, weight = F.col("source_size"), F.col("weight")
+    level, full_before = 0.0, -1
+    while True:
+        full = most * size < F.lit(level) * weight
+        seen = named.agg(F.sum(size).alias("all"), F.count_if(full).alias("full"), F.sum(
+            F.when(full, most * size).otherwise(0)).alias("taken"), F.sum(
+            F.when(full, 0).otherwise(weight)).alias("left")).first()
+        if seen["full"] == full_before or not seen["left"]:
+            break
+        level, full_before = (seen["all"] - seen["taken"]) / seen["left"], seen["full"]
+    return named.select("source", "sid", "source_size", "weight", F.least(
+        most * size.cast("double"), F.lit(level) * weight).alias("target"))
 
 
 def sized_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
@@ -103,12 +106,48 @@ def streams(sized: DataFrame, sources: DataFrame) -> DataFrame:
         "at", "sid", "size", (F.col("before") + F.col("inner")).alias("start"))
 
 
+def draws(sources: DataFrame, total: int, seed: int = 0) -> DataFrame:
+    """`slot, sid`: a source for each of `total` slots, drawn independently by its `n`.
+
+    A slot draws one of `total` tickets, and source s holds the `n` tickets from its `pos` on. Both
+    meet in bins of BIN tickets, so no pair is looked at that lies farther apart, and the number of
+    rows is that of slots, bins and sources.
+    """
+    slots_ = sources.sparkSession.range(total).select(
+        F.col("id").alias("slot"), F.pmod(mix64(F.col("id"), seed=seed + 211), F.lit(total)).alias(
+            "ticket")).withColumn("bin", F.floor(F.col("ticket") / F.lit(BIN)))
+    first, last = F.floor(F.col("pos") / F.lit(BIN)), F.floor((F.col("pos") + F.col("n") - 1) / F.lit(BIN))
+    held = sources.select("sid", "pos", "n", F.explode(F.sequence(first, last)).alias("bin"))
+    # Written first: a plan can't tell how many bins come out of a few sources.
+    return slots_.join(written(held, "tickets"), "bin").where(
+        (F.col("ticket") >= F.col("pos")) & (F.col("ticket") < F.col("pos") + F.col("n"))).select(
+        "slot", "sid")
+
+
+def settled(drawn: DataFrame, sources: DataFrame) -> DataFrame:
+    """`slot, sid, k`: draws with their number within the source, made to agree with its `n`.
+
+    Draws from the n-th on are given up; they go in order to the sources that lack some.
+    """
+    drawn = numbered(drawn, ["sid"], ["slot"]).select(
+        "slot", "sid", F.col("pos").alias("k"), F.col("n").alias("drawn"))
+    rows = written(drawn.join(sources.select("sid", "n"), "sid"), "drawn")
+    kept = rows.where("k < n").select("slot", "sid", "k")
+    got = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("got"))
+    lacking = sources.select("sid", "n").join(got, "sid", "left").select(
+        "sid", F.coalesce("got", F.lit(0)).alias("got"), "n").where("got < n")
+    lacking = lacking.select("sid", F.explode(F.sequence("got", F.col("n") - 1)).alias("k"))
+    free = numbered(rows.where("k >= n").select("slot"), [], ["slot"])
+    taken = numbered(lacking, [], ["sid", "k"]).select("sid", "k", F.col("pos").alias("at"))
+    return kept.unionByName(free.join(taken, F.col("pos") == F.col("at")).select("slot", "sid", "k"))
+
+
 def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS,
           seed: int = 0) -> DataFrame:
     """`shard, slot, sid, epoch, block, words`: every slot of the mix and the block it takes.
 
     A source is used up in epochs; the last one stops at the target, to the word. A last block that
-    is not full stays last in its epoch. Slots are made in runs of RUN by many tasks.
+    is not full stays last in its epoch.
     """
     size, goal = F.col("source_size"), F.round("target").cast("long")
     s = sources.where(size > 0).select(
@@ -116,22 +155,18 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
         F.floor(size / F.lit(block)).cast("long").alias("full"),
         F.floor(goal / size).cast("long").alias("epochs"), goal.alias("goal"))
     s = s.withColumn("rest", F.col("goal") - F.col("epochs") * F.col("words_all"))
-    s = s.withColumn("n", F.col("epochs") * F.col("blocks") + F.ceil(
-        F.col("rest") / F.lit(block)).cast("long"))
-    s = s.withColumn("first", F.sum("n").over(Window.orderBy("sid")) - F.col("n"))
-    s = s.withColumn("n_all", F.sum("n").over(Window.partitionBy())).where("n > 0")
-    runs = s.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(
-        (F.col("n") - 1) / F.lit(RUN)).cast("long")))).repartition("sid", "run")
-    each = runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN, F.least(
-        F.col("run") * RUN + (RUN - 1), F.col("n") - 1))))
+    s = s.withColumn("n_slots", F.col("epochs") * F.col("blocks") + F.ceil(
+        F.col("rest") / F.lit(block)).cast("long")).where("n_slots > 0")
+    s = numbered(s, [], ["sid"], "n_slots").drop("n").withColumnRenamed("n_slots", "n")
+    s, seen = written(s, "sources", total=F.sum("n"))
+    drawn = draws(s, seen["total"] or 0, seed)
+    each = settled(drawn, s).withColumnRenamed("slot", "place").join(s.drop("pos", "n"), "sid")
     each = each.withColumn("epoch", F.floor(F.col("k") / F.col("blocks")).cast("long")).withColumn(
         "q", F.col("k") - F.col("epoch") * F.col("blocks"))
     own = F.when(F.col("q") < F.col("full"), permuted(
         F.col("q"), F.col("full"), F.col("sid"), F.col("epoch"), seed=seed + 101)).otherwise(
         F.col("q"))
-    place = permuted(F.col("first") + F.col("k"), F.col("n_all"), seed=seed + 211)
     until = F.when(F.col("epoch") < F.col("epochs"), F.col("words_all")).otherwise(F.col("rest"))
-    each = each.withColumn("place", place)
     return each.select(
         F.floor(F.col("place") / F.lit(shard_slots)).cast("long").alias("shard"),
         F.pmod("place", F.lit(shard_slots)).alias("slot"), "sid", "epoch", own.alias("block"),

@@ -23,28 +23,52 @@ END_ID = 2
 GROUP_TOKENS, GROUP_PIECES = 1 << 24, 1 << 18
 #: Words remembered by a worker, twice over (a full memory becomes the older one).
 WORDS_KEPT = 400_000
+#: Marks that are cut off behind letters, and the first character behind the letters meant.
+MARKS, LATIN_END = ".,;:!?", "\u0100"
 
 
 class WordMemory:
     """Token ids of white-space-free chunks, as little-endian 32-bit bytes.
 
-    The tokenizer never joins across white space, so a text's ids are those of its chunks in turn.
+    The tokenizer never joins across white space, and its added tokens hold none, so a text's ids
+    are those of its chunks in turn. It ignores case and cuts between a letter and a punctuation
+    mark, so a chunk of Latin letters and marks behind them is put together from its two parts.
     """
 
     _loaded = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
         self.new, self.old = {}, {}
 
     @classmethod
-    def load(cls, path: str) -> "WordMemory":
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+    def load(cls, path: str, plain_specials: bool = False) -> "WordMemory":
+        key = path, plain_specials
+        if key not in cls._loaded:
+            cls._loaded[key] = cls(path, plain_specials)
+        return cls._loaded[key]
+
+    def _ids(self, chunks: list) -> dict:
+        """Ids of distinct chunks that are not remembered."""
+        found, parts = {}, {}
+        for chunk in chunks:
+            text = chunk.decode()
+            letters = text.rstrip(MARKS)
+            if letters.isalpha() and max(letters) < LATIN_END:
+                parts[chunk] = letters.lower(), text[len(letters):]
+            else:
+                parts[chunk] = text, ""
+        wanted = list(set().union(*parts.values()) - {""})
+        for i in range(0, len(wanted), 4096):
+            some = wanted[i:i + 4096]
+            for text, one in zip(some, self.tokenizer.encode_batch_fast(
+                    some, add_special_tokens=False)):
+                found[text] = np.array(one.ids, "<u4").tobytes()
+        found[""] = b""
+        return {chunk: found[a] + found[b] for chunk, (a, b) in parts.items()}
 
     def encode(self, texts: list) -> list:
         """Ids of each text (bytes), as bytes of 32-bit numbers."""
@@ -56,12 +80,7 @@ class WordMemory:
                     self.new[word] = self.old[word]
                 else:
                     unknown.append(word)
-        for i in range(0, len(unknown), 4096):
-            some = unknown[i:i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some],
-                                                     add_special_tokens=False)
-            for word, one in zip(some, found):
-                self.new[word] = np.array(one.ids, "<u4").tobytes()
+        self.new.update(self._ids(unknown))
         known = self.new
         out = [b"".join([known[w] for w in words]) for words in split]
         if len(known) > WORDS_KEPT:
@@ -88,7 +107,7 @@ def _some(texts: list, size: int = 1 << 22):
 
 
 def tokenised(text: Column, path: str, window: int = WINDOW, end_id: int = END_ID,
-              keep_ids: bool = False) -> Column:
+              keep_ids: bool = False, plain_specials: bool = False) -> Column:
     """Array of pieces (start, length, ids_crc32 and, if asked for, ids) of a text and its end id."""
     fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     kind = "start: long, length: long, ids_crc32: long"
@@ -99,7 +118,7 @@ def tokenised(text: Column, path: str, window: int = WINDOW, end_id: int = END_I
 
     @F.arrow_udf(f"array<struct<{kind}>>")
     def pieces(texts: pa.Array) -> pa.Array:
-        memory, columns, offsets = WordMemory.load(path), [[] for _ in fields], [0]
+        memory, columns, offsets = WordMemory.load(path, plain_specials), [[] for _ in fields], [0]
         for run in _some([t or b"" for t in utf8(texts)]):
             for ids in memory.encode(run):
                 for start, part in cut(ids + end, window):
@@ -172,16 +191,18 @@ def packed_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-         window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+         window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False,
+         plain_specials: bool = False) -> DataFrame:
     """Pieces of all documents with their place: `doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset` (and `ids`).
 
-    `tokenizer` is the path of a tokenizer file that every executor can read. A null or blank text
+    `tokenizer` is the path of a tokenizer file that every executor can read. The strings of its
+    added tokens become these tokens, with `plain_specials` they are ordinary text. A null or blank text
     is its end id alone. Repeated rows are packed each for itself, null ids are kept, an empty
     table gives no rows, further columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), row_order(docs).alias("at"), tokenised(
-        F.col(text_col), tokenizer, window, end_id, keep_ids).alias("pieces"))
+        F.col(text_col), tokenizer, window, end_id, keep_ids, plain_specials).alias("pieces"))
     rows = rows.select("doc_id", "at", F.aggregate(
         "pieces", F.lit(0).cast("long"), lambda n, p: n + p["length"]).alias("doc_tokens"),
         F.explode("pieces").alias("p")).select("doc_id", "at", "p.*", "doc_tokens")

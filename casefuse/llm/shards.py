@@ -7,42 +7,53 @@ node's range, the cell that holds the cut is divided into cells again, and rows
 dimension are divided by a hash, until the cell at the cut is too small to matter. Nodes of a level
 are treated together, and their cells stay in Spark: neither nodes nor rows reach the driver.
 
-Rows of equal text stay together unless they outweigh a part of a shard; such a group is dealt into
-parts first, so that no group is too heavy to place.
+Text dimensions count by the rank of their values, all of them, so that values that begin alike are
+as far apart as others. Rows of equal text stay together unless they outweigh a given share of a
+shard; such a group is dealt into parts first, so that no group is too heavy to place.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casefuse.llm.common import mix64, row_order, written
+from casefuse.llm.common import numbered as in_order
 
 OVERHEAD = 16
 #: Cells a range is divided into at a time, and the numbering parts of a shard.
 CELLS, PARTS = 2048, 256
 #: A cut may be off by this share of a shard; a group may weigh this share before it is dealt out.
-TOLERANCE, GROUP = 0.0005, 0.02
+TOLERANCE, GROUP_SHARE = 0.0005, 0.02
 _HASH = 1 << 31
 
 
-def place(value: Column, kind: str) -> Column:
-    """A metadata value as a number in its order: of a string its first six bytes; null first."""
-    if kind == "string":
-        code = F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6)), 12, "0"), 16, 10)
-        return F.coalesce(code.cast("double"), F.lit(-1.0))
+def numeric(value: Column) -> Column:
+    """A number as a double, null for NaN."""
     number = value.cast("double")
-    return F.coalesce(F.when(F.isnan(number), F.lit(None)).otherwise(number), F.lit(-1.0))
+    return F.when(~F.isnan(number), number)
+
+
+def ranked(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with a text column replaced by the rank of its value; null comes first.
+
+    Only distinct values are ordered, by ranges, so there may be as many as there are rows.
+    """
+    values = in_order(rows.select(F.col(column).alias("value")).distinct(), [], ["value"])
+    values = written(values.select("value", F.col("pos").cast("double").alias("rank")), "ranks")
+    met = rows.join(values, F.col(column).eqNullSafe(F.col("value")))
+    return met.drop(column, "value").withColumnRenamed("rank", column)
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, dimensions: list) -> DataFrame:
     """Rows without their text: id, size, CRC, a 128-bit digest of the text and the dimensions."""
     text = F.col(f"`{text_col}`")
-    kinds = dict(docs.dtypes)
+    texts = [c for c, kind in docs.dtypes if kind == "string"]
     return docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         mix64(text, seed=1).alias("t1"), mix64(text, seed=2).alias("t2"),
-        *[place(F.col(f"`{c}`"), kinds[c]).alias(f"d{i}") for i, c in enumerate(dimensions)],
+        *[(F.col(f"`{c}`") if c in texts else numeric(F.col(f"`{c}`"))).alias(f"d{i}")
+          for i, c in enumerate(dimensions)],
         row_order(docs).alias("at"))
 
 
@@ -186,23 +197,31 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 def kd_shards(docs: DataFrame, shards: int = None, target_bytes: int = None,
               dimensions: list = ("source", "lang", "n_chars"), id_col: str = "doc_id",
-              text_col: str = "text") -> DataFrame:
+              text_col: str = "text", group_share: float = GROUP_SHARE) -> DataFrame:
     """`doc_id, size, text_crc32, law, shard, slot, grown_shard` of every row.
 
     `shards` is their number; without it leaves are split until they reach `target_bytes`. The law
     is `bytes`: sizes are near equal. A row weighs its UTF-8 bytes and 16. A null text has no bytes
-    and the CRC of an empty one; null and NaN metadata come first; null ids are kept. Repeated rows
-    are rows of one text. An empty table gives no rows; further columns are ignored.
+    and the CRC of an empty one; null and NaN metadata come first; null ids are kept. Rows of equal
+    text share a shard unless they weigh more than `group_share` of one (None: always). Repeated
+    rows are rows of one text. An empty table gives no rows; further columns are ignored.
     """
     dimensions = [d for d in dimensions if d in docs.columns]
     n_dims = max(1, len(dimensions))
     rows = sized(docs, id_col, text_col, dimensions)
     if not dimensions:
         rows = rows.withColumn("d0", F.lit(0.0))
-    rows, seen = written(rows, "sized", total=F.sum("size"))
+    texts = [c for c, kind in rows.dtypes if kind == "string" and c[0] == "d" and c[1:].isdigit()]
+    numbers = [c for c in rows.columns if c[0] == "d" and c[1:].isdigit() and c not in texts]
+    rows, seen = written(rows, "sized", total=F.sum("size"), **{c: F.min(c) for c in numbers})
     total = seen["total"] or 0
+    for c in texts:
+        rows = ranked(rows, c)
+    for c in numbers:
+        rows = rows.withColumn(c, F.coalesce(c, F.lit(float(seen[c] or 0) - 1)))
     shards = shards or max(1, -(-total // target_bytes))
-    dealt, pts = points(rows, n_dims, max(1.0, GROUP * total / shards))
+    dealt, pts = points(rows, n_dims, max(
+        1.0, total if group_share is None else group_share * total / shards))
     leaves = tree(pts, shards, n_dims).select(
         "t1", "t2", "part", F.col("node").cast("int").alias("shard"))
     placed = dealt.join(leaves, ["t1", "t2", "part"]).select(

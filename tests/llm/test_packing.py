@@ -12,10 +12,10 @@ from tests.llm.common import awkward, documents
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def check(rows, texts, window=4096, slack=0.02):
+def check(rows, texts, window=4096, slack=0.02, plain_specials=False):
     """Pieces against a plain encoding of whole texts; rows of one document share a doc_id."""
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain_specials
     want = {}
     for i, text in texts.items():
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
@@ -50,10 +50,13 @@ def test_query_equals_plain_encoding(spark, sf):
 
 def test_awkward_texts(spark):
     texts = [t for _, t, _ in awkward()] + [
-        "I'LL don't 's", "<|endoftext|> x<|startoftext|>", "a b c\x1cd", "İ ΣΑΣ ﬁ é",
+        "I'LL don't 's", "<|endoftext|> x<|startoftext|>", "the end <|endoftext|> of it x<|endoftext|>y.",
+        "Word. WORD, wörd; ÉTÉ!? a...b c.'d can't. 's. ÿ: ŭ. ªº! ß. x.y, İ. ΣΑΣ. e\u0301. \u0301. n\u0303, 5. 5a. a5.", "a b c\x1cd", "İ ΣΑΣ ﬁ é",
         "x" * 30000, "１２ ½ ²"]
     docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
     check(packing.pack(docs, PATH).collect(), dict(enumerate(texts)))
+    plain = packing.pack(docs, PATH, plain_specials=True).collect()
+    check(plain, dict(enumerate(texts)), plain_specials=True)
     assert packing.pack(documents(spark, []), PATH).count() == 0
     twice = packing.pack(documents(spark, [(None, "one two", "s")] * 2), PATH).collect()
     assert [(r.doc_id, r.start) for r in twice] == [(None, 0)] * 2

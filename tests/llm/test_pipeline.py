@@ -4,7 +4,7 @@ from casefuse.llm.common import written
 from tests.llm.common import documents, words
 from tests.llm.test_mixing import targets
 from tests.llm.test_quality import plain
-from tests.llm.test_simhash import expected
+from tests.llm.test_jaccard import kept
 
 
 def test_every_stage_on_its_own_input(spark, sf):
@@ -17,13 +17,13 @@ def test_every_stage_on_its_own_input(spark, sf):
         if name != "packing":
             assert docs.columns == columns
     before, after = rows["quality rules"]
-    kept = {r.doc_id for r in after}
+    good = {r.doc_id for r in after}
     for r in before:
         n, _, symbols, _, repeated = plain(r.text)
         if n < 50 or 100 * repeated > 50 * n:
-            assert r.doc_id not in kept
+            assert r.doc_id not in good
         elif not symbols:
-            assert r.doc_id in kept
+            assert r.doc_id in good
     before, after = rows["line dedup"]
     old = {r.doc_id: r.text for r in before}
     assert {r.doc_id for r in after} == set(old)
@@ -31,8 +31,8 @@ def test_every_stage_on_its_own_input(spark, sf):
         left = iter(old[r.doc_id].split("\n"))
         assert not r.text or all(line in left for line in r.text.split("\n"))
     before, after = rows["near dedup"]
-    want = {c for _, _, c in expected([(r.doc_id, r.text) for r in before])}
-    assert sorted(r.doc_id for r in after) == sorted(want)
+    assert sorted(r.doc_id for r in after) == kept(
+        [r.doc_id for r in before], [r.text for r in before])
     before, after = rows["mix"]
     sizes, got, size = {}, {}, {}
     for r in before:

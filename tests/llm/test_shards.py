@@ -59,3 +59,29 @@ def test_a_cut_separates_values(spark):
     docs = documents(spark, [(i, f"{i:05}" + "y" * (i % 17), f"{i:03}") for i in range(400)])
     got = {r.doc_id: r.shard for r in shards.kd_shards(docs, 2, dimensions=["source"]).collect()}
     assert max(i for i, s in got.items() if s == 0) < min(i for i, s in got.items() if s == 1)
+
+
+def test_values_that_begin_alike_are_told_apart(spark):
+    """One source a shard, whatever their names share, as with eight equal sources."""
+    rows = [(i, f"{i:06}", f"https://www.site{i % 8}.example") for i in range(4000)]
+    got = shards.kd_shards(documents(spark, rows), 8, dimensions=["source"]).collect()
+    held = {(r.shard, rows[r.doc_id][2]) for r in got}
+    assert len(held) == 8
+
+
+def test_null_metadata_come_first_also_before_negative_numbers(spark):
+    df = spark.createDataFrame([(i, f"{i:03}", None if i < 100 else float(-i)) for i in range(200)],
+                               "doc_id long, text string, at double")
+    got = shards.kd_shards(df, 2, dimensions=["at"]).collect()
+    assert {r.doc_id < 100 for r in got if r.shard == 0} == {True}
+
+
+def test_share_of_a_shard_that_equal_texts_may_fill(spark):
+    rows = [(i, f"{i % 20:02}" * 40, "a") for i in range(400)]
+
+    def most(share):
+        where = {}
+        for r in shards.kd_shards(documents(spark, rows), 5, group_share=share).collect():
+            where.setdefault(r.text_crc32, set()).add(r.shard)
+        return max(map(len, where.values()))
+    assert most(None) == 1 and most(0.5) == 1 and most(0.02) > 1
