@@ -166,3 +166,20 @@ def running_height(df: DataFrame, keys: list, seq: str, step: Column, out: str,
     low = F.least("_floor", F.col("_base") + F.col("_low"))
     return joined.withColumn(out, F.col("_base") + F.col("_sum") - low).drop(
         "_k", "_s", "_sum", "_low", "_base", "_floor", "_range", *names)
+
+
+def carried(df: DataFrame, keys: list, seq: str, ties: list, value: str, out: str,
+            rows: int = ROWS) -> DataFrame:
+    """The last non-null `value` (a struct) up to each row of its key, in the order of (seq, ties)."""
+    order = [seq, *ties]
+    df = _ranged(df, keys, F.col(seq), cut_points(df, keys, F.col(seq), rows))
+    df, names = _tagged(df, keys, [F.col("_range")])
+    upto = Window.partitionBy("_k").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    near = df.withColumn("_near", F.last(value, ignorenulls=True).over(upto))
+    edge = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_edge")
+    before = _carry_window(keys, names).rowsBetween(Window.unboundedPreceding, -1)
+    carry = df.groupBy("_k").agg(edge).select(
+        "_k", F.last("_edge", ignorenulls=True).over(before).alias("_carry"))
+    return near.join(carry, "_k").withColumn(out, F.coalesce("_near", "_carry")).drop(
+        "_k", "_near", "_carry", "_range", *names)
