@@ -2,4 +2,4 @@
 
 from bindings.common import QUERIES, SQL  # noqa: F401
 from bindings import (  # noqa: F401
-    auditing, filling, forms, intake, live, measures, parsing, ranges, resolving, stored, voting)
+    auditing, catalogue, filling, forms, intake, live, measures, parsing, ranges, resolving, stored, voting)

@@ -3,7 +3,7 @@
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casefuse import fixed_values as fv
@@ -21,10 +21,24 @@ def _found(text: Column, pattern: str) -> Column:
 
 def first_match(text: Column, rules, default: str) -> Column:
     """Name of the first (name, pattern) rule found in the text."""
+    if not rules:
+        return F.lit(default)
     return let(text, lambda t: reduce(
         lambda acc, r: acc.when(_found(t, r[1]), r[0]), rules, F).otherwise(default))
 
 
+def rules_of(table: DataFrame, most: int = 500) -> list:
+    """(name, pattern) pairs of a table `ord, name, pattern`, in order.
+
+    The rules become a literal CASE chain in every task, so their number is checked before they are
+    read; null patterns never match and are left out.
+    """
+    rows = table.where(F.col("pattern").isNotNull()).orderBy("ord", "name").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return [(r.name, r.pattern) for r in rows]
+
+
 def document_type(text: Column, rules=fv.DOC_TYPE_RULES) -> Column:
     """Document type from its text."""
     return first_match(fold(F.coalesce(text, F.lit(""))), rules, fv.DEFAULT_DOC_TYPE)

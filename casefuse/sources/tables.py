@@ -24,6 +24,37 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_parted(rows: DataFrame, path: str, keys: list, parts: int = 64) -> None:
+    """Add rows to an append-only table that is cut into `part=…` folders by a hash of the key."""
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+    rows.withColumn("part", part).write.mode("append").partitionBy("part").parquet(path)
+
+
+def compact(spark: SparkSession, path: str, keys: list, order: str, gone: str = None) -> list:
+    """Keep the newest row per key of a parted table; the parts that were rewritten.
+
+    Only parts that hold more rows than keys are rewritten, by dynamic partition overwrite; the others
+    are not touched, and readers see the same newest rows before and after. Rows for which `gone`
+    holds (a deletion) go together with what they delete. The newest rows are written elsewhere
+    first, as a table cannot be read and overwritten at once. A part that is left empty keeps its
+    deletions.
+    """
+    log = spark.read.parquet(path)
+    newest = latest(log, ["part", *keys], order)
+    stale = F.count(F.lit(1)) > F.count_distinct(F.struct(*keys))
+    touched = [r.part for r in log.groupBy("part").agg(stale.alias("stale")).where("stale").collect()]
+    if not touched:
+        return []
+    kept = written(newest.where(F.col("part").isin(*touched)), "compacted")
+    if gone:
+        live = kept.where(~F.expr(gone)).select("part").distinct()
+        kept = kept.join(live, "part", "left_semi").where(~F.expr(gone)).unionByName(
+            kept.join(live, "part", "left_anti"))
+    kept.select(*log.columns).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return sorted(touched)
+
+
 def latest(log: DataFrame, keys: list, order: str) -> DataFrame:
     """Newest row per key of an append-only table."""
     rest = [c for c in log.columns if c not in keys]
