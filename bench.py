@@ -23,6 +23,7 @@ HEADLINE = [
     "threshold_islands", "history_list", "change_feed_stream", "edit_replay_stream",
     "live_votes_stream", "merged_candidates", "intruder_flags", "risky_sources", "field_decisions",
     "protected_fields", "autofilled_values", "pending_decisions", "state_counts",
+    "field_values_as_of", "fragments_in_boxes", "failure_windows_stream", "catalogue_matches",
 ]
 
 

@@ -52,7 +52,9 @@ def nonblank(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case, no accents, single spaces, no white space of any kind at the ends."""
-    return strip(F.regexp_replace(F.lower(F.translate(c, _ACCENTED, _PLAIN)), r"\s+", " "))
+    # A text of one byte a character has no accents to look up.
+    plain = F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, _ACCENTED, _PLAIN))
+    return strip(F.regexp_replace(F.lower(plain), r"\s+", " "))
 
 
 def clean_id(c: Column) -> Column:
