@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ GROUP_TOKENS, GROUP_PIECES = 1 << 24, 1 << 18
 #: Words remembered by a worker, twice over (a full memory becomes the older one).
 WORDS_KEPT = 400_000
 #: Marks that are cut off behind letters, and the first character behind the letters meant.
-MARKS, LATIN_END = ".,;:!?", "\u0100"
+MARKS, LATIN_END = b".,;:!?", "\u0100"
 
 
 class WordMemory:
@@ -42,7 +43,7 @@ class WordMemory:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
-        self.new, self.old = {}, {}
+        self.new, self.old, self.parts, self.old_parts = {}, {}, {}, {}
 
     @classmethod
     def load(cls, path: str, plain_specials: bool = False) -> "WordMemory":
@@ -51,41 +52,67 @@ class WordMemory:
             cls._loaded[key] = cls(path, plain_specials)
         return cls._loaded[key]
 
-    def _ids(self, chunks: list) -> dict:
-        """Ids of distinct chunks that are not remembered."""
-        found, parts = {}, {}
-        for chunk in chunks:
-            text = chunk.decode()
-            letters = text.rstrip(MARKS)
-            if letters.isalpha() and max(letters) < LATIN_END:
-                parts[chunk] = letters.lower(), text[len(letters):]
-            else:
-                parts[chunk] = text, ""
-        wanted = list(set().union(*parts.values()) - {""})
+    def _parts(self, chunk: bytes) -> tuple:
+        """(letters in small letters, marks behind them), or (the chunk, nothing)."""
+        letters = chunk.rstrip(MARKS)
+        if letters.isalpha():    # ASCII letters only
+            return letters.lower(), chunk[len(letters):]
+        text = letters.decode()
+        if text.isalpha() and max(text) < LATIN_END:
+            return text.lower().encode(), chunk[len(letters):]
+        return chunk, b""
+
+    def _learn(self, chunks: list) -> None:
+        """Remember the ids of distinct chunks and of their parts."""
+        cut = [self._parts(chunk) for chunk in chunks]
+        parts, old = self.parts, self.old_parts
+        wanted = []
+        for part in set().union(*cut):
+            if part not in parts:
+                if part in old:
+                    parts[part] = old[part]
+                elif part:
+                    wanted.append(part)
         for i in range(0, len(wanted), 4096):
             some = wanted[i:i + 4096]
-            for text, one in zip(some, self.tokenizer.encode_batch_fast(
-                    some, add_special_tokens=False)):
-                found[text] = np.array(one.ids, "<u4").tobytes()
-        found[""] = b""
-        return {chunk: found[a] + found[b] for chunk, (a, b) in parts.items()}
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in some],
+                                                     add_special_tokens=False)
+            for part, one in zip(some, found):
+                parts[part] = np.array(one.ids, "<u4").tobytes()
+        parts[b""] = b""
+        for chunk, (letters, marks) in zip(chunks, cut):
+            self.new[chunk] = parts[letters] + parts[marks]
+        if len(parts) > WORDS_KEPT:
+            self.parts, self.old_parts = {}, parts
 
     def encode(self, texts: list) -> list:
-        """Ids of each text (bytes), as bytes of 32-bit numbers."""
-        split = [t.split() for t in texts]
+        """Ids of each text (bytes), as bytes of 32-bit numbers.
+
+        Arrow cuts the texts and numbers their distinct chunks; only those are looked up one by one.
+        """
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        chunks = numbered.dictionary.cast(pa.large_binary()).to_pylist()
+        new, old = self.new, self.old
         unknown = []
-        for word in set().union(*split):
-            if word not in self.new:
-                if word in self.old:
-                    self.new[word] = self.old[word]
+        for chunk in chunks:
+            if chunk not in new:
+                if chunk in old:
+                    new[chunk] = old[chunk]
                 else:
-                    unknown.append(word)
-        self.new.update(self._ids(unknown))
-        known = self.new
-        out = [b"".join([known[w] for w in words]) for words in split]
-        if len(known) > WORDS_KEPT:
-            self.new, self.old = {}, known
-        return out
+                    unknown.append(chunk)
+        self._learn(unknown)
+        known = [new[chunk] for chunk in chunks]
+        if len(new) > WORDS_KEPT:
+            self.new, self.old = {}, new
+        ids = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at = numbered.indices.to_numpy()
+        length, first = size[at], (np.cumsum(size) - size)[at]
+        upto = np.append(0, np.cumsum(length))
+        whole = ids[np.repeat(first - upto[:-1], length) + np.arange(upto[-1])]
+        ends = upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [whole[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def cut(ids: bytes, window: int) -> list:
