@@ -1,8 +1,8 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of each source form one stream, cut into fixed-length blocks. The mix is a sequence of
-slots dealt to output shards. Every slot draws its source at random by target, so the counts of a
-shard are multinomial. A source drawn more often than its target allows gives its last slots up, and
+slots dealt to output shards. Every shard draws multinomial counts of its sources, by target, and
+deals its slots to them at random. A source drawn more often than its target allows gives its last slots up, and
 sources drawn too seldom take them, so totals meet the targets to the word. A source's slots take
 its blocks through a pseudorandom permutation of its own, a new one each time the source is used up.
 Documents and slots meet on (source, block).
@@ -106,40 +106,50 @@ def streams(sized: DataFrame, sources: DataFrame) -> DataFrame:
         "at", "sid", "size", (F.col("before") + F.col("inner")).alias("start"))
 
 
-def draws(sources: DataFrame, total: int, seed: int = 0) -> DataFrame:
-    """`slot, sid`: a source for each of `total` slots, drawn independently by its `n`.
+def draws(sources: DataFrame, total: int, shard_slots: int, seed: int = 0) -> DataFrame:
+    """`shard, sid, c`: multinomial counts, of `total` slots that draw their source by its `n`.
 
     A slot draws one of `total` tickets, and source s holds the `n` tickets from its `pos` on. Both
-    meet in bins of BIN tickets, so no pair is looked at that lies farther apart, and the number of
-    rows is that of slots, bins and sources.
+    meet in bins of BIN tickets, so no pair is looked at that lies farther apart. Draws are counted
+    before they are shuffled.
     """
     slots_ = sources.sparkSession.range(total).select(
-        F.col("id").alias("slot"), F.pmod(mix64(F.col("id"), seed=seed + 211), F.lit(total)).alias(
-            "ticket")).withColumn("bin", F.floor(F.col("ticket") / F.lit(BIN)))
+        F.floor(F.col("id") / F.lit(shard_slots)).alias("shard"), F.pmod(
+            mix64(F.col("id"), seed=seed + 211), F.lit(total)).alias("ticket"))
+    slots_ = slots_.withColumn("bin", F.floor(F.col("ticket") / F.lit(BIN)))
     first, last = F.floor(F.col("pos") / F.lit(BIN)), F.floor((F.col("pos") + F.col("n") - 1) / F.lit(BIN))
     held = sources.select("sid", "pos", "n", F.explode(F.sequence(first, last)).alias("bin"))
     # Written first: a plan can't tell how many bins come out of a few sources.
     return slots_.join(written(held, "tickets"), "bin").where(
-        (F.col("ticket") >= F.col("pos")) & (F.col("ticket") < F.col("pos") + F.col("n"))).select(
-        "slot", "sid")
+        (F.col("ticket") >= F.col("pos")) & (F.col("ticket") < F.col("pos") + F.col("n"))).groupBy(
+        "shard", "sid").agg(F.count(F.lit(1)).alias("c"))
 
 
 def settled(drawn: DataFrame, sources: DataFrame) -> DataFrame:
-    """`slot, sid, k`: draws with their number within the source, made to agree with its `n`.
+    """`shard, sid, k, kept, place`: `kept` slots of a shard from place `place` on, which take the
+    source's blocks from `k` on.
 
-    Draws from the n-th on are given up; they go in order to the sources that lack some.
+    Draws of a source beyond its `n` are given up, the last shards first; they go in order to the
+    sources that lack some. A shard's places are dealt in the order of its sources.
     """
-    drawn = numbered(drawn, ["sid"], ["slot"]).select(
-        "slot", "sid", F.col("pos").alias("k"), F.col("n").alias("drawn"))
-    rows = written(drawn.join(sources.select("sid", "n"), "sid"), "drawn")
-    kept = rows.where("k < n").select("slot", "sid", "k")
-    got = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("got"))
+    in_shard = Window.partitionBy("shard").orderBy("sid").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    rows = numbered(drawn, ["sid"], ["shard"], "c").withColumnRenamed("n", "got").join(
+        sources.select("sid", "n"), "sid")
+    kept = F.greatest(F.lit(0), F.least("c", F.col("n") - F.col("pos")))
+    rows = written(rows.select("shard", "sid", F.col("pos").alias("k"), "c", kept.alias("kept"), (
+        F.sum("c").over(in_shard) - F.col("c")).alias("place"), "got"), "drawn")
+    got = rows.groupBy("sid").agg(F.max("got").alias("got"))
     lacking = sources.select("sid", "n").join(got, "sid", "left").select(
         "sid", F.coalesce("got", F.lit(0)).alias("got"), "n").where("got < n")
     lacking = lacking.select("sid", F.explode(F.sequence("got", F.col("n") - 1)).alias("k"))
-    free = numbered(rows.where("k >= n").select("slot"), [], ["slot"])
+    free = rows.where("kept < c").select("shard", F.explode(F.sequence(
+        F.col("place") + F.col("kept"), F.col("place") + F.col("c") - 1)).alias("place"))
+    free = numbered(free, [], ["shard", "place"])
     taken = numbered(lacking, [], ["sid", "k"]).select("sid", "k", F.col("pos").alias("at"))
-    return kept.unionByName(free.join(taken, F.col("pos") == F.col("at")).select("slot", "sid", "k"))
+    moved = free.join(taken, F.col("pos") == F.col("at")).select(
+        "shard", "sid", "k", F.lit(1).cast("long").alias("kept"), "place")
+    return rows.where("kept > 0").select("shard", "sid", "k", "kept", "place").unionByName(moved)
 
 
 def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS,
@@ -159,8 +169,13 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
         F.col("rest") / F.lit(block)).cast("long")).where("n_slots > 0")
     s = numbered(s, [], ["sid"], "n_slots").drop("n").withColumnRenamed("n_slots", "n")
     s, seen = written(s, "sources", total=F.sum("n"))
-    drawn = draws(s, seen["total"] or 0, seed)
-    each = settled(drawn, s).withColumnRenamed("slot", "place").join(s.drop("pos", "n"), "sid")
+    total = seen["total"] or 0
+    counts = settled(draws(s, total, shard_slots, seed), s).join(s.drop("pos", "n"), "sid")
+    each = counts.repartition("shard").withColumn("i", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col("kept") - 1)))
+    each = each.withColumn("k", F.col("k") + F.col("i")).withColumn("place", permuted(
+        F.col("place") + F.col("i"), F.least(F.lit(shard_slots), F.lit(total) - F.col(
+            "shard") * F.lit(shard_slots)).cast("long"), F.col("shard"), seed=seed + 307))
     each = each.withColumn("epoch", F.floor(F.col("k") / F.col("blocks")).cast("long")).withColumn(
         "q", F.col("k") - F.col("epoch") * F.col("blocks"))
     own = F.when(F.col("q") < F.col("full"), permuted(
@@ -168,8 +183,7 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
         F.col("q"))
     until = F.when(F.col("epoch") < F.col("epochs"), F.col("words_all")).otherwise(F.col("rest"))
     return each.select(
-        F.floor(F.col("place") / F.lit(shard_slots)).cast("long").alias("shard"),
-        F.pmod("place", F.lit(shard_slots)).alias("slot"), "sid", "epoch", own.alias("block"),
+        "shard", F.col("place").alias("slot"), "sid", "epoch", own.alias("block"),
         F.least(F.lit(block).cast("long"), until - F.col("q") * F.lit(block)).alias("words"))
 
 

@@ -76,3 +76,19 @@ def test_hadamard_keeps_lengths():
     y = np.random.default_rng(0).normal(size=(5, 32))
     assert np.allclose(np.linalg.norm(hadamard(y), axis=1), np.linalg.norm(y, axis=1))
     assert np.allclose(hadamard(hadamard(y)), y)
+
+
+def test_settings_follow_the_count_and_keep_recall():
+    settings = [Hashing.for_count(n, 64) for n in (0, 1, 1 << 17, 1 << 18, 1 << 24, 1 << 26, 1 << 33)]
+    assert [(h.rotations, h.tables) for h in settings] == [
+        (3, 10), (3, 10), (3, 10), (4, 17), (4, 17), (5, 25), (6, 36)]
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z = rng.normal(size=a.shape)
+    z -= (z * a).sum(1, keepdims=True) * a
+    b = 0.95 * a + np.sqrt(1 - 0.95 ** 2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for how in (settings[0], settings[3], settings[5]):
+        (held_a, asked_a), (held_b, asked_b) = how.codes(a), how.codes(b)
+        met = (asked_a == held_b[:, :, None]).any((1, 2)) | (asked_b == held_a[:, :, None]).any((1, 2))
+        assert met.mean() >= 0.999
