@@ -22,8 +22,8 @@ WINDOW = 4096
 END_ID = 2
 #: A group packs about this many tokens, and at most about this many pieces.
 GROUP_TOKENS, GROUP_PIECES = 1 << 24, 1 << 18
-#: Words remembered by a worker, twice over (a full memory becomes the older one).
-WORDS_KEPT = 400_000
+#: Chunks and parts of chunks remembered by a worker, each twice over (a full memory becomes the older).
+WORDS_KEPT = 250_000
 #: Marks that are cut off behind letters, and the first character behind the letters meant.
 MARKS, LATIN_END = b".,;:!?", "\u0100"
 
@@ -121,7 +121,7 @@ def cut(ids: bytes, window: int) -> list:
     return [(i // 4, ids[i:i + step]) for i in range(0, len(ids), step)]
 
 
-def _some(texts: list, size: int = 1 << 22):
+def _some(texts: list, size: int = 1 << 21):
     """The texts in runs of about `size` bytes."""
     run, held = [], 0
     for t in texts:
