@@ -7,6 +7,7 @@ groups; a group holds thousands of windows, and only its last few are left under
 """
 
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -52,36 +53,47 @@ class WordMemory:
             cls._loaded[key] = cls(path, plain_specials)
         return cls._loaded[key]
 
-    def _parts(self, chunk: bytes) -> tuple:
-        """(letters in small letters, marks behind them), or (the chunk, nothing)."""
-        letters = chunk.rstrip(MARKS)
-        if letters.isalpha():    # ASCII letters only
-            return letters.lower(), chunk[len(letters):]
-        text = letters.decode()
-        if text.isalpha() and max(text) < LATIN_END:
-            return text.lower().encode(), chunk[len(letters):]
-        return chunk, b""
-
     def _learn(self, chunks: list) -> None:
-        """Remember the ids of distinct chunks and of their parts."""
-        cut = [self._parts(chunk) for chunk in chunks]
+        """Remember the ids of distinct chunks and of their parts.
+
+        These are letters in small letters and marks behind them, or the chunk and nothing.
+        """
         parts, old = self.parts, self.old_parts
-        wanted = []
-        for part in set().union(*cut):
+        front, behind, wanted = [], [], {}
+        for chunk in chunks:
+            part = chunk.rstrip(MARKS)
+            marks = chunk[len(part):]
+            if part.isalpha():    # ASCII letters only
+                part = part.lower()
+            else:
+                text = part.decode()
+                if text.isalpha() and max(text) < LATIN_END:
+                    part = text.lower().encode()
+                else:
+                    part, marks = chunk, b""
+            front.append(part)
+            behind.append(marks)
+            if part not in parts:
+                wanted[part] = None
+        for part in set(behind):
             if part not in parts:
-                if part in old:
-                    parts[part] = old[part]
-                elif part:
-                    wanted.append(part)
+                wanted[part] = None
+        wanted.pop(b"", None)
+        if old:
+            parts.update([(part, old[part]) for part in wanted if part in old])
+            wanted = [part for part in wanted if part not in old]
+        else:
+            wanted = list(wanted)
         for i in range(0, len(wanted), 4096):
             some = wanted[i:i + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in some],
                                                      add_special_tokens=False)
             for part, one in zip(some, found):
-                parts[part] = np.array(one.ids, "<u4").tobytes()
+                parts[part] = struct.pack(f"<{len(ids := one.ids)}I", *ids)
         parts[b""] = b""
-        for chunk, (letters, marks) in zip(chunks, cut):
-            self.new[chunk] = parts[letters] + parts[marks]
+        new = self.new
+        for chunk, letters, marks in zip(chunks, front, behind):
+            new[chunk] = parts[letters] + parts[marks] if marks else parts[letters]
         if len(parts) > WORDS_KEPT:
             self.parts, self.old_parts = {}, parts
 
