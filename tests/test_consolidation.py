@@ -79,3 +79,19 @@ def test_decisions_are_computed_once_for_filling(spark):
     assert {(r.field, r.value, r.via) for r in values.collect()} == {
         ("Dirección", "Calle A", "Dirección"), ("CP", "46001", "Dirección")}
     assert scans(resolve.autofill(decisions)) == 1
+
+
+def test_texts_behind_the_object_and_nested_members_are_found_by_counting(spark):
+    whole = '{"sugerencias":{"CP":"1"},"paquetes":[{"tipo":"t","datos":{"a":"b"}}]}'
+    texts = {
+        whole: True, f"vea {whole} fin": True, whole + "}": False, whole + " x}": False, whole + "]}": False,
+        whole + whole: False, whole + " {}": False, whole.replace('"1"', '"{1"'): True,
+        whole.replace('"1"', '"1}"'): True, whole.replace('"1"', '"]["'): True,
+        whole.replace('"1"', '{"x":1}'): False, whole.replace('"1"', "[1]"): False,
+        whole.replace('"1"', '"1","y":null'): True, whole.replace('{"a":"b"}', "null"): True,
+        '{"alternativas":{"a":[{"valor":"v"}],"b":[]},"z":[{}]}': True, "{}": True, "{": False, "}{": False,
+        whole.replace('[{"tipo"', '[null,{"tipo"'): False,
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.ok for r in rows.select("i", replies.decode_reply(F.col("text")).isNotNull().alias("ok")).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
