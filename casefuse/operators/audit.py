@@ -1,5 +1,7 @@
 """Column-quality audit over `(case_id, field, value)`."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,9 +89,30 @@ def pass_rates_by_level(audited: DataFrame) -> DataFrame:
 
 
 def state_cube(decisions: DataFrame) -> DataFrame:
-    """Number of fields per section and state, per section, per state and of all (`level` 0 to 3)."""
-    rows = decisions.withColumn("section", section_of(F.col("field")))
-    return rows.cube("section", "state").agg(
-        F.grouping_id("section", "state").alias("level"), F.count(F.lit(1)).alias("n_fields"),
-        F.count_distinct("case_id").alias("n_cases")).select(
-        "level", "section", "state", "n_fields", "n_cases")
+    """Number of fields per section and state, per section, per state and of all (`level` 0 to 3).
+
+    Sections come from the catalogue, so each has a column of its own: fields are counted once per
+    case and state, these rows per case, and cases are rows with a count. No row is repeated for a
+    level and no distinct cases are looked for.
+    """
+    sections = [*dict.fromkeys(row[2] for row in fv.FIELD_CATALOG if row[2]), None]
+    names = [f"n{i}" for i in range(len(sections))]
+    held = decisions.select("case_id", "state", section_of(F.col("field")).alias("section")).groupBy(
+        "case_id", "state").agg(*[F.count_if(F.col("section").eqNullSafe(F.lit(s))).alias(n)
+                                  for s, n in zip(sections, names)])
+    cases = held.groupBy("case_id").agg(*[F.sum(n).alias(n) for n in names])
+
+    def levels(rows: DataFrame, level: int, *by) -> DataFrame:
+        """The level of single sections, and of all of them (two above)."""
+        def cell(at, section, n):
+            return F.struct(F.lit(at).alias("level"), F.lit(section).cast("string").alias("section"),
+                            F.sum(n).alias("n_fields"),
+                            F.count_if((n > 0) & F.col("case_id").isNotNull()).alias("n_cases"))
+
+        cells = [cell(level, s, F.col(n)) for s, n in zip(sections, names)]
+        cells.append(cell(level + 2, None, reduce(lambda a, b: a + b, map(F.col, names))))
+        return rows.groupBy(*by).agg(F.array(*cells).alias("cells")).select(*by, F.explode("cells").alias("c"))
+
+    every = levels(held, 0, "state").unionByName(levels(cases, 1), allowMissingColumns=True)
+    return every.where("c.n_fields > 0").select(
+        F.col("c.level").cast("long").alias("level"), "c.section", "state", "c.n_fields", "c.n_cases")

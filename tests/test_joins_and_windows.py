@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from casefuse import fixed_values as fv
 from casefuse.operators import audit, joins, sketches
 from casefuse.session import shared_dir
 from casefuse.streaming import windows
@@ -103,6 +104,25 @@ def test_merged_sketches_equal_the_whole(spark):
         assert all(abs(x - 1000 * p) < 10 for x, p in zip(merged[g].q, (0.1, 0.5, 0.9)))
 
 
+def test_state_cube_counts_cases_without_repeating_rows(spark):
+    rnd, fields = random.Random(3), ["NIE", "CP", "CP_2", "Teléfono", "Fecha", "other", None]
+    rows = [(rnd.choice([1, 1, 1, *range(40), None]), rnd.choice(fields), rnd.choice(["AI", "WARN", "own", None])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "case_id long, field string, state string")
+    sections = {row[0]: row[2] for row in fv.FIELD_CATALOG}
+    want = {}
+    for case, field, state in rows:
+        section = sections.get(field)
+        for key in ((0, section, state), (1, section, None), (2, None, state), (3, None, None)):
+            cell = want.setdefault(key, [0, set()])
+            cell[0] += 1
+            cell[1] |= {case} - {None}
+    got = audit.state_cube(df)
+    assert {(r.level, r.section, r.state): (r.n_fields, r.n_cases) for r in got.collect()} == {
+        k: (n, len(cases)) for k, (n, cases) in want.items()}
+    assert got.count() == len(want) and "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    assert audit.state_cube(df.where("false")).count() == 0
+
+
 def test_pass_rates_by_level_in_one_expand(spark):
     rows = [(1, "CP", True), (2, "CP", False), (1, "NIE", None), (1, "no such field", True)]
     df = spark.createDataFrame(rows, "case_id long, field string, ok boolean")
