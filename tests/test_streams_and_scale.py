@@ -1,6 +1,7 @@
 import os
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from casefuse.operators import edits as ed
@@ -58,6 +59,15 @@ def test_rows_out_of_order_are_accounted_for_after_a_restart(spark):
     assert late == {(1, 3, "late"), (1, 5, "repeated")}
 
 
+def test_small_frames_of_many_cases_share_one_class_and_keep_their_values():
+    frames = [pd.DataFrame([(1, 2 ** 60 + i, None, {"f": "x"})], columns=["case_id", "seq", "value", "linked"]) for i in range(30)]
+    fresh, late = live.in_order(iter(reversed(frames)), 2 ** 60 + 1)
+    assert len({type(r) for r in fresh}) == 1
+    assert [r.seq for r in fresh] == [2 ** 60 + i for i in range(2, 30)]
+    assert [(r.seq, why) for r, why in late] == [(2 ** 60, "late"), (2 ** 60 + 1, "repeated")]
+    assert {(r.value, r.linked["f"]) for r in fresh} == {(None, "x")}
+
+
 def test_edit_stream_over_batches_equals_brute_force(spark):
     log = _log(11, 120, .45)
     root = shared_dir(spark, "edit-stream")
