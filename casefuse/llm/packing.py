@@ -7,6 +7,7 @@ groups; a group holds thousands of windows, and only its last few are left under
 """
 
 import os
+import re
 import struct
 import zlib
 
@@ -23,10 +24,21 @@ WINDOW = 4096
 END_ID = 2
 #: A group packs about this many tokens, and at most about this many pieces.
 GROUP_TOKENS, GROUP_PIECES = 1 << 24, 1 << 18
-#: Chunks and parts of chunks remembered by a worker, each twice over (a full memory becomes the older).
-WORDS_KEPT = 250_000
-#: Marks that are cut off behind letters, and the first character behind the letters meant.
-MARKS, LATIN_END = b".,;:!?", "\u0100"
+#: Parts of chunks remembered by a worker, twice over (a full memory becomes the older).
+WORDS_KEPT = 500_000
+#: Letters and marks behind them. The apostrophe is left out: the tokenizer cuts `'s` and the like off.
+LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+WORD_AND_MARKS = rf"^(?P<word>[{LATIN}]+)(?P<marks>[.,;:!?*$%&#<>|\"()\[\]]*)$"
+LETTERS = re.compile(rf"[{LATIN}]+")
+#: Words that are tokenised in one text.
+JOINED = 64
+
+
+def _gathered(ids: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the items `at` in turn, and where each begins; `size` are those of all items."""
+    length, first = size[at], (np.cumsum(size) - size)[at]
+    upto = np.append(0, np.cumsum(length))
+    return ids[np.repeat(first - upto[:-1], length) + np.arange(upto[-1])], upto
 
 
 class WordMemory:
@@ -35,6 +47,7 @@ class WordMemory:
     The tokenizer never joins across white space, and its added tokens hold none, so a text's ids
     are those of its chunks in turn. It ignores case and cuts between a letter and a punctuation
     mark, so a chunk of Latin letters and marks behind them is put together from its two parts.
+    Parts are remembered, in small letters, and a chunk that is not made like this is its own part.
     """
 
     _loaded = {}
@@ -44,7 +57,13 @@ class WordMemory:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
-        self.new, self.old, self.parts, self.old_parts = {}, {}, {}, {}
+        self.new, self.old = {}, {}
+        # Tokens that end a word, where the tokenizer marks them.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     @classmethod
     def load(cls, path: str, plain_specials: bool = False) -> "WordMemory":
@@ -53,78 +72,65 @@ class WordMemory:
             cls._loaded[key] = cls(path, plain_specials)
         return cls._loaded[key]
 
-    def _learn(self, chunks: list) -> None:
-        """Remember the ids of distinct chunks and of their parts.
+    def _encoded(self, texts: list) -> list:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids := one.ids)}I", *ids) for one in found]
+
+    def _learn(self, parts: list) -> None:
+        """Remember the ids of new parts.
 
-        These are letters in small letters and marks behind them, or the chunk and nothing.
+        Words of letters are tokenised many in a text, and the tokens that end a word tell them apart.
+        Each word has at most one; where some have none, they are tokenised one by one.
         """
-        parts, old = self.parts, self.old_parts
-        front, behind, wanted = [], [], {}
-        for chunk in chunks:
-            part = chunk.rstrip(MARKS)
-            marks = chunk[len(part):]
-            if part.isalpha():    # ASCII letters only
-                part = part.lower()
+        new, words, others = self.new, [], []
+        for part in parts:
+            (words if LETTERS.fullmatch(part) else others).append(part)
+        for i in range(0, len(words), 64 * JOINED):
+            some = words[i:i + 64 * JOINED]
+            raw = b"".join(self._encoded([" ".join(some[j:j + JOINED]) for j in range(0, len(some), JOINED)]))
+            stops = 4 * np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 4
+            if len(stops) == len(some):
+                at = [0, *stops.tolist()]
+                new.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])]))
             else:
-                text = part.decode()
-                if text.isalpha() and max(text) < LATIN_END:
-                    part = text.lower().encode()
-                else:
-                    part, marks = chunk, b""
-            front.append(part)
-            behind.append(marks)
-            if part not in parts:
-                wanted[part] = None
-        for part in set(behind):
-            if part not in parts:
-                wanted[part] = None
-        wanted.pop(b"", None)
-        if old:
-            parts.update([(part, old[part]) for part in wanted if part in old])
-            wanted = [part for part in wanted if part not in old]
-        else:
-            wanted = list(wanted)
-        for i in range(0, len(wanted), 4096):
-            some = wanted[i:i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some],
-                                                     add_special_tokens=False)
-            for part, one in zip(some, found):
-                parts[part] = struct.pack(f"<{len(ids := one.ids)}I", *ids)
-        parts[b""] = b""
-        new = self.new
-        for chunk, letters, marks in zip(chunks, front, behind):
-            new[chunk] = parts[letters] + parts[marks] if marks else parts[letters]
-        if len(parts) > WORDS_KEPT:
-            self.parts, self.old_parts = {}, parts
+                others += some
+        for i in range(0, len(others), 4096):
+            some = others[i:i + 4096]
+            new.update(zip(some, self._encoded(some)))
 
     def encode(self, texts: list) -> list:
         """Ids of each text (bytes), as bytes of 32-bit numbers.
 
-        Arrow cuts the texts and numbers their distinct chunks; only those are looked up one by one.
+        Arrow cuts the texts, numbers their distinct chunks, cuts these and numbers their distinct
+        parts; only parts are looked up one by one.
         """
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
         numbered = split.flatten().dictionary_encode()
-        chunks = numbered.dictionary.cast(pa.large_binary()).to_pylist()
+        chunks = numbered.dictionary
+        cut_up = pc.extract_regex(chunks, WORD_AND_MARKS)
+        whole = pc.is_null(cut_up)
+        front = pc.if_else(whole, chunks, pc.utf8_lower(pc.struct_field(cut_up, 0)))
+        behind = pc.if_else(whole, "", pc.struct_field(cut_up, 1))
+        both = pa.concat_arrays([front, behind]).dictionary_encode()
+        parts = both.dictionary.to_pylist()
         new, old = self.new, self.old
         unknown = []
-        for chunk in chunks:
-            if chunk not in new:
-                if chunk in old:
-                    new[chunk] = old[chunk]
+        for part in parts:
+            if part not in new:
+                if part in old:
+                    new[part] = old[part]
                 else:
-                    unknown.append(chunk)
+                    unknown.append(part)
         self._learn(unknown)
-        known = [new[chunk] for chunk in chunks]
+        known = [new[part] for part in parts]
         if len(new) > WORDS_KEPT:
             self.new, self.old = {}, new
-        ids = np.frombuffer(b"".join(known), "<u4")
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        at = numbered.indices.to_numpy()
-        length, first = size[at], (np.cumsum(size) - size)[at]
-        upto = np.append(0, np.cumsum(length))
-        whole = ids[np.repeat(first - upto[:-1], length) + np.arange(upto[-1])]
+        halves = both.indices.to_numpy().reshape(2, len(chunks))
+        ids, _ = _gathered(np.frombuffer(b"".join(known), "<u4"), size, halves.T.ravel())
+        ids, upto = _gathered(ids, size[halves].sum(axis=0), numbered.indices.to_numpy())
         ends = upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return [whole[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def cut(ids: bytes, window: int) -> list:
@@ -133,7 +139,7 @@ def cut(ids: bytes, window: int) -> list:
     return [(i // 4, ids[i:i + step]) for i in range(0, len(ids), step)]
 
 
-def _some(texts: list, size: int = 1 << 21):
+def _some(texts: list, size: int = 1 << 22):
     """The texts in runs of about `size` bytes."""
     run, held = [], 0
     for t in texts:

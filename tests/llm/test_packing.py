@@ -97,3 +97,28 @@ def test_memory_of_words_is_bounded(monkeypatch):
     texts = [f"a{i} b{i} common".encode() for i in range(30)]
     assert [memory.encode([t])[0] for t in texts] == packing.WordMemory(PATH).encode(texts)
     assert len(memory.new) + len(memory.old) <= 20
+
+
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_are_tokenised_many_in_a_text_and_marks_once():
+    rnd = np.random.default_rng(1)
+    words = ["".join(rnd.choice(list("aeiounstrlÉÿß"), 7)) for _ in range(2000)]
+    texts = [" ".join(w + m for w in words[i::40]).encode() for i, m in enumerate(["", ".", ",***", "$$$", "&&&"] * 8)]
+    memory, plain = packing.WordMemory(PATH), Tokenizer.from_file(PATH)
+    memory.tokenizer = Counting(memory.tokenizer)
+    want = [np.array(plain.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert memory.encode(texts) == want
+    assert memory.tokenizer.texts < len(words) / 20
+    unmarked = packing.WordMemory(PATH)
+    unmarked.ends[:] = False
+    assert unmarked.encode(texts) == want
