@@ -4,7 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from bindings.common import calls
+from bindings.resolving import COVERAGE
 from casefuse.operators import ordered, replies, resolve, voting
+from casefuse.plans.consolidation import call_issues, counted_calls, identification
 from casefuse.sources.tables import written
 
 REPLY = ("case_id long, doc_id long, engine string, seq long, http_code int, part int, reply struct<"
@@ -95,3 +98,16 @@ def test_texts_behind_the_object_and_nested_members_are_found_by_counting(spark)
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = {r.i: r.ok for r in rows.select("i", replies.decode_reply(F.col("text")).isNotNull().alias("ok")).collect()}
     assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_issues_and_types_need_no_values(spark, sf):
+    rows = calls(spark, sf).where("case_id < 50")
+    whole = written(counted_calls(rows, COVERAGE), "whole")
+    thin = written(counted_calls(rows, COVERAGE, values=False), "thin")
+    assert "paquetes" in whole.schema["reply"].dataType.names
+    assert not {"paquetes", "sugerencias", "alternativas"} & set(thin.schema["reply"].dataType.names)
+    fields = {r.field for r in replies.votes(thin).select("field").distinct().collect()}
+    assert fields and fields <= set(COVERAGE)
+    for made in (call_issues, identification):
+        want = sorted(map(tuple, made(whole).collect()))
+        assert want and sorted(map(tuple, made(thin).collect())) == want
