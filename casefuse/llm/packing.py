@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casefuse.llm.common import mix64, row_order, utf8, written
+from casefuse.llm.common import mix64, row_order, written
 
 WINDOW = 4096
 END_ID = 2
@@ -57,7 +57,9 @@ class WordMemory:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
-        self.new, self.old = {}, {}
+        # Parts in the order they were met, whether they were met lately, their ids and how many.
+        self.parts, self.met = pa.array([], pa.large_string()), np.zeros(0, bool)
+        self.ids, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int32)
         # Tokens that end a word, where the tokenizer marks them.
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
@@ -72,17 +74,27 @@ class WordMemory:
             cls._loaded[key] = cls(path, plain_specials)
         return cls._loaded[key]
 
+    @property
+    def new(self) -> pa.Array:
+        """Parts that were met lately."""
+        return self.parts.filter(pa.array(self.met))
+
+    @property
+    def old(self) -> pa.Array:
+        """Parts that were not met since the last time that some were forgotten."""
+        return self.parts.filter(pa.array(~self.met))
+
     def _encoded(self, texts: list) -> list:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids := one.ids)}I", *ids) for one in found]
 
-    def _learn(self, parts: list) -> None:
-        """Remember the ids of new parts.
+    def _learned(self, parts: list) -> list:
+        """The ids of new parts.
 
         Words of letters are tokenised many in a text, and the tokens that end a word tell them apart.
         Each word has at most one; where some have none, they are tokenised one by one.
         """
-        new, words, others = self.new, [], []
+        new, words, others = {}, [], []
         for part in parts:
             (words if LETTERS.fullmatch(part) else others).append(part)
         for i in range(0, len(words), 64 * JOINED):
@@ -97,38 +109,46 @@ class WordMemory:
         for i in range(0, len(others), 4096):
             some = others[i:i + 4096]
             new.update(zip(some, self._encoded(some)))
+        return [new[part] for part in parts]
+
+    def _remember(self, parts: pa.Array) -> None:
+        """Put new parts behind those that are known."""
+        learned = self._learned(parts.to_pylist())
+        self.parts = pa.concat_arrays([self.parts, parts])
+        self.met = np.append(self.met, np.zeros(len(parts), bool))
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(learned), "<u4"))
+        self.size = np.append(self.size, np.fromiter(map(len, learned), np.int32, len(learned)) // 4)
 
-    def encode(self, texts: list) -> list:
-        """Ids of each text (bytes), as bytes of 32-bit numbers.
+    def _forget(self) -> None:
+        """Keep only parts that were met lately, and from now on count anew what is met."""
+        self.ids, self.parts = self.ids[np.repeat(self.met, self.size)], self.new
+        self.size = self.size[self.met]
+        self.met = np.zeros(len(self.parts), bool)
+
+    def encode(self, texts) -> list:
+        """Ids of each text (bytes, or an Arrow column; null is empty), as bytes of 32-bit numbers.
 
         Arrow cuts the texts, numbers their distinct chunks, cuts these and numbers their distinct
-        parts; only parts are looked up one by one.
+        parts, the known ones first; only new parts become Python strings.
         """
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_binary())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         numbered = split.flatten().dictionary_encode()
         chunks = numbered.dictionary
         cut_up = pc.extract_regex(chunks, WORD_AND_MARKS)
         whole = pc.is_null(cut_up)
         front = pc.if_else(whole, chunks, pc.utf8_lower(pc.struct_field(cut_up, 0)))
         behind = pc.if_else(whole, "", pc.struct_field(cut_up, 1))
-        both = pa.concat_arrays([front, behind]).dictionary_encode()
-        parts = both.dictionary.to_pylist()
-        new, old = self.new, self.old
-        unknown = []
-        for part in parts:
-            if part not in new:
-                if part in old:
-                    new[part] = old[part]
-                else:
-                    unknown.append(part)
-        self._learn(unknown)
-        known = [new[part] for part in parts]
-        if len(new) > WORDS_KEPT:
-            self.new, self.old = {}, new
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        halves = both.indices.to_numpy().reshape(2, len(chunks))
-        ids, _ = _gathered(np.frombuffer(b"".join(known), "<u4"), size, halves.T.ravel())
-        ids, upto = _gathered(ids, size[halves].sum(axis=0), numbered.indices.to_numpy())
+        known = len(self.parts)
+        both = pa.concat_arrays([self.parts, front, behind]).dictionary_encode()
+        self._remember(both.dictionary[known:])
+        halves = both.indices.to_numpy()[known:].reshape(2, len(chunks))
+        self.met[halves] = True
+        ids, _ = _gathered(self.ids, self.size, halves.T.ravel())
+        ids, upto = _gathered(ids, self.size[halves].sum(axis=0), numbered.indices.to_numpy())
+        if np.count_nonzero(self.met) > WORDS_KEPT:
+            self._forget()
         ends = upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
@@ -139,16 +159,13 @@ def cut(ids: bytes, window: int) -> list:
     return [(i // 4, ids[i:i + step]) for i in range(0, len(ids), step)]
 
 
-def _some(texts: list, size: int = 1 << 22):
-    """The texts in runs of about `size` bytes."""
-    run, held = [], 0
-    for t in texts:
-        run.append(t)
-        held += len(t)
-        if held >= size:
-            yield run
-            run, held = [], 0
-    yield run
+def _some(texts: pa.Array, size: int = 1 << 22):
+    """The texts in runs of about `size` bytes, which are not copied."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    last = np.flatnonzero(np.diff(upto // size)) + 1
+    for a, b in zip([0, *last.tolist()], [*last.tolist(), len(texts)]):
+        if a < b:
+            yield texts.slice(a, b - a)
 
 
 def tokenised(text: Column, path: str, window: int = WINDOW, end_id: int = END_ID,
@@ -164,7 +181,7 @@ def tokenised(text: Column, path: str, window: int = WINDOW, end_id: int = END_I
     @F.arrow_udf(f"array<struct<{kind}>>")
     def pieces(texts: pa.Array) -> pa.Array:
         memory, columns, offsets = WordMemory.load(path, plain_specials), [[] for _ in fields], [0]
-        for run in _some([t or b"" for t in utf8(texts)]):
+        for run in _some(texts):
             for ids in memory.encode(run):
                 for start, part in cut(ids + end, window):
                     row = (start, len(part) // 4, zlib.crc32(part))
@@ -175,6 +192,7 @@ def tokenised(text: Column, path: str, window: int = WINDOW, end_id: int = END_I
                 offsets.append(len(columns[0]))
         inner = pa.StructArray.from_arrays(
             [pa.array(c, t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+        pa.default_memory_pool().release_unused()
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)
     return pieces(text)
 

@@ -1,8 +1,10 @@
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from casefuse.llm import packing
@@ -122,3 +124,28 @@ def test_words_are_tokenised_many_in_a_text_and_marks_once():
     unmarked = packing.WordMemory(PATH)
     unmarked.ends[:] = False
     assert unmarked.encode(texts) == want
+
+
+def test_remembered_words_take_few_bytes():
+    rnd = np.random.default_rng(2)
+    texts = [" ".join(map("".join, rnd.choice(list("aeiounstrl"), (20000, 7)))).encode() for _ in range(4)]
+    memory = packing.WordMemory(PATH)
+    memory.encode([b"some first text"])
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    for t in texts:
+        memory.encode([t])
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    words = len(memory.new) + len(memory.old)
+    assert words > 75000 and held < 64 * words
+
+
+def test_runs_hold_all_texts_in_turn():
+    texts = pa.array(["abc", None, "", "x" * 50, None, "de", "f" * 9, "gh"] * 3)
+    runs = list(packing._some(texts[1:], 10))
+    assert len(runs) > 6 and pa.concat_arrays(runs).equals(texts[1:])
+    assert list(packing._some(texts[:0], 10)) == []
+    memory = packing.WordMemory(PATH)
+    plain = memory.encode([(t or "").encode() for t in texts.to_pylist()[1:]])
+    assert [ids for run in runs for ids in memory.encode(run)] == plain
