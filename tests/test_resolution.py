@@ -119,3 +119,44 @@ def test_input_order_does_not_matter(spark):
     a, _ = decide(spark, [company(i, "A1") for i in range(4)], votes)
     b, _ = decide(spark, [company(i, "A1") for i in reversed(range(4))], votes[::-1])
     assert a == b
+
+
+def test_candidates_of_whole_cases_are_not_shuffled(spark, sf):
+    import re
+
+    import bindings
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("autofilled_values", "pending_decisions", "state_counts", "protected_fields"):
+            plan = bindings.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"hashpartitioning\(case_id#\d+L?, (field|doc_id|_grouping)", plan), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_protected_fields_by_case_equal_marker_rows(spark, sf):
+    from bindings import resolving
+    from casefuse.session import tune
+    stages = resolving._Stages(spark, sf)
+    tune(spark)
+    marked, by_case = resolving._protected(spark, sf), stages.protected
+    assert by_case.columns == ["case_id", "fields"]
+    shown = ["case_id", "field", "state", "n_values", "value", "document"]
+    one, two = stages.decisions(marked), stages.decisions(by_case)
+    assert sorted(map(str, one.select(*shown).collect())) == sorted(map(str, two.select(*shown).collect()))
+    filled = [sorted(map(str, resolve.autofill(one, p).collect())) for p in (marked, by_case)]
+    assert filled[0] == filled[1] and filled[0]
+
+
+def test_calls_of_a_hot_case_give_the_same(spark, sf, monkeypatch):
+    from bindings import common, resolving
+    from casefuse.operators import ordered
+
+    def counts():
+        stages = resolving._Stages(spark, sf)
+        return sorted(map(str, resolve.state_counts(stages.decisions(stages.protected)).collect())), stages
+
+    want, _ = counts()
+    monkeypatch.setattr(common, "by_key", lambda *a, **k: ordered.by_key(*a, **{**k, "rows": 12}))
+    got, stages = counts()
+    assert "field" in stages.protected.columns and got == want
