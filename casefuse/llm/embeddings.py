@@ -6,24 +6,30 @@ rotations. Each vector is stored in its own bucket of every table and looked up
 next most likely buckets (one rotation answered by its second or third closest axis). Pairs that
 meet are verified exactly; a pair counts in the first table and direction that finds it, so link
 counts need no list of pairs, and only counts and spanning links leave a task.
+
+One shuffle by bucket tells the rows that meet another class. They get their vectors before they
+are dealt to tiles, so a large bucket is spread over tasks by its members first.
 """
 
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casefuse.llm.common import row_order, written
 from casefuse.llm.components import components
-from casefuse.llm.tiles import by_tile, local_components, tiled, whole_tiles
+from casefuse.llm.tiles import by_tile, dealt, local_components, tile_starts, whole_tiles
 
 
 #: Vectors for which three rotations make buckets enough.
 FEW = 1 << 17
+#: Components that are hashed at once.
+BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -49,46 +55,60 @@ class Hashing:
         found = 0.592 * 0.72 ** more
         return cls(math.ceil(-8.96 / math.log(1 - found)), 3 + more)
 
-    def codes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stored key of every row and table, and the keys looked up (the stored one first)."""
+    @lru_cache(maxsize=4)
+    def signs(self, width: int) -> np.ndarray:
+        """Random signs by table, rotation, round and axis."""
+        rng = np.random.default_rng(self.seed)
+        return rng.choice((-1.0, 1.0), (self.tables, self.rotations, 3, width))
+
+    def table(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Stored key of every row in table `t`, and the keys looked up there (the stored one first).
+
+        Rotated components are rounded to 30 binary places, so that neither the order of additions
+        nor the other rows of a batch show in a key.
+        """
         n, dim = unit.shape
         width = 1 << max(1, (dim - 1).bit_length())
-        rng = np.random.default_rng(self.seed)
-        stored = np.empty((n, self.tables), np.int64)
-        asked = np.empty((n, self.tables, 1 + self.probes), np.int64)
-        for t in range(self.tables):
-            best, second_gap, second, third_gap, third = [], [], [], [], []
-            for _ in range(self.rotations):
-                y = np.zeros((n, width))
-                y[:, :dim] = unit
-                for _ in range(3):
-                    y = hadamard(y * rng.choice((-1.0, 1.0), width))
-                size = np.abs(y)
-                top = np.argpartition(-size, min(3, width - 1), axis=1)[:, :3]
-                top = np.take_along_axis(top, np.argsort(
-                    -np.take_along_axis(size, top, 1), axis=1, kind="stable"), 1)
-                top = np.pad(top, ((0, 0), (0, 3 - top.shape[1])), "edge")
-                value = np.take_along_axis(y, top, 1)
-                code = top + width * (value < 0)
-                gap = np.abs(value[:, :1]) - np.abs(value)
-                best.append(code[:, 0])
-                second.append(code[:, 1])
-                second_gap.append(gap[:, 1])
-                third.append(code[:, 2])
-                third_gap.append(gap[:, 2])
-            base = 2 * width
-            weight = base ** np.arange(self.rotations)
-            home = np.stack(best, 1) @ weight
-            stored[:, t] = home
-            asked[:, t, 0] = home
-            moves = np.concatenate(
-                [(np.stack(alt, 1) - np.stack(best, 1)) * weight for alt in (second, third)], 1)
-            gaps = np.concatenate([np.stack(second_gap, 1), np.stack(third_gap, 1)], 1)
-            order = np.argsort(gaps, axis=1, kind="stable")[:, :self.probes]
-            near = home[:, None] + np.take_along_axis(moves, order, 1)
-            asked[:, t, 1:1 + near.shape[1]] = near
-            asked[:, t, 1 + near.shape[1]:] = home[:, None]
-        return stored, asked
+        rows = np.arange(n)
+        weight = (2 * width) ** np.arange(self.rotations)
+        home, moves, gaps = np.zeros(n, np.int64), [], []
+        for signs, place in zip(self.signs(width)[t], weight):
+            y = rotated(unit, signs)
+            y *= 2.0 ** 30
+            np.rint(y, out=y)
+            size = np.abs(y)
+            axes, sizes = [], []
+            for _ in range(min(3, width)):
+                axes.append(size.argmax(axis=1))
+                sizes.append(size[rows, axes[-1]])
+                size[rows, axes[-1]] = -1
+            hashes = [(axis + width * (y[rows, axis] < 0)) * place for axis in axes]
+            home += hashes[0]
+            moves += [h - hashes[0] for h in hashes[1:]]
+            gaps += [sizes[0] - s for s in sizes[1:]]
+        likely = np.argsort(np.stack(gaps, 1), axis=1, kind="stable")[:, :self.probes]
+        asked = np.repeat(home[:, None], 1 + self.probes, axis=1)
+        asked[:, 1:1 + likely.shape[1]] += np.take_along_axis(np.stack(moves, 1), likely, 1)
+        return home, asked
+
+    def codes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Stored key of every row and table, and the keys looked up (the stored one first)."""
+        stored, asked = zip(*[self.table(unit, t) for t in range(self.tables)])
+        return np.stack(stored, 1), np.stack(asked, 1)
+
+
+def rotated(unit: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """The rows after a round of signs and transform for each row of `signs`.
+
+    Many rows are multiplied by the matrix of all rounds, which takes a transform of `dim` rows.
+    """
+    n, dim = unit.shape
+    few = n < 4 * dim
+    y = np.zeros((n if few else dim, signs.shape[1]))
+    y[:, :dim] = unit if few else np.eye(dim)
+    for sign in signs:
+        y = hadamard(y * sign)
+    return y if few else unit @ y
 
 
 def hadamard(y: np.ndarray) -> np.ndarray:
@@ -115,88 +135,92 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 def usable(vector: Column) -> Column:
     """Neither null nor empty nor zero, all components finite."""
-    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.coalesce((F.size(vector) > 0) & ~odd & F.exists(vector, lambda x: x != 0),
-                      F.lit(False))
+    low, high = F.array_min(vector), F.array_max(vector)
+    whole = ~F.array_contains(vector, F.lit(float("nan")))  # null if a component is
+    return F.coalesce(whole & (low > float("-inf")) & (high < float("inf"))
+                      & ((low != 0) | (high != 0)), F.lit(False))
 
 
 def bucket_rows(classes: DataFrame, how: Hashing) -> DataFrame:
-    """`key, cid, seeker`: where a class is stored (not seeker) and looked up (seeker)."""
+    """`key, cid, seeker`: where a class is stored (not seeker) and looked up (seeker).
+
+    The key is `how.tables` times the code plus the table.
+    """
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 cid = part.column("cid").to_numpy()
-                for i in range(0, len(cid), 2048):
-                    stored, asked = how.codes(_unit(_matrix(part.column("vector")[i:i + 2048], dim)))
+                step = max(1, BLOCK // dim)
+                for i in range(0, len(cid), step):
+                    unit = _unit(_matrix(part.column("vector")[i:i + step], dim))
                     for t in range(how.tables):
-                        probes = asked[:, t]
-                        fresh = np.ones(probes.shape, bool)
-                        fresh[:, 1:] = probes[:, 1:] != probes[:, :1]
-                        row = np.nonzero(fresh)[0]
-                        yield pa.record_batch({
-                            "dim": np.full(len(row), dim, np.int64),
-                            "slot": np.full(len(row), t, np.int64), "code": probes[fresh],
-                            "cid": cid[i:i + 2048][row],
-                            "seeker": np.broadcast_to(np.arange(probes.shape[1]) > 0,
-                                                      probes.shape)[fresh]})
-    rows = classes.select("cid", "vector", F.size("vector").cast("long").alias("dim")).mapInArrow(
-        keys, "dim long, slot long, code long, cid long, seeker boolean")
-    return rows.select(F.xxhash64("dim", "slot", "code").alias("key"), "slot", "cid", "seeker")
-
-
-def _tile_counts(table, starts, threshold, how, keep):
-    """Verified links of whole tiles, handed to `keep(cid, weight, cid, weight)`."""
-    lo, hi, chunk, slot = (table.column(c).to_numpy() for c in ("lo", "hi", "chunk", "slot"))
-    cid, seeker, weight = (table.column(c).to_numpy(zero_copy_only=False)
-                           for c in ("cid", "seeker", "members"))
-    dims = table.column("dim").to_numpy()
-    offsets = np.append(0, np.cumsum(dims))
-    flat = table.column("vector").combine_chunks().flatten().to_numpy(
-        zero_copy_only=False).astype(float)
-    ends = np.append(starts[1:], len(cid))
-    found_q, found_i = [], []
-    for s, e in zip(starts.tolist(), ends.tolist()):
-        for dim in np.unique(dims[s:e]).tolist():  # one, but for two keys of one hash value
-            rows = s + np.flatnonzero(dims[s:e] == dim)
-            unit = np.empty((e - s, dim))
-            unit[rows - s] = _unit(flat[offsets[rows][:, None] + np.arange(dim)])
-            if lo[s] == hi[s]:
-                sides = [(rows, rows)]
-            else:
-                a, b = rows[chunk[rows] == lo[s]], rows[chunk[rows] == hi[s]]
-                sides = [(a, b), (b, a)]
-            for ask, held in sides:
-                held = held[~seeker[held]]
-                if len(held) and len(ask):
-                    q, i = np.nonzero(unit[ask - s] @ unit[held - s].T >= threshold)
-                    q, i = ask[q], held[i]
-                    true = (cid[q] != cid[i]) & (slot[q] == slot[i])
-                    found_q.append(q[true])
-                    found_i.append(i[true])
-    if not found_q:
-        return
-    q, i = np.concatenate(found_q), np.concatenate(found_i)
-    if not len(q):
-        return
-    used = np.unique(np.concatenate([q, i]))
-    stored = np.empty((len(used), how.tables), np.int64)
-    asked = np.empty((len(used), how.tables, 1 + how.probes), np.int64)
-    for dim in np.unique(dims[used]).tolist():
-        these = np.flatnonzero(dims[used] == dim)
-        at = offsets[used[these]][:, None] + np.arange(dim)
-        stored[these], asked[these] = how.codes(_unit(flat[at]))
-    q_at, i_at = np.searchsorted(used, q), np.searchsorted(used, i)
-    for part in range(0, len(q), 1 << 16):
-        p = slice(part, part + (1 << 16))
-        forth = (asked[q_at[p]] == stored[i_at[p]][:, :, None]).any(2)
-        back = (asked[i_at[p]] == stored[q_at[p]][:, :, None]).any(2)
-        here = slot[q[p]]
-        first = (forth | back).argmax(1) == here
-        mine = (cid[q[p]] < cid[i[p]]) | ~back[np.arange(len(here)), here]
-        ok = first & mine
-        keep(cid[q[p]][ok], weight[q[p]][ok], cid[i[p]][ok], weight[i[p]][ok])
+                        home, asked = how.table(unit, t)
+                        fresh = asked != home[:, None]
+                        fresh[:, 0] = True
+                        row, probe = np.nonzero(fresh)
+                        yield pa.record_batch({"key": asked[row, probe] * how.tables + t,
+                                               "cid": cid[i + row], "seeker": probe > 0})
+    rows = classes.select("cid", "vector", F.size("vector").alias("dim"))
+    return rows.mapInArrow(keys, "key long, cid long, seeker boolean")
+
+
+def met_rows(classes: DataFrame, how: Hashing, size: int) -> DataFrame:
+    """The bucket rows that share a bucket with a stored class, and the chunks of the bucket."""
+    bucket = Window.partitionBy("key")
+    rows = bucket_rows(classes, how).select(
+        "*", F.count(F.lit(1)).over(bucket).alias("n"),
+        F.count_if(~F.col("seeker")).over(bucket).alias("stored"))
+    return rows.where((F.col("n") > 1) & (F.col("stored") > 0)).select(
+        "key", "cid", "seeker", F.ceil(F.col("n") / F.lit(size)).cast("int").alias("chunks"))
+
+
+def _near_pairs(table: pa.Table, unit: np.ndarray, threshold: float):
+    """Rows (looked up, stored) of two classes in one tile whose cosine is at the threshold.
+
+    Two stored rows of one bucket are found once only, from the smaller class.
+    """
+    lo, hi, chunk, cid = (table.column(c).to_numpy() for c in ("lo", "hi", "chunk", "cid"))
+    seeker = table.column("seeker").to_numpy()
+    starts = tile_starts(table)
+    found = [(np.empty(0, int), np.empty(0, int))]
+    for s, e in zip(starts.tolist(), np.append(starts[1:], len(cid)).tolist()):
+        if lo[s] == hi[s]:
+            near = unit[s:e] @ unit[s:e].T >= threshold
+            q, i = np.nonzero(near & ~seeker[s:e])
+            found.append((s + q, s + i))
+        else:
+            a, b = (s + np.flatnonzero(chunk[s:e] == x) for x in (lo[s], hi[s]))
+            near = unit[a] @ unit[b].T >= threshold
+            for ask, held, met in ((a, b, near), (b, a, near.T)):
+                q, i = np.nonzero(met & ~seeker[held])
+                found.append((ask[q], held[i]))
+    q, i = (np.concatenate(x) for x in zip(*found))
+    once = (cid[q] < cid[i]) | seeker[q] & (cid[q] != cid[i])
+    return q[once], i[once]
+
+
+def _first_met(slot, q, i, unit, how: Hashing) -> np.ndarray:
+    """Whether classes q and i meet neither in a table before `slot` nor, if q > i, there as i and q.
+
+    `unit` holds the vectors of the classes. Most pairs meet in one of the first tables, so only
+    those still open are hashed for the next.
+    """
+    first = np.ones(len(q), bool)
+    for t in range(how.tables):
+        rest = np.flatnonzero(first & ((slot > t) | (slot == t) & (q > i)))
+        if len(rest):
+            a, b = q[rest], i[rest]
+            used = np.zeros(len(unit), bool)
+            used[a] = used[b] = True
+            home, asked = how.table(unit[used], t)
+            place = np.cumsum(used) - 1
+            a, b = place[a], place[b]
+            forth = np.any([key[a] == home[b] for key in asked.T], axis=0) & (slot[rest] > t)
+            back = np.any([key[b] == home[a] for key in asked.T], axis=0)
+            first[rest] = ~(forth | back)
+    return first
 
 
 def verified(classes: DataFrame, threshold: float, how: Hashing, size: int = 512) -> DataFrame:
@@ -204,29 +228,31 @@ def verified(classes: DataFrame, threshold: float, how: Hashing, size: int = 512
 
     `classes` is a written table of `cid, vector, members` with distinct usable vectors.
     """
-    tiles = tiled(bucket_rows(classes, how), "cid", size, "seeker")
-    vectors = classes.select("cid", "vector", F.size("vector").cast("long").alias("dim"), "members")
-    rows = by_tile(written(tiles, "met").join(vectors, "cid"))
+    vectors = classes.select("cid", "vector", F.size("vector").alias("dim"), "members")
+    rows = by_tile(dealt(met_rows(classes, how, size).join(vectors, "cid"), "cid"))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_tiles(batches):
-            a, b, add = [], [], []
-
-            def keep(q, q_weight, i, i_weight):
-                ids, at = np.unique(np.concatenate([q, i]), return_inverse=True)
-                total = np.zeros(len(ids), np.int64)
-                np.add.at(total, at, np.concatenate([i_weight, q_weight]))
-                label = local_components(len(ids), at[:len(q)], at[len(q):])
+        for table, _ in whole_tiles(batches):
+            dims = table.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = table.filter(pa.array(dims == dim))
+                unit = _unit(_matrix(part.column("vector"), dim))
+                q, i = _near_pairs(part, unit, threshold)
+                ids, row, at = np.unique(part.column("cid").to_numpy(), return_index=True,
+                                         return_inverse=True)
+                weight = part.column("members").to_numpy()[row]
+                slot, q, i = part.column("key").to_numpy()[q] % how.tables, at[q], at[i]
+                first = _first_met(slot, q, i, unit[row], how)
+                q, i = q[first], i[first]
+                total = np.bincount(np.append(q, i), np.append(weight[i], weight[q]), len(ids))
+                linked = np.flatnonzero(total)
+                label = local_components(len(ids), q, i)
                 far = np.flatnonzero(label != np.arange(len(ids)))
-                a.extend([ids, ids[far]])
-                b.extend([np.full(len(ids), -1), ids[label[far]]])
-                add.extend([total, np.zeros(len(far), np.int64)])
-
-            _tile_counts(table, starts, threshold, how, keep)
-            if a:
-                b_all = np.concatenate(b)
-                yield pa.record_batch({"a": np.concatenate(a), "b": pa.array(b_all, mask=b_all < 0),
-                                       "add": np.concatenate(add)})
+                yield pa.record_batch({
+                    "a": ids[np.append(linked, far)],
+                    "b": pa.array(np.append(np.full(len(linked), -1), ids[label[far]]),
+                                  mask=np.arange(len(linked) + len(far)) < len(linked)),
+                    "add": np.append(total[linked], np.zeros(len(far))).astype(np.int64)})
 
     return rows.mapInArrow(links, "a long, b long, add long")
 
@@ -242,8 +268,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     empty table gives none. Further columns are ignored. Hashing may miss a pair near the
     threshold; the README states the measured recall. `how` is by default `Hashing.for_count`.
     """
+    kind = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"
     rows = written(vectors.select(
-        F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"),
+        F.col(id_col).alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"),
         row_order(vectors).alias("at")), "vectors")
     good = rows.where(usable(F.col("vector")))
     classes, seen = written(good.groupBy("vector").agg(
@@ -256,13 +283,17 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     linked = written(components(found.where("b IS NOT NULL").select("a", "b")), "components")
     members = classes.join(linked, classes.cid == linked.node).select("cid", "component", "first")
     lowest = written(members.groupBy("component").agg(F.min("first").alias("lowest")), "lowest")
-    reached = members.join(lowest, "component").select("cid", "lowest")
-    known = written(classes.join(counts, "cid", "left").join(reached, "cid", "left").select(
-        "vector", (F.col("members") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"),
-        F.coalesce("lowest", "first").alias("lowest")), "known")
-    linked_rows = good.select("vec_id", "vector").join(known, "vector").select(
-        "vec_id", "n_links", F.col("lowest").alias("component_id"))
+    reached = written(members.join(lowest, "component").join(counts, "cid").select(
+        "cid", "lowest", "more"), "reached")
+    known = classes.join(reached, "cid", "left").select(
+        "vector", "first", "members",
+        (F.col("members") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"),
+        F.coalesce("lowest", "first").alias("component_id"))
+    # Only copies need their class looked up by vector.
+    single = known.where("members = 1").select(F.col("first").alias("vec_id"), "n_links", "component_id")
+    copied = written(known.where("members > 1").select("vector", "n_links", "component_id"), "copied")
+    copies = good.select("vec_id", "vector").join(copied, "vector").drop("vector")
     alone = rows.where(~usable(F.col("vector"))).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked_rows.unionByName(alone).withColumn(
+    return single.unionByName(copies).unionByName(alone).withColumn(
         "kept", F.col("vec_id") == F.col("component_id"))

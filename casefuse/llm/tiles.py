@@ -33,12 +33,17 @@ def crowded(keyed: DataFrame, size: int, seeker: str = None) -> DataFrame:
 def tiled(keyed: DataFrame, item: str, size: int, seeker: str = None) -> DataFrame:
     """The items once per tile: `key, lo, hi, chunk` in front of the other columns."""
     keys = written(crowded(keyed, size, seeker), "keys")
-    rest = [c for c in keyed.columns if c != "key"]
-    dealt = keyed.join(keys, "key").withColumn(
+    return dealt(keyed.join(keys, "key"), item)
+
+
+def dealt(rows: DataFrame, item: str) -> DataFrame:
+    """Rows that know the `chunks` of their `key` once per tile, as `tiled` gives them."""
+    rest = [c for c in rows.columns if c not in ("key", "chunks")]
+    rows = rows.withColumn(
         "chunk", F.pmod(mix64(F.col(item), F.col("key"), seed=7), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return dealt.select("key", F.least("chunk", "other").alias("lo"),
-                        F.greatest("chunk", "other").alias("hi"), "chunk", *rest)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.select("key", F.least("chunk", "other").alias("lo"),
+                       F.greatest("chunk", "other").alias("hi"), "chunk", *rest)
 
 
 def by_tile(tiles: DataFrame) -> DataFrame:
@@ -55,15 +60,16 @@ def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, n
             table = pa.concat_tables([kept, table]).combine_chunks()
         if not table.num_rows:
             continue
-        starts = _starts(table)
+        starts = tile_starts(table)
         kept = table.slice(starts[-1])
         if len(starts) > 1:
             yield table.slice(0, starts[-1]), starts[:-1]
     if kept is not None and kept.num_rows:
-        yield kept, _starts(kept)
+        yield kept, tile_starts(kept)
 
 
-def _starts(table: pa.Table) -> np.ndarray:
+def tile_starts(table: pa.Table) -> np.ndarray:
+    """The first row of each tile."""
     new = np.zeros(table.num_rows, bool)
     new[0] = True
     for name in TILE:

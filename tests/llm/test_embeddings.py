@@ -1,6 +1,6 @@
 import numpy as np
 
-from casefuse.llm.embeddings import Hashing, hadamard, link_vectors
+from casefuse.llm.embeddings import Hashing, hadamard, link_vectors, rotated, verified
 from casefuse.llm.queries import QUERIES
 from tests.llm.common import groups
 
@@ -92,3 +92,45 @@ def test_settings_follow_the_count_and_keep_recall():
         (held_a, asked_a), (held_b, asked_b) = how.codes(a), how.codes(b)
         met = (asked_a == held_b[:, :, None]).any((1, 2)) | (asked_b == held_a[:, :, None]).any((1, 2))
         assert met.mean() >= 0.999
+
+
+def test_keys_do_not_depend_on_the_batch():
+    """One row is transformed, many are multiplied by a matrix; ties and odd widths included."""
+    rng = np.random.default_rng(4)
+    for dim in (1, 2, 5, 64):
+        x = np.concatenate([rng.normal(size=(300, dim)), np.ones((1, dim)), np.eye(dim)])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        signs = rng.choice((-1.0, 1.0), (3, 1 << max(1, (dim - 1).bit_length())))
+        assert np.allclose(rotated(x, signs)[:3], rotated(x[:3], signs))
+        for how in (Hashing(), Hashing.for_count(1 << 20, 64)):
+            stored, asked = how.codes(x)
+            for i in (0, 7, 300, len(x) - 1):
+                home, probes = how.table(x[i:i + 1], 2)
+                assert home[0] == stored[i, 2] and (probes[0] == asked[i, 2]).all()
+            assert (asked[:, :, 0] == stored).all()
+
+
+def test_classes_are_hashed_once_and_shuffled_by_bucket_without_vectors(spark):
+    rows = [(i, [float(i), 1.0], 1) for i in range(20)]
+    classes = spark.createDataFrame(rows, "cid long, vector array<float>, members long")
+    plan = verified(classes, 0.95, Hashing())._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    assert sum("MapInArrow" in line for line in lines) == 2  # the keys, and the links of tiles
+    by_key = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(key#" in line
+              and "lo#" not in line]
+    assert len(by_key) == 1
+    made = next(line for line in lines[by_key[0]:] if "MapInArrow" in line)
+    assert "seeker" in made and "vector" not in made.rsplit("[", 1)[1]
+
+
+def test_only_copies_are_joined_by_vector(spark):
+    """Rows of a vector of its own come from its class, which is read without vectors."""
+    vectors = [[1.0, 2.0], [1.0, 2.0], [2.0, -1.0], [3.0, 3.0]]
+    ids = [1, 2, 3, None]
+    df = spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<float>")
+    out = link_vectors(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    read = [line.split("ReadSchema: ")[1] for line in plan.split("\n") if "ReadSchema: " in line]
+    assert any("first:" in x and "vector:" not in x for x in read)
+    assert all("array<double>" not in x for x in read)
+    assert collected(out) == brute(ids, vectors)
