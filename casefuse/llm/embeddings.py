@@ -64,31 +64,40 @@ class Hashing:
     def table(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Stored key of every row in table `t`, and the keys looked up there (the stored one first).
 
-        Rotated components are rounded to 30 binary places, so that neither the order of additions
-        nor the other rows of a batch show in a key.
+        Many rows are multiplied by the matrix of the rotations, block by block.
         """
         n, dim = unit.shape
-        width = 1 << max(1, (dim - 1).bit_length())
-        rows = np.arange(n)
+        signs = self.signs(1 << max(1, (dim - 1).bit_length()))[t]
+        if n < 4 * dim:
+            return self.keys(rotated(unit, signs))
+        turn = rotated(np.eye(dim), signs).reshape(dim, -1)
+        blocks = [(unit[i:i + 512] @ turn).reshape(-1, *signs[:, 0].shape) for i in range(0, n, 512)]
+        home, asked = zip(*map(self.keys, blocks))
+        return np.concatenate(home), np.concatenate(asked)
+
+    def keys(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of rows from their components by rotation and axis.
+
+        Components are rounded to 30 binary places, so that neither the order of additions nor the
+        other rows of a batch show in a key.
+        """
+        width = y.shape[2]
         weight = (2 * width) ** np.arange(self.rotations)
-        home, moves, gaps = np.zeros(n, np.int64), [], []
-        for signs, place in zip(self.signs(width)[t], weight):
-            y = rotated(unit, signs)
-            y *= 2.0 ** 30
-            np.rint(y, out=y)
-            size = np.abs(y)
-            axes, sizes = [], []
-            for _ in range(min(3, width)):
-                axes.append(size.argmax(axis=1))
-                sizes.append(size[rows, axes[-1]])
-                size[rows, axes[-1]] = -1
-            hashes = [(axis + width * (y[rows, axis] < 0)) * place for axis in axes]
-            home += hashes[0]
-            moves += [h - hashes[0] for h in hashes[1:]]
-            gaps += [sizes[0] - s for s in sizes[1:]]
-        likely = np.argsort(np.stack(gaps, 1), axis=1, kind="stable")[:, :self.probes]
+        y = np.rint(y * 2.0 ** 30)
+        size = np.abs(y)
+        hashes, sizes = [], []
+        for _ in range(min(3, width)):
+            axis = size.argmax(axis=2, keepdims=True)
+            code = axis + width * (np.take_along_axis(y, axis, 2) < 0)
+            hashes.append(code[:, :, 0] * weight)
+            sizes.append(np.take_along_axis(size, axis, 2)[:, :, 0])
+            np.put_along_axis(size, axis, -1, 2)
+        home = hashes[0].sum(1)
+        moves = np.concatenate([h - hashes[0] for h in hashes[1:]], 1)
+        gaps = np.concatenate([sizes[0] - s for s in sizes[1:]], 1)
+        likely = np.argsort(gaps, axis=1, kind="stable")[:, :self.probes]
         asked = np.repeat(home[:, None], 1 + self.probes, axis=1)
-        asked[:, 1:1 + likely.shape[1]] += np.take_along_axis(np.stack(moves, 1), likely, 1)
+        asked[:, 1:1 + likely.shape[1]] += np.take_along_axis(moves, likely, 1)
         return home, asked
 
     def codes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,17 +107,14 @@ class Hashing:
 
 
 def rotated(unit: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """The rows after a round of signs and transform for each row of `signs`.
-
-    Many rows are multiplied by the matrix of all rounds, which takes a transform of `dim` rows.
-    """
+    """Components by row, rotation and axis after the rounds of signs and transforms of `signs`."""
     n, dim = unit.shape
-    few = n < 4 * dim
-    y = np.zeros((n if few else dim, signs.shape[1]))
-    y[:, :dim] = unit if few else np.eye(dim)
-    for sign in signs:
-        y = hadamard(y * sign)
-    return y if few else unit @ y
+    rotations, rounds, width = signs.shape
+    y = np.zeros((n, rotations, width))
+    y[:, :, :dim] = unit[:, None]
+    for k in range(rounds):
+        y = hadamard((y * signs[:, k]).reshape(-1, width)).reshape(y.shape)
+    return y
 
 
 def hadamard(y: np.ndarray) -> np.ndarray:
@@ -184,11 +190,19 @@ def _near_pairs(table: pa.Table, unit: np.ndarray, threshold: float):
     lo, hi, chunk, cid = (table.column(c).to_numpy() for c in ("lo", "hi", "chunk", "cid"))
     seeker = table.column("seeker").to_numpy()
     starts = tile_starts(table)
+    ends = np.append(starts[1:], len(cid))
     found = [(np.empty(0, int), np.empty(0, int))]
-    for s, e in zip(starts.tolist(), np.append(starts[1:], len(cid)).tolist()):
+    # Small tiles: rows that lie a given distance apart, of all tiles at once.
+    small = (ends - starts <= 32) & (lo[starts] == hi[starts])
+    rows, end = np.flatnonzero(np.repeat(small, ends - starts)), np.repeat(ends, ends - starts)
+    apart = 1
+    while len(rows := rows[rows + apart < end[rows]]):
+        near = rows[np.einsum("ij,ij->i", unit[rows], unit[rows + apart]) >= threshold]
+        found += [(near, near + apart), (near + apart, near)]
+        apart += 1
+    for s, e in zip(starts[~small].tolist(), ends[~small].tolist()):
         if lo[s] == hi[s]:
-            near = unit[s:e] @ unit[s:e].T >= threshold
-            q, i = np.nonzero(near & ~seeker[s:e])
+            q, i = np.nonzero((unit[s:e] @ unit[s:e].T >= threshold) & ~seeker[s:e])
             found.append((s + q, s + i))
         else:
             a, b = (s + np.flatnonzero(chunk[s:e] == x) for x in (lo[s], hi[s]))
@@ -197,7 +211,7 @@ def _near_pairs(table: pa.Table, unit: np.ndarray, threshold: float):
                 q, i = np.nonzero(met & ~seeker[held])
                 found.append((ask[q], held[i]))
     q, i = (np.concatenate(x) for x in zip(*found))
-    once = (cid[q] < cid[i]) | seeker[q] & (cid[q] != cid[i])
+    once = ~seeker[i] & ((cid[q] < cid[i]) | seeker[q] & (cid[q] != cid[i]))
     return q[once], i[once]
 
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from casefuse.llm.embeddings import Hashing, hadamard, link_vectors, rotated, verified
+from casefuse.llm.embeddings import Hashing, hadamard, link_vectors, verified
 from casefuse.llm.queries import QUERIES
 from tests.llm.common import groups
 
@@ -100,8 +100,6 @@ def test_keys_do_not_depend_on_the_batch():
     for dim in (1, 2, 5, 64):
         x = np.concatenate([rng.normal(size=(300, dim)), np.ones((1, dim)), np.eye(dim)])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        signs = rng.choice((-1.0, 1.0), (3, 1 << max(1, (dim - 1).bit_length())))
-        assert np.allclose(rotated(x, signs)[:3], rotated(x[:3], signs))
         for how in (Hashing(), Hashing.for_count(1 << 20, 64)):
             stored, asked = how.codes(x)
             for i in (0, 7, 300, len(x) - 1):
@@ -134,3 +132,17 @@ def test_only_copies_are_joined_by_vector(spark):
     assert any("first:" in x and "vector:" not in x for x in read)
     assert all("array<double>" not in x for x in read)
     assert collected(out) == brute(ids, vectors)
+
+
+def test_links_do_not_depend_on_the_size_of_tiles(spark):
+    """Buckets of several chunks, of one large and of one small tile; two lengths of vectors."""
+    rng = np.random.default_rng(6)
+    hubs = [rng.normal(size=dim) for dim in (24, 24, 8)]
+    vectors = [near(rng, hub, 0.985).tolist() for hub in hubs for _ in range(70)]
+    vectors += rng.normal(size=(30, 24)).tolist()
+    want = {i: n for i, n, _, _ in brute(list(range(len(vectors))), vectors) if n}
+    classes = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors)],
+                                    "cid long, vector array<double>, members long")
+    for size in (8, 512):
+        rows = verified(classes, 0.95, Hashing(), size).where("b IS NULL").groupBy("a").sum("add")
+        assert {r[0]: r[1] for r in rows.collect()} == want
