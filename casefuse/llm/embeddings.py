@@ -150,7 +150,8 @@ def usable(vector: Column) -> Column:
 def bucket_rows(classes: DataFrame, how: Hashing) -> DataFrame:
     """`key, cid, seeker`: where a class is stored (not seeker) and looked up (seeker).
 
-    The key is `how.tables` times the code plus the table.
+    The key is `how.tables` times the code plus the table, below 2^63 up to 2^29 vectors of 2048
+    components or 2^33 of 64.
     """
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
